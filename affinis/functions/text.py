@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from affinis.functions import constants as C
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that filters and later columns read without computing it again.
+
+    A plain column would be copied into every expression that uses it, and into filters that
+    the optimizer moves below it; the one-element explode keeps it in place.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(C.WS_CHARS))
 

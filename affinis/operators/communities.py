@@ -17,7 +17,7 @@ from affinis.functions import constants as C
 from affinis.functions.vectors import as_array, l2_normalise, norm
 from affinis.operators import similarity as sim
 from affinis.operators.ordered import ordered_parts, row_numbers
-from affinis.session import materialise
+from affinis.session import materialise, materialise_counted
 
 
 def candidates(
@@ -44,36 +44,35 @@ def communities(
     Communities are numbered from 0 by falling size, then centre id.
     """
     pool = vectors.select("id", "vec")
-    sizes = candidates(vectors, threshold, min_size, **options)
-    live = materialise(
+    options.setdefault("dim", sim.dimension(pool))
+    sizes = candidates(pool, threshold, min_size, **options)
+    everyone = pool.count()
+    live, n_live = materialise_counted(
         pool.join(sizes, F.col("id") == F.col("centre_id")).select(
             "id", "vec", F.col("size").alias("weight"), F.col("id").alias("leader")
         ),
         "live",
     )
     found = None
-    while not live.isEmpty():
-        # best live candidate of each vector still in the pool
-        best = sim.leaders(pool, live, threshold, **options)
+    while n_live:
+        # best live candidate of each vector; members of accepted communities have none any more
+        best = sim.leaders(pool, live, threshold, left_rows=everyone, **options)
         reached = materialise(
             pool.join(best, "id").select("id", "vec", "weight", "leader"), "reached"
         )
         # every member prefers the candidate itself or a better one; it wins if none is better
-        rival = sim.leaders(live.select("id", "vec"), reached, threshold, **options)
+        centres = live.select("id", "vec")
+        rival = sim.leaders(centres, reached, threshold, left_rows=n_live, **options)
         winners = rival.where("id = leader").select("leader")
         taken = materialise(reached.join(winners, "leader", "left_semi"), "taken")
         members = taken.select(F.col("leader").alias("centre_id"), F.col("weight").alias("size"),
                                F.col("id").alias("channel_id"))
         found = members if found is None else found.unionByName(members)
-        won = taken.select(F.col("leader").alias("id")).distinct()
-        rest = live.join(won, "id", "left_anti")
+        # candidates that reach a taken member are out; the winners reach their own
         touched = sim.threshold_counts(
-            rest.select("id", "vec"), taken.select("id", "vec"), threshold, **options
+            centres, taken.select("id", "vec"), threshold, left_rows=n_live, **options
         ).where("members > 0")
-        live = materialise(rest.join(touched, "id", "left_anti"), "live")
-        pool = pool.join(taken.select("id"), "id", "left_anti")
-        if not live.isEmpty():
-            pool = materialise(pool, "pool")
+        live, n_live = materialise_counted(live.join(touched, "id", "left_anti"), "live")
     if found is None:
         empty = vectors.select(F.col("id").alias("channel_id")).limit(0)
         zero = F.lit(0).cast("bigint")

@@ -18,13 +18,16 @@ from affinis.session import materialise
 PART = "_part"
 
 
-def ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def ordered_parts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None
+) -> DataFrame:
     """Range-partition ``df`` and record the partition number of each row in ``_part``.
 
     ``order`` must end in a unique column. Range bounds come from a sample, so the numbers are
-    written down: later steps must all see the same ones.
+    written down: later steps must all see the same ones. Without ``partitions`` Spark sizes them.
     """
-    ranged = df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id())
+    count = [] if partitions is None else [partitions]
+    ranged = df.repartitionByRange(*count, *keys, *order).withColumn(PART, F.spark_partition_id())
     return materialise(ranged, "ordered")
 
 

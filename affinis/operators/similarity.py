@@ -222,7 +222,8 @@ def _vector_columns(df: DataFrame) -> list[str]:
     return ["vec"] if "vec" in df.columns else ["idx", "val"]
 
 
-def _dimension(df: DataFrame) -> int:
+def dimension(df: DataFrame) -> int:
+    """Length of the vectors, from one row."""
     if "vec" not in df.columns:
         raise ValueError("sparse vectors need an explicit dim")
     first = df.select(F.size("vec").alias("n")).first()
@@ -282,13 +283,14 @@ def _compare(
     panel_bytes: int,
     broadcast_bytes: int,
     lanes: int | None,
+    left_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Run a kernel over all panels. The flag says whether a left row may appear repeatedly."""
     spark = left.sparkSession
     vec = _vector_columns(left)
     extra = [c for c in ("weight", "leader") if c in right.columns]
-    dim = dim or _dimension(left)
-    left_rows = left.count()
+    dim = dim or dimension(left)
+    left_rows = left.count() if left_rows is None else left_rows
     left_bytes = left_rows * max(dim, 1) * 8
     if method == "auto":
         method = "broadcast" if left_bytes <= broadcast_bytes else "grid"
@@ -427,6 +429,7 @@ def threshold_counts(
     panel_bytes: int = PANEL_BYTES,
     broadcast_bytes: int = BROADCAST_BYTES,
     lanes: int | None = None,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """How many right rows reach ``threshold`` for each left row, without making the pairs.
 
@@ -434,7 +437,7 @@ def threshold_counts(
     """
     partial_counts, _ = _compare(
         left, right, partial(_make, Counts, threshold), _COUNTS, metric, method, dim,
-        panel_bytes, broadcast_bytes, lanes,
+        panel_bytes, broadcast_bytes, lanes, left_rows,
     )
     return partial_counts.groupBy("id").agg(F.sum("members").alias("members"))
 
@@ -450,6 +453,7 @@ def leaders(
     panel_bytes: int = PANEL_BYTES,
     broadcast_bytes: int = BROADCAST_BYTES,
     lanes: int | None = None,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """For each left row the heaviest right row within reach: ``(id, weight, leader)``.
 
@@ -457,7 +461,7 @@ def leaders(
     """
     found, _ = _compare(
         left, right, partial(_make, Leader, threshold), _LEADER, metric, method, dim,
-        panel_bytes, broadcast_bytes, lanes,
+        panel_bytes, broadcast_bytes, lanes, left_rows,
     )
     best = F.min_by(F.struct("weight", "leader"), F.struct(-F.col("weight"), "leader"))
     return found.groupBy("id").agg(best.alias("b")).select("id", "b.*")

@@ -7,24 +7,49 @@ and a vector is fetched once per (channel, word) instead of once per token.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions import constants as C
-from affinis.functions.text import clean_text, clean_words
-from affinis.functions.vectors import as_array, sparse_parts
+from affinis.functions.text import clean_text, clean_words, computed
+from affinis.functions.vectors import as_array
 
 VOCABULARY_LIMIT = 1_000_000
 
 
 def message_tokens(messages: DataFrame, min_tokens: int = C.WORD_VECTOR_TOKENS) -> DataFrame:
     """``(channel_id, message_id, tokens)`` of messages with more than ``min_tokens`` words."""
-    tokens = clean_words(clean_text(F.col("message"))).alias("tokens")
-    return messages.select("channel_id", "message_id", tokens).where(F.size("tokens") > min_tokens)
+    rows = computed(messages, "tokens", clean_words(clean_text(F.col("message"))))
+    return rows.where(F.size("tokens") > min_tokens).select("channel_id", "message_id", "tokens")
+
+
+def _weigh(batches, shared):
+    """Weights of a batch of messages, already summed per (channel, word) of the batch."""
+    vocabulary = shared.value
+    for batch in batches:
+        lists = batch.column("tokens")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        word = pc.index_in(lists.flatten(), value_set=vocabulary)
+        known = np.asarray(word.is_valid())
+        row, word = row[known], np.asarray(word.drop_null())
+        per_token = 1.0 / np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
+        channels, channel = np.unique(np.asarray(batch.column("channel_id")), return_inverse=True)
+        code = channel[row].astype(np.int64) * len(vocabulary) + word
+        pairs, at = np.unique(code, return_inverse=True)
+        yield pa.record_batch(
+            {
+                "channel_id": channels[pairs // len(vocabulary)],
+                "token": vocabulary.take(pa.array(pairs % len(vocabulary))),
+                "weight": np.bincount(at, weights=per_token[row], minlength=len(pairs)),
+            }
+        )
 
 
 def word_weights(
@@ -36,19 +61,12 @@ def word_weights(
     if size == 0:
         return tokens.select("channel_id", F.lit("").alias("token"), F.lit(0.0).alias("weight")).limit(0)
     if size <= limit:
-        listed = [r["token"] for r in known.collect()]  # bounded by the check above
-        counter = CountVectorizerModel.from_vocabulary(listed, inputCol="tokens", outputCol="_tf")
-        sparse = counter.transform(tokens).select("channel_id", sparse_parts(F.col("_tf")).alias("v"))
-        total = F.aggregate("v.val", F.lit(0.0), lambda acc, x: acc + x)
-        spread = F.transform(F.arrays_zip("v.idx", "v.val"), lambda e: F.struct(
-            e["idx"].alias("idx"), (e["val"] / total).alias("weight")
-        ))
-        rows = sparse.select("channel_id", F.explode(spread).alias("e"))
-        weights = rows.groupBy("channel_id", "e.idx").agg(F.sum("e.weight").alias("weight"))
-        names = tokens.sparkSession.createDataFrame(
-            pd.DataFrame({"idx": range(size), "token": listed}), "idx int, token string"
+        listed = known.toArrow().column("token").combine_chunks()  # bounded by the check above
+        shared = tokens.sparkSession.sparkContext.broadcast(listed)
+        partial_weights = tokens.select("channel_id", "tokens").mapInArrow(
+            partial(_weigh, shared=shared), "channel_id bigint, token string, weight double"
         )
-        return weights.join(names, "idx").select("channel_id", "token", "weight")
+        return partial_weights.groupBy("channel_id", "token").agg(F.sum("weight").alias("weight"))
     # A vocabulary of any size: count per message before the join, so hot words move once per message.
     counts = (
         tokens.select("channel_id", "message_id", F.explode("tokens").alias("token"))

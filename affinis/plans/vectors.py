@@ -72,7 +72,7 @@ def valid_sentences(rows: DataFrame, min_words: int) -> DataFrame:
     valid = F.filter(
         tx.split_sentences(F.col("text")), lambda s: F.size(tx.space_pieces(s)) >= min_words
     )
-    return rows.select("group_id", "item_id", valid.alias("valid"))
+    return tx.computed(rows.select("group_id", "item_id", "text"), "valid", valid).drop("text")
 
 
 def group_statistics(valid: DataFrame) -> DataFrame:

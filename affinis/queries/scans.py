@@ -174,12 +174,9 @@ def limit_channels(spark, sf):
           FROM documents) WHERE len({Q.words('clean')}) > {C.LONG_MESSAGE_WORDS}""",
 )
 def long_messages(spark, sf):
-    clean = tx.drop_links(linked_text())
-    n_words = F.size(tx.words(F.col("clean"))).cast("bigint")
-    rows = I.documents(spark, sf).select(F.col("doc_id").alias("message_id"), clean.alias("clean"))
-    return rows.select("message_id", n_words.alias("n_words")).where(
-        F.col("n_words") > C.LONG_MESSAGE_WORDS
-    )
+    return ms.long_messages(
+        I.documents(spark, sf).select(F.col("doc_id").alias("message_id"), linked_text().alias("message"))
+    ).select("message_id", F.col("n_words").cast("bigint").alias("n_words"))
 
 
 def linked_text():

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,10 +61,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Later steps then survive executor loss without recomputing the lineage, see exact sizes,
     and read only the columns they need.
     """
+    return materialise_counted(df, label)[0]
+
+
+def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``materialise`` and the number of rows written, taken while writing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
 def spread(df: DataFrame) -> DataFrame:

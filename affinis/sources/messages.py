@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinis.functions import constants as C
-from affinis.functions.text import is_recent
+from affinis.functions.text import computed, drop_links, is_recent, words
 
 KEY_COLUMNS = [
     "message_id", "channel_id", "views", "forwards", "replies_cnt",
@@ -103,3 +103,9 @@ def scan_messages(
 
 def messages_per_channel(messages: DataFrame) -> DataFrame:
     return messages.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+def long_messages(messages: DataFrame, min_words: int = C.LONG_MESSAGE_WORDS) -> DataFrame:
+    """Messages with more than ``min_words`` words once links are gone; adds ``n_words``."""
+    n_words = F.size(words(drop_links(F.col("message"))))
+    return computed(messages, "n_words", n_words).where(F.col("n_words") > min_words)
