@@ -19,6 +19,8 @@ from affinis.operators import similarity as sim
 from affinis.operators.ordered import ordered_parts, row_numbers
 from affinis.session import materialise, materialise_counted
 
+TAIL = 2048
+
 
 def candidates(
     vectors: DataFrame,
@@ -37,16 +39,19 @@ def communities(
     vectors: DataFrame,
     threshold: float = C.COMMUNITY_THRESHOLD,
     min_size: int = C.COMMUNITY_MIN_SIZE,
+    tail: int = TAIL,
     **options,
 ) -> DataFrame:
     """``(community_id, centre_id, size, channel_id)`` from ``vectors(id, vec)``.
 
-    Communities are numbered from 0 by falling size, then centre id.
+    Communities are numbered from 0 by falling size, then centre id. Rounds go on until at most
+    ``tail`` candidates are left; those are settled in one pass.
     """
     pool = vectors.select("id", "vec")
-    options.setdefault("dim", sim.dimension(pool))
-    sizes = candidates(pool, threshold, min_size, **options)
+    dim = options.setdefault("dim", sim.dimension(pool))
+    tail = min(tail, options.get("broadcast_bytes", sim.BROADCAST_BYTES) // (8 * max(dim, 1)))
     everyone = pool.count()
+    sizes = candidates(pool, threshold, min_size, **options)
     live, n_live = materialise_counted(
         pool.join(sizes, F.col("id") == F.col("centre_id")).select(
             "id", "vec", F.col("size").alias("weight"), F.col("id").alias("leader")
@@ -55,24 +60,35 @@ def communities(
     )
     found = None
     while n_live:
-        # best live candidate of each vector; members of accepted communities have none any more
-        best = sim.leaders(pool, live, threshold, left_rows=everyone, **options)
-        reached = materialise(
-            pool.join(best, "id").select("id", "vec", "weight", "leader"), "reached"
-        )
-        # every member prefers the candidate itself or a better one; it wins if none is better
         centres = live.select("id", "vec")
-        rival = sim.leaders(centres, reached, threshold, left_rows=n_live, **options)
-        winners = rival.where("id = leader").select("leader")
-        taken = materialise(reached.join(winners, "leader", "left_semi"), "taken")
-        members = taken.select(F.col("leader").alias("centre_id"), F.col("weight").alias("size"),
-                               F.col("id").alias("channel_id"))
+        if n_live <= tail:
+            kept = _settle(centres, live, pool, threshold, n_live, options)
+            best = sim.leaders(
+                pool, live.join(kept, "id", "left_semi"), threshold, left_rows=everyone, **options
+            )
+            taken, n_live = materialise(best.select("id", "weight", "leader"), "taken"), 0
+        else:
+            # best live candidate of each vector; members of accepted communities have none
+            best = sim.leaders(
+                pool, live, threshold, left_rows=everyone, right_rows=n_live, **options
+            )
+            reached = materialise(
+                pool.join(best, "id").select("id", "vec", "weight", "leader"), "reached"
+            )
+            # every member prefers the candidate itself or a better one; it wins if none is better
+            rival = sim.leaders(centres, reached, threshold, left_rows=n_live, **options)
+            winners = rival.where("id = leader").select("leader")
+            taken = materialise(reached.join(winners, "leader", "left_semi"), "taken")
+            # candidates that reach a taken member are out; the winners reach their own
+            touched = sim.threshold_counts(
+                centres, taken.select("id", "vec"), threshold, left_rows=n_live, **options
+            ).where("members > 0")
+            live, n_live = materialise_counted(live.join(touched, "id", "left_anti"), "live")
+        members = taken.select(
+            F.col("leader").alias("centre_id"), F.col("weight").alias("size"),
+            F.col("id").alias("channel_id"),
+        )
         found = members if found is None else found.unionByName(members)
-        # candidates that reach a taken member are out; the winners reach their own
-        touched = sim.threshold_counts(
-            centres, taken.select("id", "vec"), threshold, left_rows=n_live, **options
-        ).where("members > 0")
-        live, n_live = materialise_counted(live.join(touched, "id", "left_anti"), "live")
     if found is None:
         empty = vectors.select(F.col("id").alias("channel_id")).limit(0)
         zero = F.lit(0).cast("bigint")
@@ -82,6 +98,30 @@ def communities(
     return number(found)
 
 
+def _settle(
+    centres: DataFrame, live: DataFrame, pool: DataFrame, threshold: float, n_live: int, options: dict
+) -> DataFrame:
+    """The accepted ones of a bounded number of candidates: ``(id)``.
+
+    One pass over the vectors finds which candidates share a member; only that table, of at most
+    ``tail`` squared bits, comes to the driver.
+    """
+    settings = {k: options[k] for k in ("metric", "dim", "broadcast_bytes") if k in options}
+    shared = sim.overlapping(centres, pool, threshold, left_rows=n_live, **settings)
+    clashes: dict[int, int] = {}
+    for row in shared.collect():
+        word = (row["bits"] & (2**64 - 1)) << (64 * row["word"])
+        clashes[row["id"]] = clashes.get(row["id"], 0) | word
+    ranked = live.select("id", "weight").collect()
+    position = {i: n for n, i in enumerate(sorted(r["id"] for r in ranked))}
+    blocked, kept = 0, []
+    for row in sorted(ranked, key=lambda r: (-r["weight"], r["id"])):
+        if not blocked >> position[row["id"]] & 1:
+            kept.append((row["id"],))
+            blocked |= clashes.get(row["id"], 0)
+    return live.sparkSession.createDataFrame(kept, "id bigint")
+
+
 def number(members: DataFrame) -> DataFrame:
     centres = members.select("centre_id", "size").distinct().withColumn("_neg", -F.col("size"))
     order = ["_neg", "centre_id"]

@@ -2,9 +2,12 @@
 
 A table of vectors is compared with another one panel by panel. A task holds one panel of the
 left side (bounded in bytes) and streams right-hand rows past it in Arrow batches, so a pair
-of vectors exists only as one number in a small numpy tile. Two placements of the same kernel:
+of vectors exists only as one number in a small numpy tile. Three placements of one kernel:
 
-* broadcast: the left side is small (checked): it is broadcast, the right side is not shuffled;
+* broadcast_right: the right side is small (checked); left rows stay where they are and come out
+  complete, so nothing is shuffled;
+* broadcast_left: the left side is small (checked); the right side stays where it is and partial
+  results are merged;
 * grid: left panels x right lanes, both sides replicated along the other axis, one cell per task.
 """
 
@@ -16,12 +19,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 PANEL_BYTES = 64 << 20
 TILE_ROWS = 2048
 TILE_COLS = 512
@@ -136,6 +139,7 @@ class TopK:
             yield pa.record_batch(
                 {
                     "query_id": self.ids[r],
+                    "rank": (c + 1).astype(np.int32),
                     "neighbour_id": self.found[r, c],
                     "sim": self.scores[r, c],
                 }
@@ -215,6 +219,32 @@ class Leader:
         )
 
 
+class Overlaps:
+    """Which left rows share a right row within the threshold, as bit sets over the sorted ids."""
+
+    def __init__(self, ids: np.ndarray, left: np.ndarray, metric: str, threshold: float):
+        order = np.argsort(ids)
+        self.ids, self.left, self.metric, self.threshold = ids[order], left[order], metric, threshold
+        self.shared = np.zeros((len(ids), len(ids)), dtype=bool)
+
+    def feed(self, batch: pa.RecordBatch, right: np.ndarray):
+        for cols in _tiles(len(right), TILE_COLS):
+            near = _scores(self.left, right[cols], self.metric) >= self.threshold
+            near = near[:, near.sum(axis=0) > 1].astype(np.float32)
+            if near.shape[1]:
+                self.shared |= (near @ near.T) > 0
+        return ()
+
+    def finish(self):
+        width = -len(self.ids) % 64
+        bits = np.packbits(np.pad(self.shared, ((0, 0), (0, width))), axis=1, bitorder="little")
+        words = np.ascontiguousarray(bits).view(np.int64)
+        row, word = np.nonzero(words)
+        yield pa.record_batch(
+            {"id": self.ids[row], "word": word.astype(np.int64), "bits": words[row, word]}
+        )
+
+
 # --------------------------------------------------------------------------- placement
 
 
@@ -262,7 +292,7 @@ def _grid_task(batches, make, metric: str, dim: int):
         yield from kernel.finish()
 
 
-def _broadcast_task(batches, make, metric: str, dim: int, shared):
+def _partial_task(batches, make, metric: str, dim: int, shared):
     ids, left = shared.value
     kernel = make(ids, left, metric)
     for batch in batches:
@@ -284,22 +314,32 @@ def _compare(
     broadcast_bytes: int,
     lanes: int | None,
     left_rows: int | None = None,
+    right_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Run a kernel over all panels. The flag says whether a left row may appear repeatedly."""
     spark = left.sparkSession
     vec = _vector_columns(left)
     extra = [c for c in ("weight", "leader") if c in right.columns]
     dim = dim or dimension(left)
+    size = 8 * max(dim, 1)
+    if method in ("auto", "broadcast_right"):
+        right_rows = right.count() if right_rows is None else right_rows
+        if right_rows * size <= broadcast_bytes:
+            shared = _broadcast_stream(right.select("id", *vec, *extra), metric, dim)
+            task = partial(_complete_task, make=make, metric=metric, dim=dim, shared=shared)
+            return left.select("id", *vec).mapInArrow(task, schema), False
+        if method == "broadcast_right":
+            raise ValueError(f"right side holds more than {broadcast_bytes} bytes")
     left_rows = left.count() if left_rows is None else left_rows
-    left_bytes = left_rows * max(dim, 1) * 8
+    left_bytes = left_rows * size
     if method == "auto":
-        method = "broadcast" if left_bytes <= broadcast_bytes else "grid"
-    if method == "broadcast":
+        method = "broadcast_left" if left_bytes <= broadcast_bytes else "grid"
+    if method == "broadcast_left":
         if left_bytes > broadcast_bytes:
-            raise ValueError(f"left side holds {left_bytes} bytes, more than {broadcast_bytes}")
-        shared = _broadcast_panel(spark, left.select("id", *vec), metric, dim)
+            raise ValueError(f"left side holds more than {broadcast_bytes} bytes")
+        shared = _broadcast_panel(left.select("id", *vec), metric, dim)
         stream = right.select("id", *vec, *extra).sortWithinPartitions("id")
-        task = partial(_broadcast_task, make=make, metric=metric, dim=dim, shared=shared)
+        task = partial(_partial_task, make=make, metric=metric, dim=dim, shared=shared)
         return stream.mapInArrow(task, schema), True
     if method != "grid":
         raise ValueError(f"unknown method {method!r}")
@@ -328,27 +368,56 @@ def _compare(
     return cells.mapInArrow(task, schema), lanes > 1
 
 
-def _broadcast_panel(spark: SparkSession, left: DataFrame, metric: str, dim: int):
+def _complete_task(batches, make, metric: str, dim: int, shared):
+    """Each batch of left rows meets the whole right side and leaves with final results."""
+    right_columns, right = shared.value
+    for batch in batches:
+        for part in _tiles(batch.num_rows, TILE_ROWS):
+            rows = batch.slice(part.start, part.stop - part.start)
+            kernel = make(_column(rows, "id"), _prepare(_dense(rows, dim), metric), metric)
+            yield from kernel.feed(right_columns, right)
+            yield from kernel.finish()
+
+
+def _collected(df: DataFrame, dim: int) -> tuple[pa.Table, np.ndarray]:
     # only reached after the size check against broadcast_bytes
-    table = left.toArrow()
-    batches = table.combine_chunks().to_batches()
-    ids = [_column(b, "id") for b in batches]
-    mats = [_dense(b, dim) for b in batches]
-    matrix = np.concatenate(mats) if mats else np.empty((0, dim))
-    id_type = table.schema.field("id").type.to_pandas_dtype()
-    return spark.sparkContext.broadcast(
-        (np.concatenate(ids) if ids else np.empty(0, dtype=id_type), _prepare(matrix, metric))
+    table = df.toArrow().combine_chunks()
+    mats = [_dense(b, dim) for b in table.to_batches()]
+    return table, np.concatenate(mats) if mats else np.empty((0, dim))
+
+
+def _broadcast_panel(left: DataFrame, metric: str, dim: int):
+    table, matrix = _collected(left, dim)
+    ids = table.column("id").to_numpy().astype(np.int64)
+    return left.sparkSession.sparkContext.broadcast((ids, _prepare(matrix, metric)))
+
+
+def _broadcast_stream(right: DataFrame, metric: str, dim: int):
+    table, matrix = _collected(right, dim)
+    numbers = table.select([c for c in table.column_names if c in ("id", "weight", "leader")])
+    order = np.argsort(numbers.column("id").to_numpy(), kind="stable")
+    columns = pa.record_batch(
+        {c: numbers.column(c).to_numpy()[order] for c in numbers.column_names}
     )
+    return right.sparkSession.sparkContext.broadcast((columns, _prepare(matrix[order], metric)))
 
 
 _LONG, _DOUBLE = T.LongType(), T.DoubleType()
 _TOPK = T.StructType(
-    [T.StructField("query_id", _LONG), T.StructField("neighbour_id", _LONG), T.StructField("sim", _DOUBLE)]
+    [
+        T.StructField("query_id", _LONG),
+        T.StructField("rank", T.IntegerType()),
+        T.StructField("neighbour_id", _LONG),
+        T.StructField("sim", _DOUBLE),
+    ]
 )
 _PAIRS = T.StructType(
     [T.StructField("left_id", _LONG), T.StructField("right_id", _LONG), T.StructField("sim", _DOUBLE)]
 )
 _COUNTS = T.StructType([T.StructField("id", _LONG), T.StructField("members", _LONG)])
+_OVERLAPS = T.StructType(
+    [T.StructField("id", _LONG), T.StructField("word", _LONG), T.StructField("bits", _LONG)]
+)
 _LEADER = T.StructType(
     [T.StructField("id", _LONG), T.StructField("weight", _LONG), T.StructField("leader", _LONG)]
 )
@@ -384,10 +453,12 @@ def top_k(
     hits, repeated = _compare(
         queries, corpus, make, _TOPK, metric, method, dim, panel_bytes, broadcast_bytes, lanes
     )
-    order = W.partitionBy("query_id").orderBy(F.desc("sim"), "neighbour_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    if repeated or skip:
-        ranked = ranked.where(F.col("rank") <= k + skip)
+    ranked = hits
+    if repeated:
+        order = W.partitionBy("query_id").orderBy(F.desc("sim"), "neighbour_id")
+        ranked = hits.withColumn("rank", F.row_number().over(order)).where(
+            F.col("rank") <= k + skip
+        )
     if skip:
         ranked = ranked.where(F.col("rank") > skip)
     if min_sim is not None:
@@ -430,16 +501,17 @@ def threshold_counts(
     broadcast_bytes: int = BROADCAST_BYTES,
     lanes: int | None = None,
     left_rows: int | None = None,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """How many right rows reach ``threshold`` for each left row, without making the pairs.
 
     Left rows without any partner are present with 0 as long as the right side is not empty.
     """
-    partial_counts, _ = _compare(
+    counts, repeated = _compare(
         left, right, partial(_make, Counts, threshold), _COUNTS, metric, method, dim,
-        panel_bytes, broadcast_bytes, lanes, left_rows,
+        panel_bytes, broadcast_bytes, lanes, left_rows, right_rows,
     )
-    return partial_counts.groupBy("id").agg(F.sum("members").alias("members"))
+    return counts.groupBy("id").agg(F.sum("members").alias("members")) if repeated else counts
 
 
 def leaders(
@@ -454,18 +526,36 @@ def leaders(
     broadcast_bytes: int = BROADCAST_BYTES,
     lanes: int | None = None,
     left_rows: int | None = None,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """For each left row the heaviest right row within reach: ``(id, weight, leader)``.
 
     ``right`` carries ``weight`` and ``leader`` columns; equal weights go to the smaller leader.
     """
-    found, _ = _compare(
+    found, repeated = _compare(
         left, right, partial(_make, Leader, threshold), _LEADER, metric, method, dim,
-        panel_bytes, broadcast_bytes, lanes, left_rows,
+        panel_bytes, broadcast_bytes, lanes, left_rows, right_rows,
     )
+    if not repeated:
+        return found
     best = F.min_by(F.struct("weight", "leader"), F.struct(-F.col("weight"), "leader"))
     return found.groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
+def overlapping(
+    left: DataFrame, right: DataFrame, threshold: float, *, metric: str = "cosine",
+    dim: int | None = None, left_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Which rows of a small left side share a right row: ``(id, word, bits)``.
+
+    Bit ``b`` of ``word`` stands for the left row of rank ``64 * word + b`` by id.
+    """
+    found, _ = _compare(
+        left, right, partial(_make, Overlaps, threshold), _OVERLAPS, metric, "broadcast_left", dim,
+        PANEL_BYTES, broadcast_bytes, None, left_rows,
+    )
+    return found.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+
+
 def _make(kernel, threshold, ids, left, metric):
     return kernel(ids, left, metric, threshold)

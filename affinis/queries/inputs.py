@@ -77,12 +77,13 @@ TEXT_DATE_SQL = "strftime(date, '%Y-%m-%d %H:%M:%S') || '+00:00'"
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(channel_id, embedding)``."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("channel_id"), "embedding")
+    rows = spread(table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("vec_id").alias("channel_id"), "embedding")
 
 
 def id_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, vec)``."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
     )
 

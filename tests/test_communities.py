@@ -23,7 +23,13 @@ def frame(spark, m):
     return spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(4)
 
 
-@pytest.mark.parametrize("seed,options", [(0, {}), (1, {}), (2, {"method": "grid", "panel_bytes": 900, "lanes": 2})])
+@pytest.mark.parametrize(
+    "seed,options",
+    [
+        (0, {}), (1, {}), (1, {"tail": 0}), (3, {"tail": 12}), (4, {}), (5, {}),
+        (2, {"tail": 0, "method": "grid", "panel_bytes": 900, "lanes": 2}),
+    ],
+)
 def test_equal_to_the_sequential_rule(spark, seed, options):
     rng = np.random.default_rng(seed)
     m = rng.normal(size=(120, 3))

@@ -13,7 +13,7 @@ def corpus(spark):
     m = rng.normal(size=(40, 64))
     vec = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "channel_id bigint, embedding array<double>")
     meta = spark.createDataFrame(
-        [(i, f"chan_{i}" + ("_bot" if i % 3 == 0 else ""), f"Title {i}", "about") for i in range(40)],
+        [(i, f"chan_{i}" + ("_bot" if i % 7 == 0 else ""), f"Title {i}", "about") for i in range(40)],
         "channel_id bigint, link string, title string, about string",
     )
     return vec, meta, search.neighbour_table(vec).cache()

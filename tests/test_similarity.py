@@ -34,7 +34,8 @@ def _brute(s, k, skip=0, own=False):
 
 
 PLANS = [
-    {"method": "broadcast"},
+    {"method": "broadcast_right"},
+    {"method": "broadcast_left"},
     {"method": "grid", "panel_bytes": 700, "lanes": 3},
     {"method": "grid", "panel_bytes": 1 << 20, "lanes": 1},
 ]
@@ -111,7 +112,10 @@ def test_wrong_arguments(spark):
     with pytest.raises(ValueError):
         sim.top_k(df, df, method="x")
     with pytest.raises(ValueError):
-        sim.top_k(df, df, method="broadcast", broadcast_bytes=10)
+        sim.top_k(df, df, method="broadcast_right", broadcast_bytes=10)
+    with pytest.raises(ValueError):
+        sim.top_k(df, df, method="broadcast_left", broadcast_bytes=10)
+    assert sim.top_k(df, df, 2, broadcast_bytes=10).count() == 10  # auto falls back to the grid
 
 
 def test_vector_expressions(spark):
