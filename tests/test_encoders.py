@@ -113,7 +113,8 @@ def test_audience_overlap_with_hot_users_and_channels(spark):
             for b in cs:
                 if a < b:
                     want[(a, b)] = want.get((a, b), 0) + 1
-    for sizes in ({}, {"users_per_bucket": 20, "channels_per_panel": 7}):
+    small = {"rows_per_bucket": 50, "users_per_cell": 20, "channels_per_panel": 7}
+    for sizes in ({}, {"few_channels": 6, **small}, {"few_channels": 0}, small):
         got = {(r.channel_a, r.channel_b): r.common for r in audience.audience_overlap(df, **sizes).collect()}
         assert got == want
     assert audience.audience_overlap(df, min_common=3).count() == sum(v >= 3 for v in want.values())
