@@ -99,7 +99,7 @@ def top_per_group(
     order: Sequence[Column],
     k: int,
     rank: str = "rank",
-    salts: int = 32,
+    salts: int = 256,
 ) -> DataFrame:
     """First ``k`` rows of each group, exact for groups of any size.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.text import default_stop_words, remove_stop_words, words
+from affinis.functions.text import clean_text, default_stop_words, remove_stop_words, words
 
 
 def message_words(messages: DataFrame) -> DataFrame:
@@ -41,3 +41,25 @@ def normalise_tokens(
     listed = list(stop_words) if stop_words is not None else default_stop_words()
     stemmed = stem_tokens(tokens, stems)
     return stemmed.where((F.col("token") != "") & ~F.col("token").isin(listed))
+
+
+def clean_messages(
+    messages: DataFrame,
+    cleaning: Callable[[Column], Column] = clean_text,
+    tokenize: bool = True,
+    stems: DataFrame | None = None,
+    stop_words: Iterable[str] | None = None,
+) -> DataFrame:
+    """Cleaned ``(message_id, channel_id, message)``, or its tokens without stop words.
+
+    ``cleaning`` is any Column function. Tokens come as an array column ``tokens``; with a stem
+    dictionary they come one per row, ``(message_id, channel_id, pos, token)``.
+    """
+    cleaned = messages.select("message_id", "channel_id", cleaning(F.col("message")).alias("message"))
+    if not tokenize:
+        return cleaned
+    split = cleaned.select("message_id", "channel_id", words(F.col("message")).alias("raw"))
+    if stems is None:
+        return remove_stop_words(split, "raw", "tokens", stop_words).drop("raw")
+    keyed = split.select(F.struct("message_id", "channel_id").alias("message_id"), F.col("raw").alias("tokens"))
+    return normalise_tokens(keyed, stems, stop_words).select("message_id.*", "pos", "token")

@@ -27,6 +27,14 @@ def neighbour_table(vectors: DataFrame, k: int = C.NEIGHBOURS, **options) -> Dat
     return top_k(corpus, corpus, k, **options).withColumnRenamed("query_id", "channel_id")
 
 
+def neighbour_lists(neighbours: DataFrame, k: int | None = None) -> DataFrame:
+    """``(channel_id, neighbours)``: one ranked array per channel, at most the stored ``k`` long."""
+    rows = neighbours if k is None else neighbours.where(F.col("rank") <= k)
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "neighbour_id", "sim")))
+    bare = F.transform(ranked, lambda x: F.struct(x["neighbour_id"], x["sim"]))
+    return rows.groupBy("channel_id").agg(bare.alias("neighbours"))
+
+
 def write_neighbours(neighbours: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store the table so that the rows of a channel lie together and skip by channel id."""
     neighbours.repartitionByRange("channel_id", "rank").sortWithinPartitions(

@@ -120,6 +120,32 @@ def group_vectors(
     return means.select("group_id", "embedding")
 
 
+Selector = Callable[[DataFrame], DataFrame]
+
+
+def long_messages(rows: DataFrame, min_words: int = C.LONG_MESSAGE_WORDS) -> DataFrame:
+    """Selector: whole messages with more than ``min_words`` words after link removal."""
+    kept = tx.computed(rows, "sentence", tx.drop_links(F.col("text")))
+    return kept.where(F.size(tx.words(F.col("sentence"))) > min_words).select(
+        "group_id", "item_id", F.lit(0).alias("pos"), "sentence"
+    )
+
+
+def selected_vectors(
+    rows: DataFrame,
+    selector: Selector = long_messages,
+    encoder: Encoder | None = None,
+    min_items: int = C.MIN_MESSAGES,
+) -> DataFrame:
+    """``(group_id, embedding)`` from any selector and encoder: the mean over what was selected,
+    for groups with at least ``min_items`` of it. One pass, one partial aggregate."""
+    encoded = (encoder or hashed_encoder())(selector(rows))
+    means = encoded.groupBy("group_id").agg(
+        as_array(Summarizer.mean(F.col("vec"))).alias("embedding"), F.count(F.lit(1)).alias("n")
+    )
+    return means.where(F.col("n") >= min_items).select("group_id", "embedding")
+
+
 def first_channels(messages: DataFrame, n: int) -> DataFrame:
     """Messages of the first ``n`` channels by id, counted before any eligibility; -1 means all."""
     if n == -1:

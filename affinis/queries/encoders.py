@@ -289,6 +289,59 @@ def tfidf_similar_docs(spark, sf):
 )
 def tfidf_channel_vectors(spark, sf):
     model, vectors = _fitted(spark, sf)
+    means = _channel_means(spark, sf, vectors).withColumnRenamed("id", "doc_id")
+    rows = model.long_form(means)
+    return rows.select(
+        F.col("doc_id").alias("channel_id"), "term", I.round6(F.col("weight")).alias("weight")
+    )
+
+
+def _channel_means(spark, sf, vectors):
     groups = I.table(spark, sf, "documents").select("doc_id", I.source_id().alias("group"))
-    out = tfidf.average_by(model.long_form(vectors), groups, "n")
-    return out.select(F.col("group").alias("channel_id"), "term", I.round6(F.col("weight")).alias("weight"))
+    return tfidf.average_by(vectors, groups)
+
+
+@query(
+    "tfidf_similar_channels",
+    f"""{_TFIDF},
+  sizes AS (SELECT {I.SOURCE_ID_SQL} AS channel_id, count(*) AS n FROM documents GROUP BY ALL),
+  means AS (
+    SELECT channel_id, term, sum(weight) / any_value(n) AS w
+    FROM unit JOIN (SELECT doc_id, {I.SOURCE_ID_SQL} AS channel_id FROM documents) USING (doc_id)
+    JOIN sizes USING (channel_id) GROUP BY channel_id, term),
+  norms AS (SELECT channel_id, sqrt(sum(w * w)) AS norm FROM means GROUP BY channel_id),
+  hits AS (
+    SELECT a.channel_id, b.channel_id AS neighbour_id, round(sum(a.w * b.w) / any_value(x.norm * y.norm), 12) AS sim
+    FROM means a JOIN means b ON a.term = b.term AND a.channel_id <> b.channel_id
+    JOIN norms x ON x.channel_id = a.channel_id JOIN norms y ON y.channel_id = b.channel_id GROUP BY ALL)
+  SELECT channel_id, rank, neighbour_id, {I.r6('sim')} AS sim FROM (
+    SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS rank FROM hits)
+  WHERE rank <= {C.RESULTS}""",
+)
+def tfidf_similar_channels(spark, sf):
+    model, vectors = _fitted(spark, sf)
+    means = materialise(_channel_means(spark, sf, vectors), "tfidf-channels")
+    hits = sim.top_k(means, means, C.RESULTS, exclude="self", dim=max(1, len(model.terms)))
+    return hits.select(
+        F.col("query_id").alias("channel_id"), F.col("rank").cast("bigint").alias("rank"),
+        "neighbour_id", I.round6(F.col("sim")).alias("sim"),
+    )
+
+
+@query(
+    "selected_channel_embeddings",
+    f"""WITH picked AS MATERIALIZED (
+          SELECT channel_id, message_id, {Q.words('lower(clean)')} AS t
+          FROM (SELECT channel_id, message_id, {Q.drop_links('message')} AS clean FROM ({I.DOCUMENT_MESSAGES_SQL}))
+          WHERE len({Q.words('clean')}) > {C.LONG_MESSAGE_WORDS}),
+        sizes AS (SELECT channel_id, count(*) AS n FROM picked GROUP BY channel_id HAVING count(*) >= {C.MIN_MESSAGES}),
+        hits AS (SELECT channel_id, message_id, {Q.bucket('t')} AS dim, count(*) AS c
+                 FROM (SELECT channel_id, message_id, unnest(t) AS t FROM picked) GROUP BY ALL),
+        units AS (SELECT channel_id, dim, c / sqrt(sum(c * c) OVER (PARTITION BY channel_id, message_id)) AS w FROM hits)
+        SELECT channel_id, CAST(dim AS INTEGER) AS dim, {I.r6('sum(w) / any_value(n)')} AS value
+        FROM units JOIN sizes USING (channel_id) GROUP BY channel_id, dim""",
+)
+def selected_channel_embeddings(spark, sf):
+    """Whole long messages as the items of a channel, instead of sampled sentences."""
+    vectors = pv.selected_vectors(_group_rows(spark, sf)).withColumnRenamed("group_id", "channel_id")
+    return _long(vectors, "channel_id").where("value <> 0")

@@ -47,6 +47,16 @@ def topk_neighbours_grid(spark, sf):
     return _shown(_neighbours(spark, sf, method="grid", panel_bytes=1 << 17), "channel_id")
 
 
+@query(
+    "neighbour_lists",
+    f"""SELECT channel_id, string_agg(neighbour_id, ',' ORDER BY rank) AS neighbours
+        FROM ({_RANKED}) WHERE rank <= 10 GROUP BY channel_id""",
+)
+def neighbour_lists(spark, sf):
+    lists = search.neighbour_lists(_neighbours(spark, sf), 10)
+    return lists.select("channel_id", F.array_join("neighbours.neighbour_id", ",").alias("neighbours"))
+
+
 @query(
     "topk_with_cutoff",
     f"""SELECT channel_id, rank, neighbour_id, {I.r6('sim')} AS sim FROM ({_RANKED})

@@ -174,3 +174,22 @@ def normalise_tokens(spark, sf):
     stems = spark.createDataFrame(list(STEMS.items()), "token string, stem string")
     out = tk.normalise_tokens(tokens, stems, STOP_WORDS)
     return out.select("message_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+_CLEAN = f"""
+  SELECT message_id, channel_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+  FROM (SELECT message_id, channel_id, {Q.words(Q.clean_text('message'))} AS t FROM ({I.DOCUMENT_MESSAGES_SQL}))"""
+
+
+@query(
+    "clean_stemmed_messages",
+    f"""SELECT message_id, channel_id, pos, token FROM (
+          SELECT r.message_id, r.channel_id, r.pos, coalesce(m.stem, r.token) AS token FROM ({_CLEAN}) r
+          LEFT JOIN (SELECT * FROM (VALUES {_STEM_SQL}) v(token, stem)) m ON r.token = m.token)
+        WHERE token <> '' AND token NOT IN ({_STOP_SQL})""",
+)
+def clean_stemmed_messages(spark, sf):
+    """The whole text path: clean, split, stem, drop stop words."""
+    stems = I.configure(spark).createDataFrame(list(STEMS.items()), "token string, stem string")
+    out = tk.clean_messages(I.document_messages(spark, sf), stems=stems, stop_words=STOP_WORDS)
+    return out.select("message_id", "channel_id", F.col("pos").cast("bigint").alias("pos"), "token")

@@ -31,6 +31,14 @@ def test_neighbour_table_invariants(corpus):
         assert all(a.sim >= b.sim for a, b in zip(rows, rows[1:]))
 
 
+def test_neighbour_lists(corpus):
+    _, _, neighbours = corpus
+    rows = search.neighbour_lists(neighbours, 3).collect()
+    assert len(rows) == 40 and all(len(r.neighbours) == 3 for r in rows)
+    flat = {(r.channel_id, r.rank): r.neighbour_id for r in neighbours.collect()}
+    assert all(n.neighbour_id == flat[(r.channel_id, i)] for r in rows for i, n in enumerate(r.neighbours, 1))
+
+
 @pytest.mark.parametrize("text", ["chan_1", "https://t.me/chan_1", "t.me/chan_1", "@chan_1"])
 def test_lookup_forms(spark, corpus, text):
     _, meta, neighbours = corpus

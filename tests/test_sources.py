@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from affinis.operators import tokens as tk
 from affinis.sources import channels as ch
 from affinis.sources import messages as ms
 
@@ -79,3 +80,19 @@ def test_channel_checks(spark, tmp_path):
     assert ch.read_embeddings(spark, str(tmp_path / "e")).count() == 3
     with pytest.raises(TypeError):
         ch.write_embeddings(meta.withColumn("embedding", F.lit("x")), str(tmp_path / "f"))
+
+
+def test_channel_csv(spark, tmp_path):
+    meta = spark.createDataFrame([(1, "a_name", 'T "x"', "two\nlines")], ch.CHANNELS)
+    meta.write.options(**ms.CSV_WRITE).csv(str(tmp_path / "c"))
+    assert [tuple(r) for r in ch.read_channels(spark, str(tmp_path / "c")).collect()] == [(1, "a_name", 'T "x"', "two\nlines")]
+
+
+def test_clean_messages_modes(spark):
+    df = spark.createDataFrame([(1, 9, "The cats, the DOGS!")], "message_id bigint, channel_id bigint, message string")
+    assert tuple(tk.clean_messages(df, tokenize=False).first()) == (1, 9, "the cats the dogs")
+    assert tk.clean_messages(df, cleaning=F.upper, tokenize=False).first().message == "THE CATS, THE DOGS!"
+    assert tk.clean_messages(df).first().tokens == ["cats", "dogs"]
+    stems = spark.createDataFrame([("cats", "cat"), ("dogs", "the")], "token string, stem string")
+    rows = tk.clean_messages(df, stems=stems).orderBy("pos").collect()
+    assert [(r.message_id, r.channel_id, r.pos, r.token) for r in rows] == [(1, 9, 1, "cat")]
