@@ -16,6 +16,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# This rule adds a "not empty" filter below every explode and so computes the exploded array twice,
+# which here is the costly part of a plan: split texts, n-grams, encoded vectors.
+EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
 _SHIPPED: set[str] = set()
 
 
@@ -23,6 +26,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan here relies on and ship this package to executors."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    excluded = spark.conf.get("spark.sql.optimizer.excludedRules", "") or ""
+    if EXCLUDED_RULE not in excluded:
+        rules = ",".join(filter(None, [excluded, EXCLUDED_RULE]))
+        spark.conf.set("spark.sql.optimizer.excludedRules", rules)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent
