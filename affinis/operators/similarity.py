@@ -28,7 +28,7 @@ BROADCAST_BYTES = 64 << 20
 PANEL_BYTES = 64 << 20
 TILE_ROWS = 2048
 TILE_COLS = 512
-DIGITS = 12  # scores are rounded here so that equal vectors tie exactly and ids decide
+DIGITS = 9  # scores are rounded here so that equal vectors tie exactly and ids decide
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -482,7 +482,11 @@ def threshold_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     lanes: int | None = None,
 ) -> DataFrame:
-    """All pairs with similarity at or above ``threshold``: ``(left_id, right_id, sim)``."""
+    """All pairs with similarity at or above ``threshold``: ``(left_id, right_id, sim)``.
+
+    The result is as large as the number of such pairs; where sizes or best partners are enough,
+    ``threshold_counts`` and ``leaders`` return one row per left row.
+    """
     return _compare(
         left, right, partial(_make, Pairs, threshold), _PAIRS, metric, method, dim,
         panel_bytes, broadcast_bytes, lanes,

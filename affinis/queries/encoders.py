@@ -263,7 +263,7 @@ def roundtrip_sparse(spark, sf):
 @query(
     "tfidf_similar_docs",
     f"""{_TFIDF},
-  hits AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, round(sum(a.weight * b.weight), 12) AS sim
+  hits AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, round(sum(a.weight * b.weight), 9) AS sim
            FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL)
   SELECT doc_id, rank, similar_id, {I.r6('sim')} AS sim FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, similar_id) AS rank FROM hits)
@@ -311,7 +311,7 @@ def _channel_means(spark, sf, vectors):
     JOIN sizes USING (channel_id) GROUP BY channel_id, term),
   norms AS (SELECT channel_id, sqrt(sum(w * w)) AS norm FROM means GROUP BY channel_id),
   hits AS (
-    SELECT a.channel_id, b.channel_id AS neighbour_id, round(sum(a.w * b.w) / any_value(x.norm * y.norm), 12) AS sim
+    SELECT a.channel_id, b.channel_id AS neighbour_id, round(sum(a.w * b.w) / any_value(x.norm * y.norm), 9) AS sim
     FROM means a JOIN means b ON a.term = b.term AND a.channel_id <> b.channel_id
     JOIN norms x ON x.channel_id = a.channel_id JOIN norms y ON y.channel_id = b.channel_id GROUP BY ALL)
   SELECT channel_id, rank, neighbour_id, {I.r6('sim')} AS sim FROM (

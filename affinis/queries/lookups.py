@@ -60,7 +60,7 @@ def _search_sql(requests_sql: str, rule) -> str:
     return f"""
   SELECT request_id, rank, m.link, m.title, {I.r6('sim')} AS sim FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, channel_id) AS rank FROM (
-      SELECT q.id AS request_id, c.id AS channel_id, round({Q.cosine('q.vec', 'c.vec')}, 12) AS sim
+      SELECT q.id AS request_id, c.id AS channel_id, round({Q.cosine('q.vec', 'c.vec')}, 9) AS sim
       FROM ({Q.vector_lists(Q.group_vectors(requests_sql, rule))}) q, ({_CORPUS}) c)) h
   JOIN ({_SOURCES}) m USING (channel_id) WHERE rank <= {C.RESULTS}"""
 

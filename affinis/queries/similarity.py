@@ -14,7 +14,7 @@ from affinis.queries.registry import query
 
 _ALL = f"""
   SELECT a.vec_id AS channel_id, b.vec_id AS neighbour_id,
-         round({Q.cosine('a.embedding', 'b.embedding')}, 12) AS sim
+         round({Q.cosine('a.embedding', 'b.embedding')}, 9) AS sim
   FROM embeddings a, embeddings b"""
 _RANKED = f"""
   SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS rank,
@@ -83,7 +83,7 @@ def topk_exclude_top1(spark, sf):
           SELECT channel_id, neighbour_id, sim,
                  row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS rank
           FROM (SELECT a.vec_id AS channel_id, b.vec_id AS neighbour_id,
-                       round(-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS sim
+                       round(-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim
                 FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 10""",
 )
 def topk_euclidean(spark, sf):
@@ -142,7 +142,7 @@ def _search_sql(skip: int) -> str:
   SELECT request_id, r - {skip} AS rank, neighbour_id, {I.r6('sim')} AS sim FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, neighbour_id) AS r FROM (
       SELECT q.label AS request_id, b.vec_id AS neighbour_id,
-             round({Q.cosine('q.vec', 'b.embedding')}, 12) AS sim
+             round({Q.cosine('q.vec', 'b.embedding')}, 9) AS sim
       FROM ({_LABEL_MEANS}) q, embeddings b))
   WHERE r > {skip} AND r <= {C.NEIGHBOURS + skip}"""
 

@@ -7,7 +7,7 @@ from affinis.operators import communities as cm
 
 def greedy(m, threshold, min_size):
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    near = np.round(unit @ unit.T, 12) >= threshold
+    near = np.round(unit @ unit.T, 9) >= threshold
     order = sorted((i for i in range(len(m)) if near[i].sum() >= min_size), key=lambda i: (-near[i].sum(), i))
     taken, out = set(), []
     for i in order:

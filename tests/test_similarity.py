@@ -22,7 +22,7 @@ def _frame(spark, m, start=0):
 def _cos(a, b):
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     s = a @ b.T / np.where(na == 0, 1, na)[:, None] / np.where(nb == 0, 1, nb)[None, :]
-    return np.round(s, 12)
+    return np.round(s, 9)
 
 
 def _brute(s, k, skip=0, own=False):
@@ -77,8 +77,8 @@ def test_metrics_and_cutoff(spark):
     m = _vectors(30, seed=9)
     df = _frame(spark, m)
     for metric, s in (
-        ("dot", np.round(m @ m.T, 12)),
-        ("euclidean", np.round(-np.linalg.norm(m[:, None] - m[None], axis=2), 12)),
+        ("dot", np.round(m @ m.T, 9)),
+        ("euclidean", np.round(-np.linalg.norm(m[:, None] - m[None], axis=2), 9)),
     ):
         rows = sim.top_k(df, df, 3, exclude="self", metric=metric).collect()
         for r in rows:
