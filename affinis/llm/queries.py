@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from affinis.llm import query_pieces  # noqa: F401
+from affinis.llm import query_pieces, query_private, query_secrets  # noqa: F401
 from affinis.llm.registry import ORACLES, QUERIES
 
 
