@@ -30,7 +30,7 @@ from affinis.llm.batches import flat_array, sliced, texts_of
 
 MARK = "▁"
 CACHED_CHUNKS = 200_000
-PIECE_BYTES = 8 << 20  # text bytes per result batch
+PIECE_BYTES = 4 << 20  # text bytes per result batch
 
 
 class CharacterMap:
