@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from affinis.llm import query_chat, query_pieces, query_private, query_secrets, query_topk  # noqa: F401
+from affinis.llm import query_chat, query_licences, query_pieces, query_private  # noqa: F401
+from affinis.llm import query_revisits, query_secrets, query_topk  # noqa: F401
 from affinis.llm.registry import ORACLES, QUERIES
 
 
