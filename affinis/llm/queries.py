@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from affinis.llm import query_chat, query_jaccard, query_licences, query_pieces  # noqa: F401
-from affinis.llm import query_private  # noqa: F401
+from affinis.llm import query_chat, query_decontaminate, query_jaccard, query_licences  # noqa: F401
+from affinis.llm import query_pieces, query_private  # noqa: F401
 from affinis.llm import query_revisits, query_secrets, query_topk  # noqa: F401
 from affinis.llm.registry import ORACLES, QUERIES
 
