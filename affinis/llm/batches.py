@@ -112,3 +112,13 @@ def ngrams(offsets: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 def signed(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's ``bigint``."""
     return values.view(np.int64)
+
+
+def making_room(df, results, needed=()):
+    """``df`` without columns that have the name of a result, in any case of letters: results replace
+    them. A result must not have the name of a column that the operator reads."""
+    names = {x.lower() for x in results}
+    taken = names & {x.lower() for x in needed}
+    if taken:
+        raise ValueError(f"results cannot be named like the columns they are made of: {sorted(taken)}")
+    return df.select(*(f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in names))

@@ -7,8 +7,8 @@ back, and carry the span that counts for the loss.
 
 Defined cases: records that are null, no JSON object, or of a fingerprint without mapping give one
 row with a null ``layout``, role and text; null texts and roles are empty; a record without turns
-gives no rows; repeated records give repeated rows; an input that already has a result column is an
-error.
+gives no rows; repeated records give repeated rows; a column of the input that has the name
+of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from affinis.llm.batches import making_room
+
 # -- layouts ------------------------------------------------------------------------------------
 
 
@@ -126,16 +128,14 @@ def canonical_turns(df: DataFrame, record: str = "record", mappings: dict[str, M
     ``part`` numbers the turns of a record from 0.
     """
     known = MAPPINGS if mappings is None else mappings
-    kept = [f for f in df.schema.fields if f.name != record]
     added = [
         T.StructField("layout", T.StringType()),
         T.StructField("part", T.IntegerType()),
         T.StructField("role", T.StringType()),
         T.StructField("text", T.StringType()),
     ]
-    clash = {f.name.lower() for f in added} & {f.name.lower() for f in kept}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
+    df = making_room(df, [f.name for f in added], [record])
+    kept = [f for f in df.schema.fields if f.name != record]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +192,7 @@ def unescaped(text: str) -> str:
 def formatted(turns: DataFrame, learned: str = "assistant") -> DataFrame:
     """``turns`` with ``segment`` and the span ``[loss_start, loss_end)`` of it that counts for the
     loss, empty for turns of other roles. The segments of a conversation follow each other."""
-    clash = {"segment", "loss_start", "loss_end"} & {c.lower() for c in turns.columns}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
+    turns = making_room(turns, ["segment", "loss_start", "loss_end"])
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(OPEN + ROLE), escaped(role), F.lit(TEXT))
     start = F.length(head)

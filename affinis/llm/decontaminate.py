@@ -12,7 +12,8 @@ sent is bounded and texts are not shuffled.
 
 Defined cases: null or empty texts hold nothing; items with a null id or fewer than ``N`` words take no
 part; repeated items of one id count each, the best alignment per id is reported; repeated rows
-give repeated rows; other columns pass through; an input that has the result column is an error.
+give repeated rows; other columns pass through, but one that has the name of the
+result is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.batches import flat_array, ngrams, signed, sliced, texts_of, word_hashes
+from affinis.llm.batches import flat_array, making_room, ngrams, signed, sliced, texts_of, word_hashes
 from affinis.session import materialise
 
 N = 3
@@ -289,8 +290,7 @@ def with_leaks(
 ) -> DataFrame:
     """``docs`` with the array ``out`` of ``(item_id, score, start, end)``: the items that leak into each
     text, the share of the item that its alignment earns, and the words ``[start, end)`` of the text."""
-    if out.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"the input already has a column {out}")
+    docs = making_room(docs, [out], [text])
     words = materialise(_item_words(items, key, item_text, n), "items")
     total = words.select(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // block_words))

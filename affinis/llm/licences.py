@@ -9,7 +9,7 @@ A sentence ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at
 line breaks, its single lines are looked up behind it as well.
 
 Defined cases: null and empty texts have no licences; repeated rows give repeated rows; other columns
-pass through; an input that already has a result column is an error.
+pass through, but one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinis.llm.batches import making_room
+
 GAP = 10
 
 # fixed values: licence sentences as normalised text
@@ -120,9 +122,7 @@ def identifiers(text: Column) -> Column:
 
 def find_licences(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``sentence_ids`` and ``licences`` (arrays of string, in the order of the text)."""
-    clash = {"sentence_ids", "licences", "_sequence"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
+    df = making_room(df, ["sentence_ids", "licences", "_sequence"], [text])
     sequence = F.when(F.rlike(F.col(text), F.lit(MARKS)), identifiers(F.col(text))).otherwise("")
     names = _lookup(NAMES)
     return (

@@ -7,8 +7,7 @@ reach across, byte-pair merges run once per distinct chunk of a batch, and every
 to the source bytes ``[begin, end)`` it stands for.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows give
-repeated rows; columns that the operator does not name pass through untouched, and a column of the
-input that has the name of a result is an error.
+repeated rows; other columns pass through, but one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from affinis.llm.batches import flat_array, sliced, texts_of
+from affinis.llm.batches import flat_array, making_room, sliced, texts_of
 
 MARK = "▁"
 CACHED_CHUNKS = 200_000
@@ -374,13 +373,6 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
-def _added(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    clash = {f.name.lower() for f in fields} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
-    return T.StructType([*df.schema.fields, *fields])
-
-
 def _list(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
@@ -394,7 +386,8 @@ def encode(df: DataFrame, model: bytes, text: str = "text", decoded: str | None
     fields = [T.StructField(x, ints, False) for x in ("ids", "begins", "ends")]
     if decoded:
         fields.append(T.StructField(decoded, T.StringType(), False))
-    schema = _added(df, fields)
+    df = making_room(df, [f.name for f in fields], [text])
+    schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
@@ -412,7 +405,8 @@ def encode(df: DataFrame, model: bytes, text: str = "text", decoded: str | None
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids; null ids decode to the empty text."""
-    schema = _added(df, [T.StructField(out, T.StringType(), False)])
+    df = making_room(df, [out], [ids])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)

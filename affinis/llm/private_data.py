@@ -7,7 +7,7 @@ the shape of an address, become their signs. Each rewritten piece remembers its
 Identifiers found in the result that touch a rewritten piece are mapped back and added.
 
 Defined cases: null and empty texts have no spans; repeated rows give repeated rows; other columns
-pass through; an input that already has the result column is an error.
+pass through, but one that has the name of the result is replaced by it.
 """
 
 from __future__ import annotations

@@ -3,17 +3,19 @@
 1. Words are hashed into ``BUCKETS``. Each bucket owns a sparse random vector of ``NONZERO`` signs. Over
    *all* texts, the vector of a word is the sum of the random vectors of its neighbours; the sums are
    whole numbers, so tasks add up to the same vectors in any order.
-2. A text is the mean of its words' vectors at unit length, frequent words weighing less.
+2. A text is the mean of its words' vectors at unit length, frequent words weighing less, and of
+   ``PRIOR`` average words, so that a few words are not taken for more than they tell.
 3. A network of two layers is fitted on at most ``SAMPLE`` labelled texts (by hash of the id), and a
    temperature on a part of them that the network does not see.
 
 A word here keeps its case, and the marks around it are a word of their own, because shouting and
-symbols tell as much as letters.
+symbols tell as much as letters. A token that repeats the one before counts as the one word
+``again``, whatever it is.
 
-Defined cases: null and empty texts have the zero vector and are scored like any other; labels that
+Defined cases: null and empty texts are average words only, and scored like any other; labels that
 are null or of no text are not used, of repeated ones the largest counts; without both labels in the sample the
-score is the smoothed share of label 1; repeated rows give repeated rows; other columns pass through; an input that has
-the result column is an error.
+score is the smoothed share of label 1; repeated rows give repeated rows; other columns pass through, but one that
+has the name of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.batches import CACHED_TOKENS, flat_array, sliced, texts_of, tokens_of
+from affinis.llm.batches import CACHED_TOKENS, flat_array, making_room, sliced, texts_of, tokens_of
 
 BUCKETS = 1 << 13
 WIDTH = 64
@@ -38,14 +40,16 @@ WINDOW = 2  # neighbours on each side
 SAMPLE = 20_000
 HIDDEN = 32
 EPOCHS = 30
+PRIOR = 10
 SLICE = 1 << 20
+AGAIN = 0  # bucket of repeated tokens
 _COMMON = 1e-3  # a word of this share of all words weighs one half
 _PARTS = re.compile(r"[^\W_]+|[\W_]+")
 _CODES: dict[str, list[int]] = {}
 
 
 def _codes(token: str) -> list[int]:
-    return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) % BUCKETS for x in _PARTS.findall(token)]
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) % (BUCKETS - 1) + 1 for x in _PARTS.findall(token)]
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +65,14 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if len(token) < 16:
                 _CODES[token] = found
         lists.append(found)
+    lists.append([AGAIN])
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = np.array([c for x in lists for c in x], np.int64)
     if not len(codes):
-        return offsets, flat
+        return offsets, flat[:0]
+    again = np.append(False, codes[1:] == codes[:-1])
+    again[offsets[:-1][offsets[:-1] < len(codes)]] = False
+    codes = np.where(again, len(distinct), codes)
     lengths = sizes[codes]
     stops = np.concatenate([[0], np.cumsum(lengths)])
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -106,7 +114,8 @@ def word_sums(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """``BUCKETS x WIDTH`` vectors, at unit length times the weight of the word (two megabytes)."""
+    """``BUCKETS x WIDTH`` vectors, at unit length times the weight of the word (two megabytes), and
+    as last row the average word."""
     found = word_sums(docs, text).toArrow()
     out, counts = np.zeros((BUCKETS, WIDTH)), np.zeros(BUCKETS)
     bucket = found["bucket"].to_numpy()
@@ -115,15 +124,15 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         out[bucket, i] = found[f"v{i}"].to_numpy()
     length = np.sqrt((out**2).sum(axis=1, keepdims=True))
     share = counts / max(1.0, counts.sum())
-    return (out / np.maximum(length, 1) * (_COMMON / (_COMMON + share))[:, None]).astype(np.float32)
+    out = out / np.maximum(length, 1) * (_COMMON / (_COMMON + share))[:, None]
+    return np.vstack([out, share @ out]).astype(np.float32)
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """The mean vector of each text's words; zero for a text without."""
+    """The mean vector of each text's words and ``PRIOR`` average ones."""
     offsets, words = word_codes(texts)
     sizes = np.diff(offsets)
-    out = np.zeros((len(sizes), WIDTH))
-    some = np.flatnonzero(sizes)
+    out = np.tile(PRIOR * vectors[-1].astype(float), (len(sizes), 1))
     # a text longer than the slice is summed in pieces
     limit = SLICE // 4
     for lo in range(0, len(words), limit):
@@ -134,8 +143,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
         rows = rows[sizes[rows] > 0]
         starts = np.maximum(offsets[rows], lo) - lo
         out[rows] += np.add.reduceat(vectors[words[lo:hi]], starts, axis=0)
-    out[some] /= sizes[some][:, None]
-    return out
+    return out / (sizes + PRIOR)[:, None]
 
 
 @dataclass
@@ -238,8 +246,7 @@ def fit(
 
 def score(df: DataFrame, classifier: Classifier, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the probability of label 1 as ``out``."""
-    if out.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"the input already has a column {out}")
+    df = making_room(df, [out], [text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text, SLICE):

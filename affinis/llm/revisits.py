@@ -12,7 +12,8 @@ Defined cases: header lines without a colon are left out, of repeated names the
 are compared in lower case; null blocks have no headers; records with a null URL meet each other only; records
 with a null date come first; a response of the same instant is not earlier; a revisit without an earlier response is
 ``no-response``, one without common validators ``unchecked``, one whose validators differ ``mismatch``,
-and none of the three is resolved; repeated records each count; an input with clashing columns is an error.
+and none of the three is resolved; repeated records each count; columns that are not named
+to the operator play no part, whatever they are called.
 """
 
 from __future__ import annotations

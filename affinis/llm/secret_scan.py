@@ -8,7 +8,7 @@ joined to spans. An allow-list suppresses spans that are known not to be secrets
 base span are not repeated.
 
 Defined cases: null and empty texts have no spans; repeated rows give repeated rows; other columns
-pass through; an input that already has the result column is an error.
+pass through, but one that has the name of the result is replaced by it.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.batches import sliced, texts_of
+from affinis.llm.batches import making_room, sliced, texts_of
 
 Found = list[tuple[int, int, int, bool]]  # start, kind (as a number), end, added by the method
 SPAN = T.StructType(
@@ -42,8 +42,7 @@ def with_spans(
     df: DataFrame, scan: Callable[[bytes], Found], kinds: tuple[str, ...], text: str, out: str
 ) -> DataFrame:
     """``df`` with the array ``out`` of spans that ``scan`` finds in each whole text."""
-    if out.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"the input already has a column {out}")
+    df = making_room(df, [out], [text])
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(SPAN, False), False)])
     arrow = pa.list_(
         pa.struct(
