@@ -78,12 +78,14 @@ def div_texts(html: str, wanted) -> dict[str, list[str]]:
 def parse_batches(batches, header_class: str, message_class: str, extra_class: str):
     wanted = (header_class, message_class, extra_class)
     for batch in batches:
-        headers, messages, extras = [], [], []
+        headers, messages, extras, errors = [], [], [], []
         for html in batch.column("html").to_pylist():
+            error = None
             try:
                 texts = div_texts(html, wanted)
-            except Exception:  # a page that cannot be read counts as an empty one
-                texts = {name: [] for name in wanted}
+            except Exception as failure:  # a page that cannot be read counts as an empty one
+                texts, error = {name: [] for name in wanted}, f"{type(failure).__name__}: {failure}"
+            errors.append(error)
             headers.append(texts[header_class][0] if texts[header_class] else "")
             messages.append(texts[message_class])
             extras.append(texts[extra_class][0] if texts[extra_class] else None)
@@ -95,6 +97,7 @@ def parse_batches(batches, header_class: str, message_class: str, extra_class: s
                 pa.array(headers, pa.string()),
                 pa.array(messages, pa.list_(pa.string())),
                 pa.array(extras, pa.string()),
+                pa.array(errors, pa.string()),
             ],
-            names=[*names, "header", "messages", "extra"],
+            names=[*names, "header", "messages", "extra", "error"],
         )

@@ -132,8 +132,8 @@ def is_recent(date: Column, column_type: str, cutoff: str = C.RECENT_AFTER) -> C
     """Strictly after the day ``cutoff``.
 
     For timestamps this is a plain lower bound on the column, which reaches the parquet scan.
-    Text dates compare by their first word.
+    Text dates compare by their first word; a blank date is not recent.
     """
     if column_type == "string":
-        return F.element_at(words(date), 1) > F.lit(cutoff)
+        return F.try_element_at(words(date), F.lit(1)) > F.lit(cutoff)
     return date >= F.date_add(F.lit(cutoff).cast("date"), 1).cast(column_type)

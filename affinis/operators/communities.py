@@ -4,10 +4,12 @@ The sequential rule is: take the candidates by size, keep one if none of its mem
 Here a round keeps, at once, every candidate that is the best remaining one for all of its
 members, and drops every candidate that shares a member with those. A round compares vectors
 panel by panel and emits one row per vector, so a dense group never becomes a list of pairs.
+A vector without a remaining candidate in reach, or with a kept one, is not compared again.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -19,8 +21,6 @@ from affinis.operators import similarity as sim
 from affinis.operators.ordered import ordered_parts, row_numbers
 from affinis.session import materialise, materialise_counted
 
-TAIL = 2048
-
 
 def candidates(
     vectors: DataFrame,
@@ -39,19 +39,17 @@ def communities(
     vectors: DataFrame,
     threshold: float = C.COMMUNITY_THRESHOLD,
     min_size: int = C.COMMUNITY_MIN_SIZE,
-    tail: int = TAIL,
     **options,
 ) -> DataFrame:
     """``(community_id, centre_id, size, channel_id)`` from ``vectors(id, vec)``.
 
-    Communities are numbered from 0 by falling size, then centre id. Rounds go on until at most
-    ``tail`` candidates are left; those are settled in one pass.
+    Communities are numbered from 0 by falling size, then centre id. Rounds go on until no
+    candidate is left; each is three passes over what is left, and their number is bounded by the
+    longest chain of overlapping candidates of falling rank.
     """
-    pool = vectors.select("id", "vec")
-    dim = options.setdefault("dim", sim.dimension(pool))
-    tail = min(tail, options.get("broadcast_bytes", sim.BROADCAST_BYTES) // (8 * max(dim, 1)))
-    everyone = pool.count()
-    sizes = candidates(pool, threshold, min_size, **options)
+    pool, n_pool = materialise_counted(vectors.select("id", "vec"), "pool")
+    options.setdefault("dim", sim.dimension(pool))
+    sizes = candidates(pool, threshold, min_size, left_rows=n_pool, right_rows=n_pool, **options)
     live, n_live = materialise_counted(
         pool.join(sizes, F.col("id") == F.col("centre_id")).select(
             "id", "vec", F.col("size").alias("weight"), F.col("id").alias("leader")
@@ -61,34 +59,29 @@ def communities(
     found = None
     while n_live:
         centres = live.select("id", "vec")
-        if n_live <= tail:
-            kept = _settle(centres, live, pool, threshold, n_live, options)
-            best = sim.leaders(
-                pool, live.join(kept, "id", "left_semi"), threshold, left_rows=everyone, **options
-            )
-            taken, n_live = materialise(best.select("id", "weight", "leader"), "taken"), 0
-        else:
-            # best live candidate of each vector; members of accepted communities have none
-            best = sim.leaders(
-                pool, live, threshold, left_rows=everyone, right_rows=n_live, **options
-            )
-            reached = materialise(
-                pool.join(best, "id").select("id", "vec", "weight", "leader"), "reached"
-            )
-            # every member prefers the candidate itself or a better one; it wins if none is better
-            rival = sim.leaders(centres, reached, threshold, left_rows=n_live, **options)
-            winners = rival.where("id = leader").select("leader")
-            taken = materialise(reached.join(winners, "leader", "left_semi"), "taken")
-            # candidates that reach a taken member are out; the winners reach their own
-            touched = sim.threshold_counts(
-                centres, taken.select("id", "vec"), threshold, left_rows=n_live, **options
-            ).where("members > 0")
-            live, n_live = materialise_counted(live.join(touched, "id", "left_anti"), "live")
+        # best live candidate of each vector; members of kept communities have none
+        best = sim.leaders(pool, live, threshold, left_rows=n_pool, right_rows=n_live, **options)
+        reached, n_reached = materialise_counted(
+            pool.join(best, "id").select("id", "vec", "weight", "leader"), "reached"
+        )
+        # every member prefers the candidate itself or a better one; it wins if none is better
+        rival = sim.leaders(
+            centres, reached, threshold, left_rows=n_live, right_rows=n_reached, **options
+        )
+        winners = materialise(rival.where("id = leader").select("leader"), "winners")
+        taken, n_taken = materialise_counted(reached.join(winners, "leader", "left_semi"), "taken")
         members = taken.select(
             F.col("leader").alias("centre_id"), F.col("weight").alias("size"),
             F.col("id").alias("channel_id"),
         )
         found = members if found is None else found.unionByName(members)
+        # candidates that reach a taken member are out; the winners reach their own
+        touched = sim.threshold_counts(
+            centres, taken.select("id", "vec"), threshold, left_rows=n_live, right_rows=n_taken, **options
+        ).where("members > 0")
+        live, n_live = materialise_counted(live.join(touched, "id", "left_anti"), "live")
+        pool = reached.select("id", "vec", "leader").join(winners, "leader", "left_anti").select("id", "vec")
+        n_pool = n_reached - n_taken
     if found is None:
         empty = vectors.select(F.col("id").alias("channel_id")).limit(0)
         zero = F.lit(0).cast("bigint")
@@ -98,30 +91,6 @@ def communities(
     return number(found)
 
 
-def _settle(
-    centres: DataFrame, live: DataFrame, pool: DataFrame, threshold: float, n_live: int, options: dict
-) -> DataFrame:
-    """The accepted ones of a bounded number of candidates: ``(id)``.
-
-    One pass over the vectors finds which candidates share a member; only that table, of at most
-    ``tail`` squared bits, comes to the driver.
-    """
-    settings = {k: options[k] for k in ("metric", "dim", "broadcast_bytes") if k in options}
-    shared = sim.overlapping(centres, pool, threshold, left_rows=n_live, **settings)
-    clashes: dict[int, int] = {}
-    for row in shared.collect():
-        word = (row["bits"] & (2**64 - 1)) << (64 * row["word"])
-        clashes[row["id"]] = clashes.get(row["id"], 0) | word
-    ranked = live.select("id", "weight").collect()
-    position = {i: n for n, i in enumerate(sorted(r["id"] for r in ranked))}
-    blocked, kept = 0, []
-    for row in sorted(ranked, key=lambda r: (-r["weight"], r["id"])):
-        if not blocked >> position[row["id"]] & 1:
-            kept.append((row["id"],))
-            blocked |= clashes.get(row["id"], 0)
-    return live.sparkSession.createDataFrame(kept, "id bigint")
-
-
 def number(members: DataFrame) -> DataFrame:
     centres = members.select("centre_id", "size").distinct().withColumn("_neg", -F.col("size"))
     order = ["_neg", "centre_id"]
@@ -172,14 +141,19 @@ def community_sample(
 def project_2d(vectors: DataFrame) -> DataFrame:
     """``(channel_id, pos_x, pos_y)``: unit vectors on their two main axes.
 
-    The fit moves one ``d x d`` matrix, whatever the number of vectors.
+    The fit moves one ``d x d`` matrix, whatever the number of vectors. An axis points to where its
+    largest loading is positive, so the picture does not flip from run to run.
     """
     sized = vectors.select("id", "vec", norm(F.col("vec")).alias("length"))
     unit = sized.select("id", array_to_vector(l2_normalise(F.col("vec"), F.col("length"))).alias("v"))
     model = PCA(k=2, inputCol="v", outputCol="p").fit(unit)
+    axes = model.pc.toArray()
+    largest = axes[np.abs(axes).argmax(axis=0), [0, 1]]
     at = as_array(F.col("p"))
     return model.transform(unit).select(
-        F.col("id").alias("channel_id"), at[0].alias("pos_x"), at[1].alias("pos_y")
+        F.col("id").alias("channel_id"),
+        (at[0] * float(np.sign(largest[0]) or 1.0)).alias("pos_x"),
+        (at[1] * float(np.sign(largest[1]) or 1.0)).alias("pos_y"),
     )
 
 

@@ -28,46 +28,160 @@ BROADCAST_BYTES = 64 << 20
 PANEL_BYTES = 64 << 20
 TILE_ROWS = 2048
 TILE_COLS = 512
-DIGITS = 9  # scores are rounded here so that equal vectors tie exactly and ids decide
+DIGITS = 9  # scores equal to this many digits rank by id; thresholds and results use the raw score
+METRICS = ("cosine", "dot", "euclidean")
+CELLS = 1 << 16  # pairs whose difference is formed at a time
 NO_ID = np.iinfo(np.int64).max
 
 
 # --------------------------------------------------------------------------- arrow <-> numpy
 
 
-def _dense(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    """Vectors of a batch as a float64 matrix, from ``vec`` or from sparse ``idx``/``val``."""
-    n = batch.num_rows
+class Sparse:
+    """Rows of sparse vectors: ``starts`` (one more than rows), sorted or not, ``idx`` and ``val``."""
+
+    def __init__(self, starts: np.ndarray, idx: np.ndarray, val: np.ndarray, dim: int):
+        self.starts, self.idx, self.val, self.dim = starts, idx, val, dim
+        self._postings: tuple | None = None
+        self._parts: dict[tuple[int, int], Sparse] = {}
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, rows) -> Sparse:
+        if not isinstance(rows, slice):  # an order of rows
+            sizes = np.diff(self.starts)[rows]
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.starts[:-1][rows] - (ends - sizes), sizes) + np.arange(sizes.sum())
+            return Sparse(np.concatenate([[0], ends]), self.idx[at], self.val[at], self.dim)
+        part = self._parts.get((rows.start, rows.stop))
+        if part is None:
+            lo, hi = self.starts[rows.start], self.starts[rows.stop]
+            part = Sparse(self.starts[rows.start : rows.stop + 1] - lo, self.idx[lo:hi], self.val[lo:hi], self.dim)
+            self._parts[rows.start, rows.stop] = part  # the same tiles meet every batch
+        return part
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.rows(), self.val**2, len(self))
+
+    def dots(self, right: Sparse) -> np.ndarray:
+        """Inner products; work is done only for terms that both rows have."""
+        if self._postings is None:
+            order = np.argsort(self.idx, kind="stable")
+            first = np.searchsorted(self.idx[order], np.arange(self.dim + 1))
+            self._postings = first, self.rows()[order], self.val[order]
+        first, rows, values = self._postings
+        out = np.zeros(len(self) * len(right))
+        owners = right.rows()
+        counts = first[right.idx + 1] - first[right.idx]
+        ends = np.cumsum(counts)
+        start = 0
+        while start < len(ends):  # a bounded number of meetings at a time
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + (1 << 20), side="right")))
+            part = slice(start, stop)
+            times = counts[part]
+            at = np.repeat(first[right.idx[part]] - (ends[part] - times - base), times) + np.arange(times.sum())
+            cells = rows[at] * len(right) + np.repeat(owners[part], times)
+            out += np.bincount(cells, values[at] * np.repeat(right.val[part], times), len(out))
+            start = stop
+        return out.reshape(len(self), len(right))
+
+
+def _no_rows(dim: int, sparse: bool):
+    if not sparse:
+        return np.empty((0, dim))
+    return Sparse(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), dim)
+
+
+def _joined(parts: list):
+    if not isinstance(parts[0], Sparse):
+        return np.concatenate(parts)
+    sizes = np.concatenate([np.diff(p.starts) for p in parts])
+    return Sparse(
+        np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.idx for p in parts]),
+        np.concatenate([p.val for p in parts]), parts[0].dim,
+    )
+
+
+def _vectors(batch: pa.RecordBatch, dim: int):
+    """Vectors of a batch: a float64 matrix from ``vec``, sparse rows from ``idx`` and ``val``.
+
+    Raises for a vector of another length than ``dim`` and for null or non-finite entries.
+    """
+
+    def refuse(bad: np.ndarray, what: str) -> None:
+        if bad.any():
+            raise ValueError(f"vector of id {_column(batch, 'id')[np.argmax(bad)]} {what}")
+
+    def broken(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+        values = np.asarray(lists.flatten(), dtype=np.float64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        refuse(np.bincount(rows[~np.isfinite(values)], minlength=len(sizes)) > 0, "has null or non-finite entries")
+        return sizes, values, rows
+
     if "vec" in batch.schema.names:
-        flat = batch.column(batch.schema.get_field_index("vec")).flatten()
-        return np.asarray(flat, dtype=np.float64).reshape(n, dim)
-    idx = batch.column(batch.schema.get_field_index("idx"))
-    val = batch.column(batch.schema.get_field_index("val"))
-    lengths = np.diff(np.asarray(idx.offsets))
-    out = np.zeros((n, dim))
-    rows = np.repeat(np.arange(n), lengths)
-    out[rows, np.asarray(idx.flatten())] = np.asarray(val.flatten(), dtype=np.float64)
-    return out
+        sizes, values, _ = broken(batch.column(batch.schema.get_field_index("vec")))
+        refuse(sizes != dim, f"is not {dim} long")
+        return values.reshape(batch.num_rows, dim)
+    sizes, places, rows = broken(batch.column(batch.schema.get_field_index("idx")))
+    lengths, values, _ = broken(batch.column(batch.schema.get_field_index("val")))
+    refuse(sizes != lengths, "has not as many values as indices")
+    outside = (places < 0) | (places >= dim)
+    refuse(np.bincount(rows[outside], minlength=len(sizes)) > 0, f"has an index outside 0..{dim - 1}")
+    return Sparse(np.concatenate([[0], np.cumsum(sizes)]), places.astype(np.int64), values, dim)
+
 
+def _squares(matrix) -> np.ndarray:
+    return matrix.squares() if isinstance(matrix, Sparse) else np.einsum("ij,ij->i", matrix, matrix)
 
-def _prepare(matrix: np.ndarray, metric: str) -> np.ndarray:
+
+def _prepare(matrix, metric: str):
     if metric != "cosine":
         return matrix
-    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    norms = np.sqrt(_squares(matrix))
     norms[norms == 0.0] = 1.0  # a zero vector keeps similarity 0 to everything
+    if isinstance(matrix, Sparse):
+        return Sparse(matrix.starts, matrix.idx, matrix.val / norms[matrix.rows()], matrix.dim)
     return matrix / norms[:, None]
 
 
-def _scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
-    dots = left @ right.T
-    if metric == "euclidean":
-        sq = (
-            np.einsum("ij,ij->i", left, left)[:, None]
-            + np.einsum("ij,ij->i", right, right)[None, :]
-            - 2.0 * dots
-        )
-        dots = -np.sqrt(np.maximum(sq, 0.0))
-    return np.round(dots, DIGITS)
+def _scores(left, right, metric: str, least) -> np.ndarray:
+    """Scores of all pairs; those that may reach ``least`` (a number or one per left row) are exact.
+
+    Distances come from inner products first. Their error has a bound, and pairs that may be near
+    enough are computed again from differences, so that equal vectors are 0 apart.
+    """
+    dots = left.dots(right) if isinstance(left, Sparse) else left @ right.T
+    if metric != "euclidean":
+        return dots
+    size = _squares(left)[:, None] + _squares(right)[None, :]
+    square = size - 2.0 * dots
+    dim = left.dim if isinstance(left, Sparse) else left.shape[1]
+    slack = size * (4 * (dim + 4) * np.finfo(float).eps)
+    scores = -np.sqrt(np.maximum(square, 0.0))
+    maybe = -np.sqrt(np.maximum(square - slack, 0.0)) >= np.asarray(least).reshape(-1, 1)
+    rows, cols = np.nonzero(maybe)
+    for part in _tiles(len(rows), max(1, CELLS // max(1, dim // 16))):
+        scores[rows[part], cols[part]] = -_distances(left, right, rows[part], cols[part])
+    return scores
+
+
+def _distances(left, right, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    if not isinstance(left, Sparse):
+        gaps = left[rows] - right[cols]
+        return np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
+    out = np.empty(len(rows))
+    for i, (r, c) in enumerate(zip(rows, cols)):
+        gaps = np.zeros(left.dim)
+        gaps[left.idx[left.starts[r] : left.starts[r + 1]]] += left.val[left.starts[r] : left.starts[r + 1]]
+        gaps[right.idx[right.starts[c] : right.starts[c + 1]]] -= right.val[right.starts[c] : right.starts[c + 1]]
+        out[i] = np.sqrt(gaps @ gaps)
+    return out
 
 
 def _tiles(n: int, width: int) -> Iterator[slice]:
@@ -80,15 +194,15 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 # --------------------------------------------------------------------------- kernels
-# A kernel is created for one left panel, sees right batches in ascending id order, and
-# yields record batches.
+# A kernel is created for one left panel, sees right batches in any order, and yields record batches.
 
 
 class TopK:
-    """Best ``k`` right rows of each left row; ties go to the smaller id."""
+    """Best ``k`` right rows of each left row; scores equal to ``DIGITS`` digits go to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, left: np.ndarray, metric: str, k: int, drop_self: bool):
+    def __init__(self, ids: np.ndarray, left, metric: str, k: int, drop_self: bool):
         self.ids, self.left, self.metric, self.k = ids, left, metric, k
+        self.keys = np.full((len(ids), k), -np.inf)
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), NO_ID)
         self.drop_self = drop_self
@@ -96,7 +210,7 @@ class TopK:
             self.by_id = np.argsort(ids, kind="stable")
             self.sorted_ids = ids[self.by_id]
 
-    def feed(self, batch: pa.RecordBatch, right: np.ndarray):
+    def feed(self, batch: pa.RecordBatch, right):
         ids = _column(batch, "id")
         for cols in _tiles(len(ids), TILE_COLS):
             right_ids = ids[cols]
@@ -107,29 +221,33 @@ class TopK:
                 own_col = np.nonzero(self.sorted_ids[at] == right_ids)[0]
                 own_row = self.by_id[at[own_col]]
             for rows in _tiles(len(self.ids), TILE_ROWS):
-                s = _scores(self.left[rows], right[cols], self.metric)
+                s = _scores(self.left[rows], right[cols], self.metric, self.keys[rows, -1] - 10.0**-DIGITS)
                 mine = (own_row >= rows.start) & (own_row < rows.stop)
                 s[own_row[mine] - rows.start, own_col[mine]] = -np.inf
                 self._merge(rows, s, right_ids)
         return ()
 
     def _merge(self, rows: slice, s: np.ndarray, right_ids: np.ndarray) -> None:
-        # ids ascend along the stream, so a later equal score never displaces an earlier one
-        hit_row, hit_col = np.nonzero(s > self.scores[rows, -1][:, None])
+        keys = np.round(s, DIGITS)
+        last = self.keys[rows, -1][:, None]
+        better = (keys > last) | ((keys == last) & (right_ids[None, :] < self.found[rows, -1][:, None]))
+        hit_row, hit_col = np.nonzero(better & (s > -np.inf))
         if not len(hit_row):
             return
         touched = np.unique(hit_row)
         k = self.k
-        old = self.scores[rows][touched]
         row = np.concatenate([np.repeat(touched, k), hit_row])
-        score = np.concatenate([old.ravel(), s[hit_row, hit_col]])
-        ids = np.concatenate([self.found[rows][touched].ravel(), right_ids[hit_col]])
-        order = np.lexsort((ids, -score, row))
-        row, score, ids = row[order], score[order], ids[order]
-        start = np.searchsorted(row, touched)
-        take = start[:, None] + np.arange(k)[None, :]
-        self.scores[rows.start + touched] = score[take]
-        self.found[rows.start + touched] = ids[take]
+        key, score, ids = (
+            np.concatenate([old[rows][touched].ravel(), new])
+            for old, new in (
+                (self.keys, keys[hit_row, hit_col]), (self.scores, s[hit_row, hit_col]), (self.found, right_ids[hit_col])
+            )
+        )
+        order = np.lexsort((ids, -key, row))
+        start = np.searchsorted(row[order], touched)
+        take = order[start[:, None] + np.arange(k)[None, :]]
+        at = rows.start + touched
+        self.keys[at], self.scores[at], self.found[at] = key[take], score[take], ids[take]
 
     def finish(self):
         filled = self.found != NO_ID
@@ -142,6 +260,7 @@ class TopK:
                     "rank": (c + 1).astype(np.int32),
                     "neighbour_id": self.found[r, c],
                     "sim": self.scores[r, c],
+                    "key": self.keys[r, c],
                 }
             )
 
@@ -156,7 +275,7 @@ class Pairs:
         ids = _column(batch, "id")
         for cols in _tiles(len(ids), TILE_COLS):
             for rows in _tiles(len(self.ids), TILE_ROWS):
-                s = _scores(self.left[rows], right[cols], self.metric)
+                s = _scores(self.left[rows], right[cols], self.metric, self.threshold)
                 r, c = np.nonzero(s >= self.threshold)
                 if len(r):
                     yield pa.record_batch(
@@ -181,7 +300,7 @@ class Counts:
     def feed(self, batch: pa.RecordBatch, right: np.ndarray):
         for cols in _tiles(len(right), TILE_COLS):
             for rows in _tiles(len(self.ids), TILE_ROWS):
-                s = _scores(self.left[rows], right[cols], self.metric)
+                s = _scores(self.left[rows], right[cols], self.metric, self.threshold)
                 self.count[rows] += (s >= self.threshold).sum(axis=1)
         return ()
 
@@ -201,7 +320,7 @@ class Leader:
         weights, leaders = _column(batch, "weight"), _column(batch, "leader")
         for cols in _tiles(len(right), TILE_COLS):
             for rows in _tiles(len(self.ids), TILE_ROWS):
-                near = _scores(self.left[rows], right[cols], self.metric) >= self.threshold
+                near = _scores(self.left[rows], right[cols], self.metric, self.threshold) >= self.threshold
                 w = np.where(near, weights[cols][None, :], -1)
                 top = w.max(axis=1)
                 who = np.where(near & (w == top[:, None]), leaders[cols][None, :], NO_ID).min(axis=1)
@@ -219,32 +338,6 @@ class Leader:
         )
 
 
-class Overlaps:
-    """Which left rows share a right row within the threshold, as bit sets over the sorted ids."""
-
-    def __init__(self, ids: np.ndarray, left: np.ndarray, metric: str, threshold: float):
-        order = np.argsort(ids)
-        self.ids, self.left, self.metric, self.threshold = ids[order], left[order], metric, threshold
-        self.shared = np.zeros((len(ids), len(ids)), dtype=bool)
-
-    def feed(self, batch: pa.RecordBatch, right: np.ndarray):
-        for cols in _tiles(len(right), TILE_COLS):
-            near = _scores(self.left, right[cols], self.metric) >= self.threshold
-            near = near[:, near.sum(axis=0) > 1].astype(np.float32)
-            if near.shape[1]:
-                self.shared |= (near @ near.T) > 0
-        return ()
-
-    def finish(self):
-        width = -len(self.ids) % 64
-        bits = np.packbits(np.pad(self.shared, ((0, 0), (0, width))), axis=1, bitorder="little")
-        words = np.ascontiguousarray(bits).view(np.int64)
-        row, word = np.nonzero(words)
-        yield pa.record_batch(
-            {"id": self.ids[row], "word": word.astype(np.int64), "bits": words[row, word]}
-        )
-
-
 # --------------------------------------------------------------------------- placement
 
 
@@ -252,24 +345,32 @@ def _vector_columns(df: DataFrame) -> list[str]:
     return ["vec"] if "vec" in df.columns else ["idx", "val"]
 
 
+def _bytes(df: DataFrame, dim: int, rows: int | None) -> int:
+    """Memory of the vectors: 8 bytes a component, or 24 bytes a stored entry of sparse ones."""
+    if "vec" in df.columns:
+        return (df.count() if rows is None else rows) * 8 * max(dim, 1)
+    return df.agg(F.coalesce(F.sum(F.size("idx") * 24 + 24), F.lit(0)).alias("n")).first()["n"]
+
+
 def dimension(df: DataFrame) -> int:
-    """Length of the vectors, from one row."""
+    """Length of the vectors, from one row that has one."""
     if "vec" not in df.columns:
         raise ValueError("sparse vectors need an explicit dim")
-    first = df.select(F.size("vec").alias("n")).first()
+    first = df.where("vec IS NOT NULL").select(F.size("vec").alias("n")).first()
     return first["n"] if first else 0
 
 
 def _grid_task(batches, make, metric: str, dim: int):
     """One cell after another: side 0 fills the panel, side 1 streams past it."""
-    cell, kernel, ids, panel = None, None, [], []
+    cell, kernel, ids, panel, sparse = None, None, [], [], False
 
     def start():
-        left = _prepare(np.concatenate(panel), metric) if panel else np.empty((0, dim))
+        left = _prepare(_joined(panel), metric) if panel else _no_rows(dim, sparse)
         return make(np.concatenate(ids) if ids else np.empty(0, dtype=np.int64), left, metric)
 
     for batch in batches:
         cells, sides = _column(batch, "cell"), _column(batch, "side")
+        sparse = "vec" not in batch.schema.names
         change = np.nonzero((np.diff(cells) != 0) | (np.diff(sides) != 0))[0] + 1
         for lo, hi in zip([0, *change], [*change, batch.num_rows]):
             if lo == hi:
@@ -281,13 +382,13 @@ def _grid_task(batches, make, metric: str, dim: int):
                 cell, kernel, ids, panel = cells[lo], None, [], []
             if sides[lo] == 0:
                 ids.append(_column(piece, "id"))
-                panel.append(_dense(piece, dim))
+                panel.append(_vectors(piece, dim))
                 continue
             if kernel is None:
                 kernel = start()
             for part in _tiles(piece.num_rows, TILE_COLS):
                 rows = piece.slice(part.start, part.stop - part.start)
-                yield from kernel.feed(rows, _prepare(_dense(rows, dim), metric))
+                yield from kernel.feed(rows, _prepare(_vectors(rows, dim), metric))
     if kernel is not None:
         yield from kernel.finish()
 
@@ -298,7 +399,7 @@ def _partial_task(batches, make, metric: str, dim: int, shared):
     for batch in batches:
         for part in _tiles(batch.num_rows, TILE_COLS):
             rows = batch.slice(part.start, part.stop - part.start)
-            yield from kernel.feed(rows, _prepare(_dense(rows, dim), metric))
+            yield from kernel.feed(rows, _prepare(_vectors(rows, dim), metric))
     yield from kernel.finish()
 
 
@@ -317,28 +418,28 @@ def _compare(
     right_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Run a kernel over all panels. The flag says whether a left row may appear repeatedly."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
     spark = left.sparkSession
     vec = _vector_columns(left)
+    left, right = (side.where(" AND ".join(f"{c} IS NOT NULL" for c in ["id", *vec])) for side in (left, right))
     extra = [c for c in ("weight", "leader") if c in right.columns]
-    dim = dim or dimension(left)
-    size = 8 * max(dim, 1)
+    dim = dim or dimension(left) or dimension(right)
     if method in ("auto", "broadcast_right"):
-        right_rows = right.count() if right_rows is None else right_rows
-        if right_rows * size <= broadcast_bytes:
+        if _bytes(right, dim, right_rows) <= broadcast_bytes:
             shared = _broadcast_stream(right.select("id", *vec, *extra), metric, dim)
             task = partial(_complete_task, make=make, metric=metric, dim=dim, shared=shared)
             return left.select("id", *vec).mapInArrow(task, schema), False
         if method == "broadcast_right":
             raise ValueError(f"right side holds more than {broadcast_bytes} bytes")
-    left_rows = left.count() if left_rows is None else left_rows
-    left_bytes = left_rows * size
+    left_bytes = _bytes(left, dim, left_rows)
     if method == "auto":
         method = "broadcast_left" if left_bytes <= broadcast_bytes else "grid"
     if method == "broadcast_left":
         if left_bytes > broadcast_bytes:
             raise ValueError(f"left side holds more than {broadcast_bytes} bytes")
         shared = _broadcast_panel(left.select("id", *vec), metric, dim)
-        stream = right.select("id", *vec, *extra).sortWithinPartitions("id")
+        stream = right.select("id", *vec, *extra)
         task = partial(_partial_task, make=make, metric=metric, dim=dim, shared=shared)
         return stream.mapInArrow(task, schema), True
     if method != "grid":
@@ -362,7 +463,7 @@ def _compare(
         side0.select(*columns)
         .unionByName(side1.select(*columns))
         .repartitionById(panels * lanes, F.col("cell"))
-        .sortWithinPartitions("cell", "side", "id")
+        .sortWithinPartitions("cell", "side")
     )
     task = partial(_grid_task, make=make, metric=metric, dim=dim)
     return cells.mapInArrow(task, schema), lanes > 1
@@ -374,7 +475,7 @@ def _complete_task(batches, make, metric: str, dim: int, shared):
     for batch in batches:
         for part in _tiles(batch.num_rows, TILE_ROWS):
             rows = batch.slice(part.start, part.stop - part.start)
-            kernel = make(_column(rows, "id"), _prepare(_dense(rows, dim), metric), metric)
+            kernel = make(_column(rows, "id"), _prepare(_vectors(rows, dim), metric), metric)
             yield from kernel.feed(right_columns, right)
             yield from kernel.finish()
 
@@ -382,8 +483,8 @@ def _complete_task(batches, make, metric: str, dim: int, shared):
 def _collected(df: DataFrame, dim: int) -> tuple[pa.Table, np.ndarray]:
     # only reached after the size check against broadcast_bytes
     table = df.toArrow().combine_chunks()
-    mats = [_dense(b, dim) for b in table.to_batches()]
-    return table, np.concatenate(mats) if mats else np.empty((0, dim))
+    parts = [_vectors(b, dim) for b in table.to_batches()]
+    return table, _joined(parts) if parts else _no_rows(dim, "vec" not in df.columns)
 
 
 def _broadcast_panel(left: DataFrame, metric: str, dim: int):
@@ -409,15 +510,13 @@ _TOPK = T.StructType(
         T.StructField("rank", T.IntegerType()),
         T.StructField("neighbour_id", _LONG),
         T.StructField("sim", _DOUBLE),
+        T.StructField("key", _DOUBLE),
     ]
 )
 _PAIRS = T.StructType(
     [T.StructField("left_id", _LONG), T.StructField("right_id", _LONG), T.StructField("sim", _DOUBLE)]
 )
 _COUNTS = T.StructType([T.StructField("id", _LONG), T.StructField("members", _LONG)])
-_OVERLAPS = T.StructType(
-    [T.StructField("id", _LONG), T.StructField("word", _LONG), T.StructField("bits", _LONG)]
-)
 _LEADER = T.StructType(
     [T.StructField("id", _LONG), T.StructField("weight", _LONG), T.StructField("leader", _LONG)]
 )
@@ -442,9 +541,10 @@ def top_k(
 ) -> DataFrame:
     """Exact nearest neighbours: ``(query_id, rank, neighbour_id, sim)``, rank from 1.
 
-    Both inputs are ``(id, vec)`` tables (or ``(id, idx, val)`` with ``dim``), unique by id.
+    Both inputs are ``(id, vec)`` tables (or ``(id, idx, val)`` with ``dim``), unique by id. Rows with a
+    null id or vector take no part; vectors of different lengths and null or non-finite entries raise.
     ``exclude`` is ``none``, ``self`` (drop the query's own id) or ``top1`` (drop the best hit,
-    whatever it is). Equal scores rank by id.
+    whatever it is). Scores equal to nine digits rank by id; ``sim`` and ``min_sim`` are not rounded.
     """
     if exclude not in ("none", "self", "top1"):
         raise ValueError(f"unknown exclude mode {exclude!r}")
@@ -455,7 +555,7 @@ def top_k(
     )
     ranked = hits
     if repeated:
-        order = W.partitionBy("query_id").orderBy(F.desc("sim"), "neighbour_id")
+        order = W.partitionBy("query_id").orderBy(F.desc("key"), "neighbour_id")
         ranked = hits.withColumn("rank", F.row_number().over(order)).where(
             F.col("rank") <= k + skip
         )
@@ -546,20 +646,5 @@ def leaders(
     return found.groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
-def overlapping(
-    left: DataFrame, right: DataFrame, threshold: float, *, metric: str = "cosine",
-    dim: int | None = None, left_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Which rows of a small left side share a right row: ``(id, word, bits)``.
-
-    Bit ``b`` of ``word`` stands for the left row of rank ``64 * word + b`` by id.
-    """
-    found, _ = _compare(
-        left, right, partial(_make, Overlaps, threshold), _OVERLAPS, metric, "broadcast_left", dim,
-        PANEL_BYTES, broadcast_bytes, None, left_rows,
-    )
-    return found.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
-
-
 def _make(kernel, threshold, ids, left, metric):
     return kernel(ids, left, metric, threshold)

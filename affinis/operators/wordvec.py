@@ -3,25 +3,22 @@
 The mean of means equals one weighted mean over words, so only scalars are shuffled: each
 message spreads weight 1 evenly over its known words, weights are summed per (channel, word),
 and a vector is fetched once per (channel, word) instead of once per token.
+
+A message is a row: rows that share a ``message_id`` are messages of their own.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinis.functions import constants as C
 from affinis.functions.text import clean_text, clean_words, computed
 from affinis.functions.vectors import as_array
-
-VOCABULARY_LIMIT = 1_000_000
+from affinis.session import materialise
 
 
 def message_tokens(messages: DataFrame, min_tokens: int = C.WORD_VECTOR_TOKENS) -> DataFrame:
@@ -30,77 +27,46 @@ def message_tokens(messages: DataFrame, min_tokens: int = C.WORD_VECTOR_TOKENS)
     return rows.where(F.size("tokens") > min_tokens).select("channel_id", "message_id", "tokens")
 
 
-def _weigh(batches, shared):
-    """Weights of a batch of messages, already summed per (channel, word) of the batch."""
-    vocabulary = shared.value
-    for batch in batches:
-        lists = batch.column("tokens")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        word = pc.index_in(lists.flatten(), value_set=vocabulary)
-        known = np.asarray(word.is_valid())
-        row, word = row[known], np.asarray(word.drop_null())
-        per_token = 1.0 / np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
-        channels, channel = np.unique(np.asarray(batch.column("channel_id")), return_inverse=True)
-        code = channel[row].astype(np.int64) * len(vocabulary) + word
-        pairs, at = np.unique(code, return_inverse=True)
-        yield pa.record_batch(
-            {
-                "channel_id": channels[pairs // len(vocabulary)],
-                "token": vocabulary.take(pa.array(pairs % len(vocabulary))),
-                "weight": np.bincount(at, weights=per_token[row], minlength=len(pairs)),
-            }
-        )
-
+def word_weights(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``(channel_id, token, weight)``; the weights of a channel sum to its known messages.
 
-def word_weights(
-    tokens: DataFrame, words: DataFrame, limit: int = VOCABULARY_LIMIT
-) -> DataFrame:
-    """``(channel_id, token, weight)``; the weights of a channel sum to its known messages."""
+    The rows are numbered in a written table. Hot words meet the vocabulary in a join that Spark may
+    broadcast or split; the words of a message then meet by its number, which is never hot.
+    """
+    numbered = materialise(
+        tokens.select("channel_id", "tokens", F.monotonically_increasing_id().alias("_row")), "tokens"
+    )
     known = words.select("token").distinct()
-    size = known.count()
-    if size == 0:
-        return tokens.select("channel_id", F.lit("").alias("token"), F.lit(0.0).alias("weight")).limit(0)
-    if size <= limit:
-        listed = known.toArrow().column("token").combine_chunks()  # bounded by the check above
-        shared = tokens.sparkSession.sparkContext.broadcast(listed)
-        partial_weights = tokens.select("channel_id", "tokens").mapInArrow(
-            partial(_weigh, shared=shared), "channel_id bigint, token string, weight double"
-        )
-        return partial_weights.groupBy("channel_id", "token").agg(F.sum("weight").alias("weight"))
-    # A vocabulary of any size: count per message before the join, so hot words move once per message.
     counts = (
-        tokens.select("channel_id", "message_id", F.explode("tokens").alias("token"))
-        .groupBy("channel_id", "message_id", "token")
+        numbered.select("channel_id", "_row", F.explode("tokens").alias("token"))
+        .join(known, "token", "left_semi")
+        .repartition("_row")
+        .groupBy("_row", "channel_id", "token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(known, "token")
-    )
-    totals = counts.groupBy("channel_id", "message_id").agg(F.sum("n").alias("total"))
-    return (
-        counts.join(totals, ["channel_id", "message_id"])
-        .groupBy("channel_id", "token")
-        .agg(F.sum(F.col("n") / F.col("total")).alias("weight"))
     )
+    share = F.col("n") / F.sum("n").over(W.partitionBy("_row"))
+    return counts.withColumn("share", share).groupBy("channel_id", "token").agg(F.sum("share").alias("weight"))
 
 
-def channel_means(
-    tokens: DataFrame, words: DataFrame, limit: int = VOCABULARY_LIMIT
-) -> DataFrame:
+def channel_means(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """``(channel_id, embedding)`` from ``words(token, vector)``; channels without known words drop."""
-    weighted = word_weights(tokens, words, limit).join(words, "token")
+    weighted = word_weights(tokens, words).join(words, "token")
     mean = Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")), F.col("weight"))
     return weighted.groupBy("channel_id").agg(as_array(mean).alias("embedding"))
 
 
 def message_means(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """``(channel_id, message_id, embedding)``: the per-message step on its own."""
+    """``(channel_id, message_id, embedding)``: the per-message step on its own, one row per message."""
+    numbered = materialise(tokens.withColumn("_row", F.monotonically_increasing_id()), "tokens")
     counts = (
-        tokens.select("channel_id", "message_id", F.explode("tokens").alias("token"))
-        .groupBy("channel_id", "message_id", "token")
+        numbered.select("channel_id", "message_id", "_row", F.explode("tokens").alias("token"))
+        .groupBy("_row", "channel_id", "message_id", "token")
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     mean = Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")), F.col("n"))
     return (
         counts.join(words, "token")
-        .groupBy("channel_id", "message_id")
+        .groupBy("_row", "channel_id", "message_id")
         .agg(as_array(mean).alias("embedding"))
+        .drop("_row")
     )

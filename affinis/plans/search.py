@@ -14,6 +14,8 @@ from affinis.plans.vectors import (
 )
 from affinis.session import materialise
 from affinis.sources.channels import handle_index
+from affinis.sources.pages import page_texts, parse_pages
+from affinis.streaming.routing import route
 
 
 def _as_vectors(df: DataFrame, key: str) -> DataFrame:
@@ -65,12 +67,17 @@ def form_results(
     """Join hits to metadata by id; drop bots and the asked channel itself.
 
     The cut to ``k`` comes first, so a dropped hit leaves a gap; ``refill=True`` filters first
-    and numbers what is left. ``own_handle`` names a column of ``hits`` that may be null.
+    and numbers what is left. It fills up from the given ``hits`` only: where more of them are dropped
+    than they hold beyond ``k``, the answer stays shorter. ``own_handle`` names a column of ``hits`` that may be null.
     """
     if not refill:
         hits = hits.where(F.col("rank") <= k)
+    # of several metadata rows of one channel the first by handle and title counts
     named = hits.join(
-        meta.select(F.col("channel_id").alias("neighbour_id"), "link", "title"), "neighbour_id"
+        meta.groupBy(F.col("channel_id").alias("neighbour_id"))
+        .agg(F.min(F.struct("link", "title")).alias("m"))
+        .select("neighbour_id", "m.link", "m.title"),
+        "neighbour_id",
     )
     kept = named.where(~F.col("link").endswith("bot"))
     if own_handle is not None:
@@ -150,6 +157,73 @@ def lookup_unknown(
     return joined.select("request_id", "rank", "link", "title", "sim"), memo
 
 
+def page_handle_texts(pages: DataFrame, **classes) -> DataFrame:
+    """``(handle, pos, text)`` of landed ``pages(handle, html)``: messages in order, then the header."""
+    return page_texts(parse_pages(pages.select("handle", "html"), "handle", **classes), "handle")
+
+
+def lookup(
+    requests: DataFrame,
+    meta: DataFrame,
+    neighbours: DataFrame,
+    vectors: DataFrame,
+    pages: DataFrame,
+    memo: DataFrame | None = None,
+    k: int = C.RESULTS,
+    encoder: Encoder | None = None,
+    **classes,
+) -> tuple[DataFrame, DataFrame]:
+    """Answers for known and unknown handles together, and the neighbour rows found anew.
+
+    Known handles are answered from ``neighbours``, remembered ones from ``memo``, and the rest from
+    the texts of their ``pages(handle, html)``.
+    """
+    known = lookup_known(requests, meta, neighbours, k)
+    rest = requests
+    if memo is not None:
+        seen = memo.select(F.col("handle").alias("_handle")).distinct()
+        rest = requests.join(seen, normalise_handle(F.col("text")) == F.col("_handle"), "left_anti")
+        index = handle_index(meta).select("handle")
+        fresh = memo.join(index, "handle", "left_anti")  # an indexed handle is known by now
+        known = known.unionByName(remembered(requests, fresh, meta, k))
+    answers, found = lookup_unknown(rest, meta, vectors, page_handle_texts(pages, **classes), k, encoder=encoder)
+    return known.unionByName(answers), found
+
+
+def answer_requests(
+    requests: DataFrame,
+    meta: DataFrame,
+    neighbours: DataFrame,
+    vectors: DataFrame,
+    pages: DataFrame,
+    memo: DataFrame | None = None,
+    seed: str = "0",
+    encoder: Encoder | None = None,
+    **classes,
+) -> tuple[DataFrame, DataFrame]:
+    """What to say to each of ``requests(chat_id, request_id, ts, text)``, and what to remember.
+
+    Returns ``(chat_id, request_id, action, message)`` and new memo rows. ``message`` is null for
+    actions that are not answered from tables, and for lookups that find nothing. ``request_id`` is unique.
+    """
+    routed = materialise(
+        route(requests).join(requests.select("request_id", "text"), "request_id"), "routed"
+    )
+    asked = lambda action: routed.where(F.col("action") == action).select("request_id", "text")
+    by_handle, found = lookup(
+        asked("channel_lookup"), meta, neighbours, vectors, pages, memo, encoder=encoder, **classes
+    )
+    by_text = search_descriptions(asked("description_lookup"), meta, vectors, encoder=encoder)
+    told = format_results(by_handle.unionByName(by_text), ["request_id"])
+    few = random_channels(meta, seed=seed).withColumn(
+        "rank", F.row_number().over(W.orderBy(F.md5(F.concat_ws("-", F.lit(seed), "channel_id")), "channel_id"))
+    )  # at most ``C.RESULTS`` rows
+    drawn = format_results(few.withColumn("all", F.lit(1)), ["all"]).select(F.col("message").alias("drawn"))
+    answered = routed.join(told, "request_id", "left").join(F.broadcast(drawn), F.lit(True), "left")
+    message = F.when(F.col("action") == "random", F.col("drawn")).otherwise(F.col("message"))
+    return answered.select("chat_id", "request_id", "action", message.alias("message")), found
+
+
 def remembered(requests: DataFrame, memo: DataFrame, meta: DataFrame, k: int = C.RESULTS) -> DataFrame:
     """Answer requests from remembered neighbour rows ``(handle, rank, neighbour_id, sim)``."""
     asked = requests.withColumn("handle", normalise_handle(F.col("text")))

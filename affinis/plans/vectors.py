@@ -15,6 +15,7 @@ from affinis.functions import constants as C
 from affinis.functions import text as tx
 from affinis.functions.vectors import HASH_WIDTH, as_array, hashed_vectors
 from affinis.operators.ordered import top_per_group
+from affinis.session import materialise
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,8 @@ def group_vectors(
     rows: DataFrame, rule: Selection = CHANNELS, encoder: Encoder | None = None
 ) -> DataFrame:
     """``(group_id, embedding)`` from ``rows(group_id, item_id, text)``."""
-    valid = valid_sentences(rows, rule.min_words)
+    # written once: texts are read and split once, and both steps below read sentences only
+    valid = materialise(valid_sentences(rows, rule.min_words), "sentences")
     eligible = group_statistics(valid).where(is_eligible(rule)).select("group_id")
     sampled = sample_sentences(valid, rule).join(eligible, "group_id", "left_semi")
     clean = sampled.withColumn("sentence", tx.clear_emoji(tx.drop_links(F.col("sentence"))))

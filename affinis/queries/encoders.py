@@ -205,7 +205,7 @@ def word_vectors(spark, sf, tokens):
     "wordvec_channel_mean",
     f"""WITH words AS MATERIALIZED ({_WORDS}),
         rows AS (SELECT channel_id, message_id, unnest(t) AS token FROM (
-                   SELECT channel_id, message_id, {Q.words(Q.clean_text('message'))} AS t
+                   SELECT channel_id, row_number() OVER () AS message_id, {Q.words(Q.clean_text('message'))} AS t
                    FROM ({I.DOCUMENT_MESSAGES_SQL})) WHERE len(t) > {C.WORD_VECTOR_TOKENS}),
         counts AS (SELECT channel_id, message_id, token, count(*) AS n FROM rows
                    WHERE token IN (SELECT token FROM words) GROUP BY ALL),
@@ -218,7 +218,7 @@ def word_vectors(spark, sf, tokens):
         FROM parts GROUP BY channel_id, dim""",
 )
 def wordvec_channel_mean(spark, sf):
-    tokens = wordvec.message_tokens(I.document_messages(spark, sf))
+    tokens = materialise(wordvec.message_tokens(I.document_messages(spark, sf)), "message-tokens")
     words = materialise(word_vectors(spark, sf, tokens), "words")
     return _long(wordvec.channel_means(tokens, words), "channel_id")
 
@@ -241,7 +241,7 @@ _TFIDF = f"""
 
 
 def _fitted(spark, sf):
-    docs = tfidf.document_terms(I.documents(spark, sf).select("doc_id", "text"))
+    docs = materialise(tfidf.document_terms(I.documents(spark, sf).select("doc_id", "text")), "terms")
     model = tfidf.fit(docs)
     return model, model.vectors(docs)
 
@@ -263,10 +263,10 @@ def roundtrip_sparse(spark, sf):
 @query(
     "tfidf_similar_docs",
     f"""{_TFIDF},
-  hits AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, round(sum(a.weight * b.weight), 9) AS sim
+  hits AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, sum(a.weight * b.weight) AS sim
            FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL)
   SELECT doc_id, rank, similar_id, {I.r6('sim')} AS sim FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, similar_id) AS rank FROM hits)
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 9) DESC, similar_id) AS rank FROM hits)
   WHERE rank <= {C.RESULTS}""",
 )
 def tfidf_similar_docs(spark, sf):
@@ -311,11 +311,11 @@ def _channel_means(spark, sf, vectors):
     JOIN sizes USING (channel_id) GROUP BY channel_id, term),
   norms AS (SELECT channel_id, sqrt(sum(w * w)) AS norm FROM means GROUP BY channel_id),
   hits AS (
-    SELECT a.channel_id, b.channel_id AS neighbour_id, round(sum(a.w * b.w) / any_value(x.norm * y.norm), 9) AS sim
+    SELECT a.channel_id, b.channel_id AS neighbour_id, sum(a.w * b.w) / any_value(x.norm * y.norm) AS sim
     FROM means a JOIN means b ON a.term = b.term AND a.channel_id <> b.channel_id
     JOIN norms x ON x.channel_id = a.channel_id JOIN norms y ON y.channel_id = b.channel_id GROUP BY ALL)
   SELECT channel_id, rank, neighbour_id, {I.r6('sim')} AS sim FROM (
-    SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS rank FROM hits)
+    SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY round(sim, 9) DESC, neighbour_id) AS rank FROM hits)
   WHERE rank <= {C.RESULTS}""",
 )
 def tfidf_similar_channels(spark, sf):

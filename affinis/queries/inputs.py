@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions import constants as C
-from affinis.session import configure, spread
+from affinis.session import configure
 
 CUTOFF = "2024-01-15"
 MESSAGE_CUTOFF = "2024-01-01"  # documents pair with the first events
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The small tables of the queries lie in one file of one split; this gives every core a part. A
+    table of more splits than a quarter of the cores stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * len(df.inputFiles()) <= cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 

@@ -10,6 +10,7 @@ from affinis.plans import vectors as pv
 from affinis.queries import inputs as I
 from affinis.queries import sql as Q
 from affinis.queries.encoders import _GROUP_ROWS, _REQUESTS
+from affinis.queries.pages import CLASS, PAGE_TEXTS
 from affinis.queries.registry import query
 from affinis.queries.similarity import _RESULTS
 from affinis.queries.texts import _HANDLE
@@ -59,8 +60,8 @@ _SOURCES = f"""
 def _search_sql(requests_sql: str, rule) -> str:
     return f"""
   SELECT request_id, rank, m.link, m.title, {I.r6('sim')} AS sim FROM (
-    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, channel_id) AS rank FROM (
-      SELECT q.id AS request_id, c.id AS channel_id, round({Q.cosine('q.vec', 'c.vec')}, 9) AS sim
+    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(sim, 9) DESC, channel_id) AS rank FROM (
+      SELECT q.id AS request_id, c.id AS channel_id, {Q.cosine('q.vec', 'c.vec')} AS sim
       FROM ({Q.vector_lists(Q.group_vectors(requests_sql, rule))}) q, ({_CORPUS}) c)) h
   JOIN ({_SOURCES}) m USING (channel_id) WHERE rank <= {C.RESULTS}"""
 
@@ -124,6 +125,72 @@ def lookup_incremental(spark, sf):
     return _shown(spark.read.parquet(answered_path))
 
 
+# Every third page is asked for as a known channel, the others by a handle that only a page has.
+_ASK_PAGES = f"""
+  SELECT page_id AS group_id, pos AS item_id, text FROM ({PAGE_TEXTS}) WHERE page_id % 3 > 0"""
+_KNOWN_PAGES = f"""
+  SELECT p.page_id AS request_id, h.rank, m.link, m.title, {I.r6('sim')} AS sim FROM pages p
+  JOIN (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY round(sim, 9) DESC, channel_id) AS rank FROM (
+          SELECT a.id AS asked, c.id AS channel_id, {Q.cosine('a.vec', 'c.vec')} AS sim
+          FROM ({_CORPUS}) a, ({_CORPUS}) c WHERE a.id <> c.id)) h ON h.asked = p.page_id % 20
+  JOIN ({_SOURCES}) m ON m.channel_id = h.channel_id WHERE p.page_id % 3 = 0 AND h.rank <= {C.RESULTS}"""
+_BOTH = f"""
+  SELECT request_id, rank, link || '_chan' AS link, title, sim
+  FROM ({_search_sql(_ASK_PAGES, pv.UNKNOWN_CHANNELS)} UNION ALL {_KNOWN_PAGES})"""
+
+
+def _asked_pages(spark, sf):
+    """Requests for pages, the channels' metadata, and the pages under their handles."""
+    pages = I.table(spark, sf, "pages")
+    handle = F.concat(F.lit("page_"), "page_id")
+    known = F.concat(F.lit("src"), F.col("page_id") % 20, F.lit("_chan"))
+    requests = pages.select(
+        F.col("page_id").alias("request_id"),
+        F.concat(F.lit("@"), F.when(F.col("page_id") % 3 == 0, known).otherwise(handle)).alias("text"),
+    )
+    meta = I.source_channels(spark, sf).withColumn("link", F.concat("link", F.lit("_chan")))
+    return requests, meta, pages.select(handle.alias("handle"), "html")
+
+
+@query("lookup_pages", _BOTH)
+def lookup_pages(spark, sf):
+    """Known handles from the neighbour table, the others from their page: header and messages."""
+    requests, meta, pages = _asked_pages(spark, sf)
+    vectors = _channel_vectors(spark, sf)
+    answers, _ = search.lookup(
+        requests, meta, search.neighbour_table(vectors), vectors, pages,
+        header_class=CLASS, message_class=CLASS,
+    )
+    return _shown(answers)
+
+
+@query(
+    "lookup_remembered",
+    f"""SELECT * FROM ({_BOTH}) UNION ALL
+        SELECT request_id + 10000000, rank, link, title, sim FROM ({_BOTH}) WHERE request_id % 2 = 0""",
+)
+def lookup_remembered(spark, sf):
+    """Two arrivals: what the first one finds out is remembered, and the second asks for it again."""
+    requests, meta, pages = _asked_pages(spark, sf)
+    vectors = _channel_vectors(spark, sf)
+    neighbours = materialise(search.neighbour_table(vectors), "neighbours")
+    even = F.col("request_id") % 2 == 0
+    again = requests.where(even).withColumn("request_id", F.col("request_id") + 10_000_000)
+    path = scratch_path(spark, "arrivals")
+    for arrival in (requests.where(even), requests.where(~even).unionByName(again)):
+        arrival.coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "answers")
+    sl.remember_stream(
+        source, scratch_path(spark, "memo"), out, scratch_path(spark, "memo-state"),
+        lambda batch, memo: search.lookup(
+            materialise(batch, "batch"), meta, neighbours, vectors, pages, memo,
+            header_class=CLASS, message_class=CLASS,
+        ),
+    ).awaitTermination()
+    return _shown(spark.read.parquet(out))
+
+
 @query(
     "random_channels",
     f"SELECT channel_id, link, title FROM ({I.CHANNELS_SQL}) ORDER BY md5('0-' || channel_id), channel_id LIMIT {C.RESULTS}",

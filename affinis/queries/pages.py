@@ -8,7 +8,6 @@ from affinis.functions import constants as C
 from affinis.queries import inputs as I
 from affinis.queries import sql as Q
 from affinis.queries.registry import query
-from affinis.session import spread
 from affinis.sources import pages as pg
 
 CLASS = "ad"  # the one class of the fixture's pages
@@ -17,15 +16,16 @@ _BODY = f"regexp_replace(html, {Q.lit('(?s)<(script|style)[^>]*>.*?</(script|sty
 
 
 def _pages(spark, sf):
-    return spread(I.table(spark, sf, "pages")).select("page_id", "html")
+    return I.spread(I.table(spark, sf, "pages")).select("page_id", "html")
 
 
-@query(
-    "page_texts",
-    f"""SELECT page_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS text FROM (
-          SELECT page_id, list_append(m, coalesce(m[1], '')) AS t FROM (
-            SELECT page_id, regexp_extract_all(html, '<div class="{CLASS}">([^<>]*)</div>', 1) AS m FROM pages))""",
-)
+PAGE_TEXTS = f"""
+  SELECT page_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS text FROM (
+    SELECT page_id, list_append(m, coalesce(m[1], '')) AS t FROM (
+      SELECT page_id, regexp_extract_all(html, '<div class="{CLASS}">([^<>]*)</div>', 1) AS m FROM pages))"""
+
+
+@query("page_texts", PAGE_TEXTS)
 def page_texts(spark, sf):
     parsed = pg.parse_pages(_pages(spark, sf), "page_id", header_class=CLASS, message_class=CLASS)
     texts = pg.page_texts(parsed, "page_id")
@@ -55,7 +55,7 @@ def subscriber_count(spark, sf):
     line = F.when(F.col("page_id") % 7 == 0, F.lit("no subscribers")).otherwise(
         F.concat("page_id", F.lit(" "), F.length("url"), F.lit(" subscribers"))
     )
-    pages = spread(I.table(spark, sf, "pages")).select(
+    pages = I.spread(I.table(spark, sf, "pages")).select(
         "page_id",
         F.concat(F.lit(f'<div class="{C.EXTRA_CLASS}">'), line, F.lit("</div>"), "html").alias("html"),
     )

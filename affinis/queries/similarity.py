@@ -14,10 +14,11 @@ from affinis.queries.registry import query
 
 _ALL = f"""
   SELECT a.vec_id AS channel_id, b.vec_id AS neighbour_id,
-         round({Q.cosine('a.embedding', 'b.embedding')}, 9) AS sim
+         {Q.cosine('a.embedding', 'b.embedding')} AS sim
   FROM embeddings a, embeddings b"""
+_ORDER = "ORDER BY round(sim, 9) DESC, neighbour_id"
 _RANKED = f"""
-  SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS rank,
+  SELECT channel_id, row_number() OVER (PARTITION BY channel_id {_ORDER}) AS rank,
          neighbour_id, sim FROM ({_ALL}) WHERE channel_id <> neighbour_id"""
 
 
@@ -69,7 +70,7 @@ def topk_with_cutoff(spark, sf):
 @query(
     "topk_exclude_top1",
     f"""SELECT channel_id, r - 1 AS rank, neighbour_id, {I.r6('sim')} AS sim FROM (
-          SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS r
+          SELECT *, row_number() OVER (PARTITION BY channel_id {_ORDER}) AS r
           FROM ({_ALL})) WHERE r BETWEEN 2 AND {C.NEIGHBOURS + 1}""",
 )
 def topk_exclude_top1(spark, sf):
@@ -81,9 +82,9 @@ def topk_exclude_top1(spark, sf):
     "topk_euclidean",
     f"""SELECT channel_id, rank, neighbour_id, {I.r6('sim')} AS sim FROM (
           SELECT channel_id, neighbour_id, sim,
-                 row_number() OVER (PARTITION BY channel_id ORDER BY sim DESC, neighbour_id) AS rank
+                 row_number() OVER (PARTITION BY channel_id {_ORDER}) AS rank
           FROM (SELECT a.vec_id AS channel_id, b.vec_id AS neighbour_id,
-                       round(-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim
+                       -list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
                 FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 10""",
 )
 def topk_euclidean(spark, sf):
@@ -140,9 +141,9 @@ def format_results(spark, sf):
 def _search_sql(skip: int) -> str:
     return f"""
   SELECT request_id, r - {skip} AS rank, neighbour_id, {I.r6('sim')} AS sim FROM (
-    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, neighbour_id) AS r FROM (
+    SELECT *, row_number() OVER (PARTITION BY request_id {_ORDER}) AS r FROM (
       SELECT q.label AS request_id, b.vec_id AS neighbour_id,
-             round({Q.cosine('q.vec', 'b.embedding')}, 9) AS sim
+             {Q.cosine('q.vec', 'b.embedding')} AS sim
       FROM ({_LABEL_MEANS}) q, embeddings b))
   WHERE r > {skip} AND r <= {C.NEIGHBOURS + skip}"""
 
@@ -193,6 +194,23 @@ def similarity_threshold_join(spark, sf):
     return sim.threshold_join(v, v, 0.3).select("left_id", "right_id", I.round6(F.col("sim")).alias("sim"))
 
 
+@query(
+    "threshold_join_near",
+    """WITH r AS (SELECT vec_id, label, 0.85 + (vec_id % 6 - 2.5) * 1e-10 AS c FROM embeddings)
+       SELECT a.label AS left_id, r.vec_id AS right_id
+       FROM (SELECT DISTINCT label FROM embeddings) a, r WHERE r.c >= 0.85""",
+)
+def threshold_join_near(spark, sf):
+    """Scores closer to the threshold than any rounding of results: each label against unit vectors
+    that stand at 0.85, give or take a few 1e-10."""
+    rows = I.table(spark, sf, "embeddings").select("vec_id", "label")
+    axis = rows.select(F.col("label").cast("bigint").alias("id")).distinct()
+    left = axis.withColumn("vec", F.array(F.lit(1.0), F.lit(0.0)))
+    at = F.lit(0.85) + (F.col("vec_id") % 6 - F.lit(2.5)) * F.lit(1e-10)
+    right = rows.select(F.col("vec_id").alias("id"), F.array(at, F.sqrt(1 - at * at)).alias("vec"))
+    return sim.threshold_join(left, right, 0.85).select("left_id", "right_id")
+
+
 @query(
     "cosine_pairs",
     f"""SELECT v.vec_id, v.label, {I.r6(Q.cosine('v.embedding', 'm.vec'))} AS sim

@@ -16,6 +16,11 @@ from affinis.queries.scans import linked_text
 _LINKED = "text || ' https://t.me/' || source || '_chan/' || doc_id || ' @' || source || ' <b>x</b>'"
 
 
+# A small stop list in the languages of the fixture.
+STOP_WORDS = "the of and a to in is on at by for le la de un une der die und el los".split()
+_STOP_SQL = ", ".join(Q.lit(w) for w in STOP_WORDS)
+
+
 @query("drop_links", f"SELECT doc_id, {Q.drop_links(_LINKED)} AS clean FROM documents")
 def drop_links(spark, sf):
     return I.documents(spark, sf).select("doc_id", tx.drop_links(linked_text()).alias("clean"))
@@ -57,10 +62,24 @@ def clean_text(spark, sf):
 @query(
     "clean_messages",
     f"""SELECT message_id, channel_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
-        FROM (SELECT message_id, channel_id, {Q.words(Q.clean_text('message'))} AS t
+        FROM (SELECT message_id, channel_id,
+                     list_filter({Q.words(Q.clean_text('message'))}, lambda w: w NOT IN ({_STOP_SQL})) AS t
               FROM ({I.DOCUMENT_MESSAGES_SQL}))""",
 )
 def clean_messages(spark, sf):
+    """The default cleaning job: cleaned tokens without stop words."""
+    cleaned = tk.clean_messages(I.document_messages(spark, sf), stop_words=STOP_WORDS)
+    rows = cleaned.select("message_id", "channel_id", F.posexplode("tokens").alias("pos", "token"))
+    return rows.select("message_id", "channel_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+@query(
+    "clean_message_words",
+    f"""SELECT message_id, channel_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+        FROM (SELECT message_id, channel_id, {Q.words(Q.clean_text('message'))} AS t
+              FROM ({I.DOCUMENT_MESSAGES_SQL}))""",
+)
+def clean_message_words(spark, sf):
     tokens = tx.clean_words(tx.clean_text(F.col("message")))
     rows = I.document_messages(spark, sf).select(
         "message_id", "channel_id", F.posexplode(tokens).alias("pos", "token")
@@ -132,14 +151,12 @@ def truncate_tokens(spark, sf):
     return kept.select("doc_id", "pos", F.size("k").cast("bigint").alias("n_tokens"), F.array_join("k", " ").alias("kept"))
 
 
-# A small stop list and a small stem dictionary in the languages of the fixture.
-STOP_WORDS = "the of and a to in is on at by for le la de un une der die und el los".split()
+# A small stem dictionary in the languages of the fixture.
 STEMS = {
     "ores": "or", "enes": "en", "anes": "an", "hered": "here", "reed": "re", "thing": "th",
     "ering": "er", "aning": "an", "ouen": "ou", "tion": "ti", "reaux": "reau", "leaux": "leau",
     "des": "de", "les": "le", "las": "la", "unes": "un", "ands": "and", "ofs": "of",
 }
-_STOP_SQL = ", ".join(Q.lit(w) for w in STOP_WORDS)
 _STEM_SQL = ", ".join(f"({Q.lit(t)}, {Q.lit(s)})" for t, s in STEMS.items())
 _TOKENS_SQL = f"""
   SELECT doc_id AS message_id, {Q.words('lower(text)')} AS tokens FROM documents"""

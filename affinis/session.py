@@ -16,9 +16,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
-# This rule adds a "not empty" filter below every explode and so computes the exploded array twice,
-# which here is the costly part of a plan: split texts, n-grams, encoded vectors.
-EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
 _SHIPPED: set[str] = set()
 
 
@@ -26,10 +23,6 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan here relies on and ship this package to executors."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
-    excluded = spark.conf.get("spark.sql.optimizer.excludedRules", "") or ""
-    if EXCLUDED_RULE not in excluded:
-        rules = ",".join(filter(None, [excluded, EXCLUDED_RULE]))
-        spark.conf.set("spark.sql.optimizer.excludedRules", rules)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent
@@ -80,10 +73,8 @@ def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of too few splits, for example one small file.
-
-    Large inputs already have more splits than cores and are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def clean_up(spark: SparkSession) -> bool:
+    """Delete the scratch tables of this application; only when none of its results is still needed."""
+    folder = f"{checkpoint_root(spark)}/affinis/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

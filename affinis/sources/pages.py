@@ -37,7 +37,7 @@ def parse_pages(
     message_class: str = C.MESSAGE_CLASS,
     extra_class: str = C.EXTRA_CLASS,
 ) -> DataFrame:
-    """``(key, header, messages, extra)`` per page.
+    """``(key, header, messages, extra, error)`` per page; ``error`` says why a page could not be read.
 
     Pages that name none of the classes skip the parser; they have no header and no messages.
     """
@@ -47,6 +47,7 @@ def parse_pages(
             T.StructField("header", T.StringType()),
             T.StructField("messages", T.ArrayType(T.StringType())),
             T.StructField("extra", T.StringType()),
+            T.StructField("error", T.StringType()),
         ]
     )
     named = F.lit(False)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,3 +35,42 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True)
         .start()
     )
+
+
+MEMO = "handle string, rank int, neighbour_id bigint, sim double"
+
+
+def read_memo(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Remembered neighbour rows; with ``before``, only those of earlier batches."""
+    rows = spark.read.schema(f"{MEMO}, batch bigint").option("basePath", path).parquet(path)
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
+
+def remember_stream(
+    requests: DataFrame,
+    memo_path: str,
+    answers_path: str,
+    checkpoint: str,
+    resolve: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+) -> StreamingQuery:
+    """Answer a stream and remember what it had to find out.
+
+    ``resolve(requests, memo)`` returns answers and new memo rows, as ``plans.search.lookup`` does. Each
+    batch sees what earlier ones have remembered, and writes folders of its own number, so a batch
+    that runs twice leaves one copy and a handle is remembered once.
+    """
+
+    def handle_batch(batch: DataFrame, number: int) -> None:
+        memo = read_memo(batch.sparkSession, memo_path, number)
+        answers, found = resolve(batch, memo)
+        found.write.mode("overwrite").parquet(f"{memo_path}/batch={number}")
+        answers.write.mode("overwrite").parquet(f"{answers_path}/batch={number}")
+
+    spark = requests.sparkSession
+    spark.createDataFrame([], MEMO).write.mode("ignore").parquet(f"{memo_path}/batch=-1")
+    return (
+        requests.writeStream.foreachBatch(handle_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,41 +62,58 @@ def route(requests: DataFrame) -> DataFrame:
     )
 
 
+# actions that a text has whatever the state is, by the code that travels instead of the text
+FIXED = ("help", "ask_channel", "ask_description", "random")
+
+
 def _carry(
-    key: tuple, batches: Iterator[pd.DataFrame], held: GroupState
+    key: tuple, batches: Iterator[pd.DataFrame], held: GroupState, idle_ms: int | None = None
 ) -> Iterator[pd.DataFrame]:
-    # only ids, times and states: the rows of one chat in one trigger
+    if held.hasTimedOut:
+        held.remove()
+        return
+    # only ids, times and codes: the rows of one chat in one trigger
     rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
     start = held.get[0] if held.exists else IDLE
     after = rows["next_state"].astype("float64").ffill().fillna(start)
     before = after.shift(fill_value=start).astype("int32")
     held.update((int(after.iloc[-1]),))
+    if idle_ms is not None:
+        held.setTimeoutTimestamp(int(rows["ts"].iloc[-1].timestamp() * 1000) + idle_ms)
     yield pd.DataFrame(
         {
             "chat_id": key[0],
             "request_id": rows["request_id"].to_numpy(),
             "state": before.to_numpy(),
-            "text": rows["text"].to_numpy(),
+            "code": rows["code"].to_numpy(),
         }
     )
 
 
-def route_stream(requests: DataFrame, watermark: str | None = None) -> DataFrame:
+def route_stream(
+    requests: DataFrame, watermark: str | None = None, idle: timedelta = timedelta(days=30)
+) -> DataFrame:
     """The streaming form of ``route``; the state of each chat survives between triggers.
 
-    Bound a trigger with the source's ``maxFilesPerTrigger`` or an equal limit. ``watermark``
-    optionally drops requests later than that delay.
+    Bound a trigger with the source's ``maxFilesPerTrigger`` or an equal limit. With ``watermark``,
+    requests later than that delay are dropped, and a chat is forgotten once the watermark is ``idle``
+    beyond its last request; its next one starts from the idle state. Texts do not enter the state
+    operator: the JVM turns each into two small codes.
     """
     if watermark is not None:
         requests = requests.withWatermark("ts", watermark)
-    rows = requests.select("chat_id", "request_id", "ts", "text", next_state(F.col("text")).alias("next_state"))
+    free = action(F.col("text"), F.lit(None).cast("int"))
+    code = F.coalesce(*(F.when(free == name, i + 1) for i, name in enumerate(FIXED)), F.lit(0))
+    rows = requests.select(
+        "chat_id", "request_id", "ts", code.alias("code"), next_state(F.col("text")).alias("next_state")
+    )
     routed = rows.groupBy("chat_id").applyInPandasWithState(
-        _carry,
-        outputStructType="chat_id bigint, request_id bigint, state int, text string",
+        _carry if watermark is None else partial(_carry, idle_ms=int(idle.total_seconds() * 1000)),
+        outputStructType="chat_id bigint, request_id bigint, state int, code int",
         stateStructType="state int",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-    return routed.select(
-        "chat_id", "request_id", "state", action(F.col("text"), F.col("state")).alias("action")
+        timeoutConf=GroupStateTimeout.NoTimeout if watermark is None else GroupStateTimeout.EventTimeTimeout,
     )
+    named = F.when(F.col("code") > 0, F.element_at(F.array(*map(F.lit, FIXED)), F.greatest("code", F.lit(1))))
+    by_state = action(F.lit(""), F.col("state"))
+    return routed.select("chat_id", "request_id", "state", F.coalesce(named, by_state).alias("action"))

@@ -54,8 +54,7 @@ def test_model_hook_sees_batches_of_cut_texts(spark):
     assert [tuple(r.vec) for r in rows] == [(3, 1), (64, 1), (64, 1)]
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_word_vectors_are_a_mean_of_means(spark, limit):
+def test_word_vectors_are_a_mean_of_means(spark):
     vec = {"aaaa": [1.0, 0.0], "bbbb": [0.0, 1.0], "cccc": [1.0, 1.0]}
     words = spark.createDataFrame(list(vec.items()), "token string, vector array<double>")
     texts = [(1, 1, "aaaa aaaa bbbb zzzz"), (1, 2, "cccc zzzz zzzz zzzz"), (1, 3, "zzzz zzzz zzzz yyyy"),
@@ -63,13 +62,21 @@ def test_word_vectors_are_a_mean_of_means(spark, limit):
     df = spark.createDataFrame(texts, "channel_id bigint, message_id bigint, message string")
     tokens = wordvec.message_tokens(df)
     assert tokens.count() == 4  # three words are not enough
-    got = {r.channel_id: r.embedding for r in wordvec.channel_means(tokens, words, limit).collect()}
+    got = {r.channel_id: r.embedding for r in wordvec.channel_means(tokens, words).collect()}
     want = np.mean([np.mean([vec["aaaa"], vec["aaaa"], vec["bbbb"]], axis=0), vec["cccc"]], axis=0)
     assert set(got) == {1} and got[1] == pytest.approx(list(want))
     per_message = {r.message_id: r.embedding for r in wordvec.message_means(tokens, words).collect()}
     assert set(per_message) == {1, 2} and per_message[2] == [1.0, 1.0]
 
 
+def test_rows_of_one_message_id_are_messages_of_their_own(spark):
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "token string, vector array<double>")
+    rows = [(1, 7, ["a", "a"]), (1, 7, ["b"]), (1, 8, ["a"])]
+    tokens = spark.createDataFrame(rows, "channel_id bigint, message_id bigint, tokens array<string>")
+    assert wordvec.channel_means(tokens, words).first().embedding == pytest.approx([2 / 3, 1 / 3])
+    assert wordvec.message_means(tokens, words).count() == 3
+
+
 def test_tfidf_against_its_formula(spark):
     rng = random.Random(7)
     docs = [(i, " ".join(rng.choice("alpha Beta gamma delta x eps".split()) for _ in range(12))) for i in range(40)]

@@ -92,6 +92,35 @@ def test_unknown_handles_are_remembered(spark, corpus):
     assert again.orderBy(*key).collect() == answers.orderBy(*key).collect()
 
 
+def test_repeated_metadata_gives_one_result_per_rank(spark, corpus):
+    vec, meta, _ = corpus
+    requests = spark.createDataFrame([(1, "Trading")], "request_id bigint, text string")
+    once = search.search_descriptions(requests, meta, vec).orderBy("rank").collect()
+    twice = search.search_descriptions(requests, meta.unionByName(meta), vec).orderBy("rank").collect()
+    assert once == twice
+
+
+def test_requests_are_answered_end_to_end(spark, corpus):
+    vec, meta, _ = corpus
+    page = '<div class="%s">trains and more trains</div><div class="%s">old trains</div>' % (C.MESSAGE_CLASS, C.HEADER_CLASS)
+    pages = spark.createDataFrame([("newcomer", page)], "handle string, html string")
+    chat = [C.BY_CHANNEL, "@chan_1", "@newcomer", "@nobody_here", C.BY_DESCRIPTION, "Rhino ate the mayor", C.RANDOM, "x"]
+    requests = spark.createDataFrame([(1, i, i, t) for i, t in enumerate(chat)], "chat_id bigint, request_id bigint, s bigint, text string")
+    requests = requests.select("chat_id", "request_id", F.timestamp_seconds("s").alias("ts"), "text")
+    neighbours = search.neighbour_table(vec)
+    answers, memo = search.answer_requests(requests, meta, neighbours, vec, pages)
+    rows = {r.request_id: r for r in answers.collect()}
+    assert [rows[i].action for i in range(8)] == [
+        "ask_channel", "channel_lookup", "channel_lookup", "channel_lookup", "ask_description", "description_lookup", "random",
+        "not_understood",
+    ]
+    assert [bool(rows[i].message) for i in range(8)] == [False, True, True, False, False, True, True, False]
+    assert {r.handle for r in memo.collect()} == {"newcomer"}
+    again, found = search.answer_requests(requests, meta, neighbours, vec, pages.limit(0), memo)
+    assert {r.request_id: r.message for r in again.collect()} == {i: r.message for i, r in rows.items()}
+    assert found.count() == 0
+
+
 def test_random_and_format(spark, corpus):
     _, meta, _ = corpus
     first = [r.channel_id for r in search.random_channels(meta, 5, "s").collect()]
@@ -134,3 +163,19 @@ def test_routing_batch_and_stream(spark, tmp_path):
     ).awaitTermination()
     got = {r.request_id: (r.state, r.action) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == want
+
+
+def test_late_requests_are_dropped(spark, tmp_path):
+    rows = [(1, 1, 100_000, C.BY_CHANNEL), (1, 2, 100_060, "@x_name"), (1, 3, 10, "late"), (2, 4, 200_000, "hello")]
+    requests = spark.createDataFrame(rows, "chat_id bigint, request_id bigint, s bigint, text string").select(
+        "chat_id", "request_id", F.timestamp_seconds("s").alias("ts"), "text"
+    )
+    src = str(tmp_path / "src")
+    for some in ([1, 2], [4], [3]):  # Spark drops by the watermark of the batch before
+        requests.where(F.col("request_id").isin(some)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    lookups.run_to_table(
+        routing.route_stream(stream, watermark="1 minute"), str(tmp_path / "out"), str(tmp_path / "state")
+    ).awaitTermination()
+    got = {r.request_id: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: "ask_channel", 2: "channel_lookup", 4: "not_understood"}

@@ -59,7 +59,7 @@ def test_threshold_operators_agree(spark, plan):
     df = _frame(spark, m)
     s = _cos(m, m)
     pairs = {(r.left_id, r.right_id) for r in sim.threshold_join(df, df, 0.6, **plan).collect()}
-    assert pairs == {(i, j) for i, j in zip(*np.nonzero(s >= 0.6))}
+    assert pairs == {(i, j) for i, j in zip(*np.nonzero(s >= 0.6))}  # no score is that near
     counts = {r.id: r.members for r in sim.threshold_counts(df, df, 0.6, **plan).collect()}
     assert counts == {i: int((s[i] >= 0.6).sum()) for i in range(len(m))}
     weighted = df.withColumn("weight", F.col("id") % 4).withColumn("leader", F.col("id"))
@@ -82,7 +82,7 @@ def test_metrics_and_cutoff(spark):
     ):
         rows = sim.top_k(df, df, 3, exclude="self", metric=metric).collect()
         for r in rows:
-            assert abs(r.sim - s[r.query_id, r.neighbour_id]) < 1e-6
+            assert abs(r.sim - s[r.query_id, r.neighbour_id]) < 1e-9
     assert sim.top_k(df, df, 30, min_sim=0.5).where("sim < 0.5").count() == 0
 
 
@@ -100,9 +100,11 @@ def test_sparse_vectors_equal_dense_ones(spark):
     dense = _frame(spark, m)
     key = ["query_id", "rank"]
     for plan in PLANS:
-        a = sim.top_k(sparse, sparse, 4, exclude="self", dim=9, **plan).orderBy(*key).collect()
-        b = sim.top_k(dense, dense, 4, exclude="self", **plan).orderBy(*key).collect()
-        assert a == b
+        for metric in sim.METRICS:
+            a = sim.top_k(sparse, sparse, 4, exclude="self", dim=9, metric=metric, **plan).orderBy(*key).collect()
+            b = sim.top_k(dense, dense, 4, exclude="self", metric=metric, **plan).orderBy(*key).collect()
+            assert [(x.query_id, x.rank, x.neighbour_id) for x in a] == [(x.query_id, x.rank, x.neighbour_id) for x in b]
+            assert np.allclose([x.sim for x in a], [x.sim for x in b], atol=1e-12)
 
 
 def test_wrong_arguments(spark):
@@ -118,6 +120,44 @@ def test_wrong_arguments(spark):
     assert sim.top_k(df, df, 2, broadcast_bytes=10).count() == 10  # auto falls back to the grid
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_distances_of_copies_are_zero(spark, plan):
+    m = _vectors(40, 9, 4) + 100.0
+    df = _frame(spark, m)
+    got = {}
+    for r in sim.top_k(df, df, 5, exclude="self", metric="euclidean", **plan).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.neighbour_id)
+        assert r.sim == pytest.approx(-np.linalg.norm(m[r.query_id] - m[r.neighbour_id]), abs=1e-12)
+    assert got == _brute(np.round(-np.linalg.norm(m[:, None] - m[None], axis=2), 9), 5, own=True)
+    near = {(r.left_id, r.right_id) for r in sim.threshold_join(df, df, 0.0, metric="euclidean", **plan).collect()}
+    assert near == {(i, j) for i in range(40) for j in range(40) if (m[i] == m[j]).all()}
+
+
+def test_thresholds_use_raw_scores(spark):
+    angles = [(i, [c, (1 - c * c) ** 0.5]) for i, c in enumerate([0.85 - 3e-10, 0.85 + 3e-10])]
+    right = spark.createDataFrame(angles, "id bigint, vec array<double>")
+    left = spark.createDataFrame([(9, [1.0, 0.0])], "id bigint, vec array<double>")
+    assert [r.right_id for r in sim.threshold_join(left, right, 0.85).collect()] == [1]
+    hits = sim.top_k(left, right, 2, min_sim=0.85).collect()
+    assert [(r.neighbour_id, r.sim) for r in hits] == [] or hits[0].neighbour_id == 1
+
+
+@pytest.mark.parametrize("vec", [[1.0], [1.0, 0.0, 0.0], [1.0, None], [1.0, float("nan")]])
+def test_broken_vectors_raise(spark, vec):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, vec)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    with pytest.raises(Exception, match="vector of id 3"):
+        sim.top_k(df, df, 2, dim=2).collect()
+
+
+def test_null_vectors_take_no_part(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [1.0, 0.0]), (3, [1.0, 1.0])], "id bigint, vec array<double>")
+    for plan in PLANS[:3]:
+        assert {r.query_id for r in sim.top_k(df, df, 3, **plan).collect()} == {1, 3}
+    with pytest.raises(ValueError, match="cosin"):
+        sim.top_k(df, df, 3, metric="cosin")
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     cos = [r[0] for r in df.select(V.cosine(F.col("a"), F.col("b"))).collect()]
