@@ -87,7 +87,7 @@ def entropy_spans(data: bytes, kind: CharacterClass) -> list[tuple[int, int]]:
         return []
     # H = log2(w) - sum(c * log2 c) / w, so H >= bits is a bound on the sum
     most = math.floor((math.log2(width) - kind.bits) * width * _SCALE)
-    _weight(width)
+    _weight(width + 1)  # for a moment the window is one wider
     counts, total, letters, digits = [0] * 256, 0, 0, 0
     out: list[tuple[int, int]] = []
     for i, char in enumerate(data):
