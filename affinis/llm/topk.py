@@ -101,14 +101,14 @@ def _longest(rows: DataFrame, scale: int) -> dict[int, float]:
     return {r["size"]: r["norm"] for r in found.collect()}
 
 
-def _histogram(rows: DataFrame, scale: int, block: Block, exact, low, shift: int, need) -> DataFrame:
-    """``(query_id, bin, n)``: scores ``>= low`` of each query, in bins ``2 ** shift`` wide."""
+def _histogram(rows: DataFrame, scale: int, block: Block, exact, low, shift: int, bins_wide: int, need) -> DataFrame:
+    """``(query_id, bin, n)``: scores of each query in ``bins_wide`` bins, ``2 ** shift`` wide, from ``low`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {size: np.zeros(len(ids) * BINS, np.int64) for size, (ids, _) in block.items()}
         for size, _, scores, taken in _chunks(batches, scale, block, exact):
             bins = (scores - low[size][:, None]) >> shift
-            taken &= (bins >= 0) & (bins < BINS)
+            taken &= (bins >= 0) & (bins < bins_wide)
             bins += (np.arange(len(bins)) * BINS)[:, None]
             sums[size] += np.bincount(bins[taken], minlength=len(sums[size]))
         for size, counts in sums.items():
@@ -170,10 +170,11 @@ def _select(rows: DataFrame, scale: int, block: Block, longest: dict[int, float]
     shift = max(0, (2 * most + 1).bit_length() - (BINS.bit_length() - 1))
     low = {size: np.full(len(ids), -most, np.int64) for size, (ids, _) in block.items()}
     need = {size: np.full(len(ids), k, np.int64) for size, (ids, _) in block.items()}
+    bins_wide = BINS
     while block:
         asked = [(int(i), int(n)) for size, (ids, _) in block.items() for i, n in zip(ids, need[size], strict=True)]
         needs = spark.createDataFrame(asked, "query_id long, need long")
-        found = _kth_bins(_histogram(rows, scale, block, exact, low, shift, need), needs)
+        found = _kth_bins(_histogram(rows, scale, block, exact, low, shift, bins_wide, need), needs)
         for size, (ids, _) in block.items():
             for i, query in enumerate(ids.tolist()):
                 if query in found:  # else the query has no candidate at all
@@ -182,7 +183,9 @@ def _select(rows: DataFrame, scale: int, block: Block, longest: dict[int, float]
                     need[size][i] -= above
         if shift == 0:
             break
-        shift = max(0, shift - (BINS.bit_length() - 1))
+        # the next pass looks into one bin of this one: scores above it are counted already
+        finer = max(0, shift - (BINS.bit_length() - 1))
+        shift, bins_wide = finer, 1 << (shift - finer)
     top = _kept(rows, scale, block, exact, low, k)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
