@@ -5,8 +5,8 @@ A text is cut into sentences; each is normalised (lower case, runs of other char
 identifiers, with a dot for every sentence that is not known. Ordered rules, longest first, are then
 matched against that sequence; at most ``GAP`` unknown sentences may stand between two of a rule.
 
-A sentence ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at an empty line. If one holds
-line breaks, its single lines are looked up behind it as well.
+A sentence ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at an empty line. If one that is not
+known holds line breaks, its single lines are looked up in its place.
 
 Defined cases: null and empty texts have no licences; repeated rows give repeated rows; other columns
 pass through, but one that has the name of a result is replaced by it.
@@ -110,14 +110,18 @@ def _lookup(entries: dict[str, str]) -> Column:
 def identifiers(text: Column) -> Column:
     """The sequence of the text: ``<id>`` per known sentence and ``.`` per other one."""
     known = _lookup({sentence: f"<{name}>" for sentence, name in SENTENCES.items()})
-    pieces = F.split(text, SENTENCE_END)
-    lines = F.flatten(
+    plain = lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " "))
+    found = lambda p: F.try_element_at(known, plain(p))
+    lines = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), found), lambda x: x.isNotNull()), "")
+    return F.array_join(
         F.transform(
-            pieces, lambda p: F.when(F.contains(p, F.lit("\n")), F.concat(F.array(p), F.split(p, "\n"))).otherwise(F.array(p))
-        )
+            F.split(text, SENTENCE_END),
+            lambda p: F.coalesce(
+                found(p), F.when(F.contains(p, F.lit("\n")), F.nullif(lines(p), F.lit(""))), F.lit(".")
+            ),
+        ),
+        "",
     )
-    plain = lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " "))
-    return F.array_join(F.transform(lines, lambda p: F.coalesce(F.try_element_at(known, plain(p)), F.lit("."))), "")
 
 
 def find_licences(df: DataFrame, text: str = "text") -> DataFrame:

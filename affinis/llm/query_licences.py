@@ -13,17 +13,19 @@ def _map(entries: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in entries.items()) + "}"
 
 
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_KNOWN = _map({s: f"<{n}>" for s, n in SENTENCES.items()})
 SQL = f"""
-  WITH pieces AS (
-    SELECT doc_id, flatten(list_transform(
+  WITH sequences AS (
+    SELECT doc_id, array_to_string(list_transform(
              regexp_split_to_array(CASE WHEN regexp_matches(text, '{MARKS}') THEN text ELSE '' END, '{SENTENCE_END}'),
-             lambda p: CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END)) AS p
-    FROM documents),
-  sequences AS (
-    SELECT doc_id, array_to_string(list_transform(p, lambda x: coalesce(
-             {_map({s: f"<{n}>" for s, n in SENTENCES.items()})}
-             [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))], '.')), '') AS s
-    FROM pieces)
+             lambda p: coalesce({_KNOWN}[{_plain('p')}],
+               CASE WHEN contains(p, chr(10)) THEN nullif(array_to_string(list_filter(list_transform(
+                 string_split(p, chr(10)), lambda x: {_KNOWN}[{_plain('x')}]), lambda x: x IS NOT NULL), ''), '') END, '.')), '') AS s
+    FROM documents)
   SELECT doc_id, CAST(len(regexp_extract_all(s, '<([^>]+)>', 1)) AS BIGINT) AS n_sentences,
     array_to_string(regexp_extract_all(s, '<([^>]+)>', 1), ',') AS sentence_ids,
     array_to_string(list_transform(regexp_extract_all(s, '({RULE})', 1),
