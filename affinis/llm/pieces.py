@@ -312,6 +312,9 @@ class Pieces:
         stops = np.concatenate([[0], np.cumsum(lengths)])
         gather = np.repeat(self.start[ids] - stops[:-1], lengths) + np.arange(stops[-1])
         data = self.surface[gather].tobytes()
+        # a control piece says nothing, but bytes do not join across it
+        controls = np.concatenate([[0], np.cumsum(self.control[ids])])
+        silent = controls[offsets[1:]] > controls[offsets[:-1]]
         out = []
         for row in range(len(offsets) - 1):
             lo, hi = offsets[row], offsets[row + 1]
@@ -326,7 +329,7 @@ class Pieces:
                 skip = int(self.marked[ids[head]])
             raw = data[stops[lo] + skip : stops[hi]]
             try:
-                out.append(raw.decode())
+                out.append(raw.decode() if not silent[row] else self._decode_runs(ids[lo:hi], skip))
             except UnicodeDecodeError:
                 out.append(self._decode_runs(ids[lo:hi], skip))
         return out
@@ -336,8 +339,6 @@ class Pieces:
         out, run = [], b""
         for i in ids:
             surface = self.surface[self.start[i] : self.start[i] + self.length[i]].tobytes()
-            if self.control[i]:
-                continue
             if self.byte[i]:
                 run += surface
                 continue
