@@ -114,8 +114,10 @@ def audience_overlap(
             "user",
             F.pmod(F.xxhash64("channel"), F.lit(panels)).alias("panel"),
             F.pmod(F.xxhash64("user"), F.lit(cells)).alias("cell"),
-            F.explode(F.sequence(F.lit(0), F.lit(panels - 1))).alias("other"),
         )
+        # a visit meets only the panels in which its user has a channel: at most ``panels`` of them
+        reach = placed.groupBy("user").agg(F.collect_set("panel").alias("reach"))
+        placed = placed.join(reach, "user").withColumn("other", F.explode("reach"))
         placed = placed.select(
             "channel", "user", "panel", "cell",
             F.least("panel", "other").alias("panel_a"), F.greatest("panel", "other").alias("panel_b"),

@@ -47,23 +47,35 @@ def action(text: Column, state: Column) -> Column:
     )
 
 
+# actions that a text has whatever the state is, by the code that travels instead of the text
+FIXED = ("help", "ask_channel", "ask_description", "random")
+
+
+def _code(text: Column) -> Column:
+    """0, or the place of the action in ``FIXED`` from 1."""
+    free = action(text, F.lit(None).cast("int"))
+    return F.coalesce(*(F.when(free == name, i + 1) for i, name in enumerate(FIXED)), F.lit(0))
+
+
+def _named(code: Column, state: Column) -> Column:
+    fixed = F.when(code > 0, F.element_at(F.array(*map(F.lit, FIXED)), F.greatest(code, F.lit(1))))
+    return F.coalesce(fixed, action(F.lit(""), state))
+
+
 def route(requests: DataFrame) -> DataFrame:
     """``(chat_id, request_id, state, action)`` for ``requests(chat_id, request_id, ts, text)``.
 
     The state before a message is the last one a menu text has set, so it needs no loop; a chat
-    of any length is spread over partitions.
+    of any length is spread over partitions. Only ids, times and codes are written and shuffled.
     """
     order = ["ts", "request_id"]
-    parts = ordered_parts(requests, ["chat_id"], order)
-    seen = previous_value(parts, ["chat_id"], order, next_state(F.col("text")), "state")
-    state = F.coalesce("state", F.lit(IDLE))
-    return seen.select(
-        "chat_id", "request_id", state.alias("state"), action(F.col("text"), state).alias("action")
+    coded = requests.select(
+        "chat_id", *order, _code(F.col("text")).alias("code"), next_state(F.col("text")).alias("next_state")
     )
-
-
-# actions that a text has whatever the state is, by the code that travels instead of the text
-FIXED = ("help", "ask_channel", "ask_description", "random")
+    parts = ordered_parts(coded, ["chat_id"], order)
+    seen = previous_value(parts, ["chat_id"], order, F.col("next_state"), "state")
+    state = F.coalesce("state", F.lit(IDLE))
+    return seen.select("chat_id", "request_id", state.alias("state"), _named(F.col("code"), state).alias("action"))
 
 
 def _carry(
@@ -102,10 +114,8 @@ def route_stream(
     """
     if watermark is not None:
         requests = requests.withWatermark("ts", watermark)
-    free = action(F.col("text"), F.lit(None).cast("int"))
-    code = F.coalesce(*(F.when(free == name, i + 1) for i, name in enumerate(FIXED)), F.lit(0))
     rows = requests.select(
-        "chat_id", "request_id", "ts", code.alias("code"), next_state(F.col("text")).alias("next_state")
+        "chat_id", "request_id", "ts", _code(F.col("text")).alias("code"), next_state(F.col("text")).alias("next_state")
     )
     routed = rows.groupBy("chat_id").applyInPandasWithState(
         _carry if watermark is None else partial(_carry, idle_ms=int(idle.total_seconds() * 1000)),
@@ -114,6 +124,6 @@ def route_stream(
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout if watermark is None else GroupStateTimeout.EventTimeTimeout,
     )
-    named = F.when(F.col("code") > 0, F.element_at(F.array(*map(F.lit, FIXED)), F.greatest("code", F.lit(1))))
-    by_state = action(F.lit(""), F.col("state"))
-    return routed.select("chat_id", "request_id", "state", F.coalesce(named, by_state).alias("action"))
+    return routed.select(
+        "chat_id", "request_id", "state", _named(F.col("code"), F.col("state")).alias("action")
+    )

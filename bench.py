@@ -30,6 +30,9 @@ HEADLINE = [
     "clean_messages",
     "hashed_vectors",
     "tfidf_vectors",
+    "tfidf_similar_docs",
+    "tfidf_similar_channels",
+    "lookup_unknown",
     "wordvec_channel_mean",
     "communities",
     "audience_overlap",
