@@ -88,3 +88,10 @@ def test_never_learns_from_the_held_out_fold(spark):
         [r["score"] for r in Q.score(docs, Q.fit(docs, x, ~held_out())).orderBy("doc_id").collect()] for x in (labels, flipped)
     )
     assert one == other
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    draw = lambda most, parts: {r["doc_id"] for r in Q.labelled_sample(labels.repartition(parts), F.lit(True), "quality", "doc_id", most).collect()}
+    assert len(draw(500, 3)) == 500 and draw(500, 3) == draw(500, 11)
+    assert draw(500, 3) < draw(2000, 3) and len(draw(100_000, 3)) == 30_000
