@@ -35,7 +35,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 HASHES = 256  # most minima in a signature
-BLOCK = 2048  # representatives in a block
+BLOCK = 1024  # representatives in a block
 CELLS = 1 << 22  # matrix cells in memory at a time
 
 
