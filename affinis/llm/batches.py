@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 8 << 20
-CACHED_TOKENS = 300_000
+CACHED_TOKENS = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[str, int] = {}
 
