@@ -1,14 +1,15 @@
 """Passages of test items in training texts, exact or edited.
 
-1. All n-grams of the items are counted in all training texts.
-2. Of every ``SPAN`` neighbouring n-grams of an item, the rarest that occurs at all is a *seed*. So any
-   ``SPAN + N - 1`` words of an item that stand unchanged in a text hold a seed, however often they occur.
-3. Texts meet items at seeds. Around each meeting the item is aligned with the words of the text
-   (Smith-Waterman: a match earns 2, a mismatch or gap costs 1). An item leaks into a text if the
-   best local alignment earns at least ``LEAST`` of what the whole item can.
+1. Every n-gram of an item is a *seed*, whatever else the texts hold: what is found in one text never
+   depends on another text.
+2. Texts meet items at seeds, so a text and an item that share no ``N`` unchanged words in a row do not
+   meet. Around each meeting the item is aligned with the words of the text (Smith-Waterman: a match
+   earns 2, a mismatch or gap costs 1). An item leaks into a text if the best local alignment earns at
+   least ``LEAST`` of what the whole item can.
 
 Items travel to the texts in blocks of at most ``BLOCK_WORDS`` words (or one longer item), so what is
-sent is bounded and texts are not shuffled.
+sent is bounded and texts are not shuffled. Work grows with the meetings: a frequent n-gram costs one
+alignment per text, item that has it, and stretch of the item's length.
 
 Defined cases: null or empty texts hold nothing; items with a null id or fewer than ``N`` words take no
 part; repeated items of one id count each, the best alignment per id is reported; repeated rows
@@ -18,13 +19,13 @@ result is replaced by it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,49 +33,30 @@ from affinis.llm.batches import flat_array, making_room, ngrams, signed, sliced,
 from affinis.session import materialise
 
 N = 3
-SPAN = 4
 LEAST = 0.5
 BLOCK_WORDS = 2_000_000
 CELLS = 1 << 19  # alignment cells per row of a batch
+MEETINGS = 1 << 20  # pairs of a hit and an item in memory at a time
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
 def _item_words(items: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``(item_id, number, words, grams)`` of the items that take part; repeated ids are numbered."""
+    """``(item_id, words)`` of the items that take part, with words as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
             offsets, hashes = word_hashes(texts_of(batch, text))
-            bounds, grams, _ = ngrams(offsets, hashes, n)
             out = pa.RecordBatch.from_arrays(
                 [
                     flat_array(batch.column(batch.schema.get_field_index(key))),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(hashes))),
-                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(grams))),
                 ],
-                ["item_id", "words", "grams"],
+                ["item_id", "words"],
             )
-            yield out.filter(pa.array(np.diff(bounds) > 0))
+            yield out.filter(pa.array(np.diff(offsets) >= n))
 
     rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text)
-    found = rows.mapInArrow(run, "item_id long, words array<long>, grams array<long>")
-    return found.withColumn("copy", F.monotonically_increasing_id())
-
-
-def _gram_counts(docs: DataFrame, text: str, grams: np.ndarray, n: int) -> DataFrame:
-    """``(gram, n)``: how often each of ``grams`` (sorted) occurs, summed within tasks first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(grams), np.int64)
-        table = _Lookup(grams)
-        for batch in sliced(batches, text):
-            _, found, _ = ngrams(*word_hashes(texts_of(batch, text)), n)
-            _, place = table.hits(found)
-            sums += np.bincount(place, minlength=len(grams))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"gram": signed(grams[some]), "n": sums[some]})
-
-    return docs.select(text).mapInArrow(run, "gram long, n long")
+    return rows.mapInArrow(run, "item_id long, words array<long>")
 
 
 class _Lookup:
@@ -97,53 +79,43 @@ class _Lookup:
 
 @dataclass
 class ItemBlock:
-    """Items with their words and seeds: ``seed_grams`` is sorted, next to it item and position."""
+    """Items: their ids, and their words one after the other, with offsets."""
 
     ids: np.ndarray
-    words: list[np.ndarray]
-    seed_grams: np.ndarray
-    seed_items: np.ndarray
-    seed_places: np.ndarray
-
-
-def _seeded_items(items: DataFrame, counts: DataFrame, span: int) -> DataFrame:
-    """``(copy, item_id, words, places)``: the items and the word positions of their seeds."""
-    grams = items.select("copy", F.posexplode("grams").alias("place", "gram")).join(counts, "gram")
-    ahead = W.partitionBy("copy").orderBy("place").rangeBetween(0, span - 1)
-    back = W.partitionBy("copy").orderBy("place").rangeBetween(1 - span, 0)
-    rarest = F.min(F.struct("n", "gram", "place")).over
-    # Windows that start at any place, also at one without an occurring n-gram, are those that start
-    # at the first occurring one in them or end at the last
-    seeds = (
-        grams.select("copy", F.array(rarest(ahead)["place"], rarest(back)["place"]).alias("places"))
-        .select("copy", F.explode("places").alias("place"))
-        .groupBy("copy")
-        .agg(F.collect_set("place").alias("places"))
-    )
-    return items.select("copy", "item_id", "words", "grams").join(seeds, "copy")
-
-
-def _blocks(seeded: DataFrame, limit: int) -> Iterator[ItemBlock]:
+    offsets: np.ndarray
+    words: np.ndarray
+
+
+class Seeds:
+    """The n-grams of a block: ``first[i]`` to ``first[i + 1]`` are the seeds of the i-th distinct one,
+    each with its item and its position there."""
+
+    def __init__(self, block: ItemBlock, n: int):
+        bounds, grams, starts = ngrams(block.offsets, block.words, n)
+        owners = np.repeat(np.arange(len(block.ids)), np.diff(bounds))
+        order = np.argsort(grams, kind="stable")
+        distinct, first = np.unique(grams[order], return_index=True)
+        self.table = _Lookup(distinct)
+        self.first = np.append(first, len(grams))
+        self.items = owners[order]
+        self.places = (starts - block.offsets[owners])[order]
+
+
+def _blocks(items: DataFrame, limit: int) -> Iterator[ItemBlock]:
     held, words = [], 0
 
     def packed() -> ItemBlock:
-        grams = np.array([r["grams"][p] for r in held for p in r["places"]], np.int64).view(np.uint64)
-        owners = np.array([i for i, r in enumerate(held) for _ in r["places"]], np.int64)
-        places = np.array([p for r in held for p in r["places"]], np.int64)
-        order = np.argsort(grams, kind="stable")
         return ItemBlock(
-            np.array([r["item_id"] for r in held], np.int64),
-            [np.array(r["words"], np.int64).view(np.uint64) for r in held],
-            grams[order],
-            owners[order],
-            places[order],
+            np.array([key for key, _ in held], np.int64),
+            np.cumsum([0, *(len(x) for _, x in held)]),
+            np.concatenate([x for _, x in held]),
         )
 
-    for row in seeded.toLocalIterator():
+    for row in items.toLocalIterator():
         if held and words + len(row["words"]) > limit:
             yield packed()
             held, words = [], 0
-        held.append(row)
+        held.append((row["item_id"], np.array(row["words"], np.int64).view(np.uint64)))
         words += len(row["words"])
     if held:
         yield packed()
@@ -218,53 +190,58 @@ _ARROW_LEAK = pa.struct(
 )
 
 
-def _leaks_of(texts: pa.Array, block: ItemBlock, table: _Lookup, first: np.ndarray, n: int, least: float) -> list[dict]:
-    """Per text, the best leak of each item of the block by its number."""
-    offsets, hashes = word_hashes(texts)
+def _meetings(offsets: np.ndarray, hashes: np.ndarray, block: ItemBlock, seeds: Seeds, n: int) -> Iterator[np.ndarray]:
+    """``(row, item, step)`` of where texts meet items, some more than once: every hit meets each item that
+    has the seed; hits are grouped by where the item would start, in steps of its length."""
     bounds, grams, starts = ngrams(offsets, hashes, n)
-    where, place = table.hits(grams)
+    where, place = seeds.table.hits(grams)
+    total = np.cumsum(seeds.first[place + 1] - seeds.first[place])
+    at = 0
+    while at < len(where):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MEETINGS, side="right")))
+        first, times = seeds.first[place[at:stop]], np.diff(total[at:stop], prepend=total[at - 1] if at else 0)
+        seed = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        hit = np.repeat(where[at:stop], times)
+        row = np.searchsorted(bounds, hit, side="right") - 1
+        item = seeds.items[seed]
+        diagonal = starts[hit] - offsets[row] - seeds.places[seed]
+        yield np.unique(np.stack([row, item, diagonal // np.diff(block.offsets)[item]], axis=1), axis=0)
+        at = stop
+
+
+def _leaks_of(texts: pa.Array, block: ItemBlock, seeds: Seeds, n: int, least: float) -> list[dict]:
+    """Per text, the best leak of each item of the block by its id."""
+    offsets, hashes = word_hashes(texts)
     found: list[dict] = [{} for _ in range(len(offsets) - 1)]
-    if not len(where):
-        return found
-    # every hit meets each item that has the seed
-    times = first[place + 1] - first[place]
-    seed = np.repeat(first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    hit = np.repeat(where, times)
-    row = np.searchsorted(bounds, hit, side="right") - 1
-    item = block.seed_items[seed]
-    lengths = np.array([len(w) for w in block.words], np.int64)[item]
-    diagonal = starts[hit] - offsets[row] - block.seed_places[seed]
-    # meetings are grouped by where the item would start, in steps of its length
-    meetings = np.unique(np.stack([row, item, diagonal // lengths], axis=1), axis=0)
-    pairs, origins = [], []
-    for r, i, step in meetings.tolist():
-        words = block.words[i]
-        size = len(words)
-        pad = size // 4 + 2
-        lo = max(0, step * size - pad)
-        hi = min(int(offsets[r + 1] - offsets[r]), (step + 2) * size + pad)
-        pairs.append((words, hashes[offsets[r] + lo : offsets[r] + hi]))
-        origins.append((r, i, lo))
-    scores, begins, ends = _aligned(pairs)
-    for (r, i, lo), score, begin, end in zip(origins, scores.tolist(), begins.tolist(), ends.tolist(), strict=True):
-        share = score / (MATCH * len(block.words[i]))
-        if share >= least:
-            leak = (-share, lo + begin, lo + end)
-            item_id = int(block.ids[i])
-            found[r][item_id] = min(found[r].get(item_id, leak), leak)
+    for meetings in _meetings(offsets, hashes, block, seeds, n):
+        pairs, origins = [], []
+        for r, i, step in meetings.tolist():
+            words = block.words[block.offsets[i] : block.offsets[i + 1]]
+            size = len(words)
+            pad = math.ceil(MATCH * (1 - least) * size / GAP)  # an alignment that earns enough has no more gaps
+            lo = max(0, step * size - pad)
+            hi = min(int(offsets[r + 1] - offsets[r]), (step + 2) * size + pad)
+            pairs.append((words, hashes[offsets[r] + lo : offsets[r] + hi]))
+            origins.append((r, int(block.ids[i]), lo))
+        scores, begins, ends = _aligned(pairs)
+        for (r, key, lo), (words, _), score, begin, end in zip(
+            origins, pairs, scores.tolist(), begins.tolist(), ends.tolist(), strict=True
+        ):
+            share = score / (MATCH * len(words))
+            if share >= least:
+                leak = (-share, lo + begin, lo + end)
+                found[r][key] = min(found[r].get(key, leak), leak)
     return found
 
 
 def _with_block(df: DataFrame, block: ItemBlock, text: str, out: str, n: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, first = np.unique(block.seed_grams, return_index=True)
-        first = np.append(first, len(block.seed_grams))
-        table = _Lookup(grams)
+        seeds = Seeds(block, n)
         for batch in sliced(batches, text):
             at = batch.schema.get_field_index(out)
             known = batch.column(at).to_pylist()
             rows = []
-            for old, new in zip(known, _leaks_of(texts_of(batch, text), block, table, first, n, least), strict=True):
+            for old, new in zip(known, _leaks_of(texts_of(batch, text), block, seeds, n, least), strict=True):
                 best = {x["item_id"]: (-x["score"], x["start"], x["end"]) for x in old}
                 for key, leak in new.items():
                     best[key] = min(best.get(key, leak), leak)
@@ -284,7 +261,6 @@ def with_leaks(
     item_text: str = "text",
     out: str = "leaks",
     n: int = N,
-    span: int = SPAN,
     least: float = LEAST,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
@@ -292,16 +268,7 @@ def with_leaks(
     text, the share of the item that its alignment earns, and the words ``[start, end)`` of the text."""
     docs = making_room(docs, [out], [text])
     words = materialise(_item_words(items, key, item_text, n), "items")
-    total = words.select(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-total // block_words))
-    counts = None
-    for part in range(parts):
-        own = words.select(F.explode("grams").alias("gram")).where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part)
-        grams = own.distinct().toArrow()["gram"].to_numpy()
-        found = _gram_counts(docs, text, np.sort(grams.astype(np.int64).view(np.uint64)), n)
-        counts = found if counts is None else counts.unionByName(found)
-    seeded = materialise(_seeded_items(words, counts.groupBy("gram").agg(F.sum("n").alias("n")), span), "seeds")
     result = docs.withColumn(out, F.array().cast(T.ArrayType(LEAK, False)))
-    for block in _blocks(seeded, block_words):
+    for block in _blocks(words, block_words):
         result = _with_block(result, block, text, out, n, least)
     return result

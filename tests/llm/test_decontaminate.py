@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from affinis.llm import decontaminate as D
-from affinis.llm.batches import word_of
+from affinis.llm.batches import word_hashes, word_of
 from affinis.llm.query_decontaminate import op2_decontamination
 
 
@@ -75,6 +77,36 @@ def test_against_all_alignments(spark, tables, block):
     assert all(abs(seen[x] - want[x]) < 1e-9 for x in want)
 
 
+def edited(words, places):
+    return ["other" + str(i) if i in places else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("step", [4, 5, 6])
+@pytest.mark.parametrize("copies", [0, 1, 3])
+def test_edited_copies_beside_exact_ones(spark, step, copies):
+    """What a text holds of an item does not depend on what other texts hold of it."""
+    item = [f"word{i}" for i in range(38)]
+    texts = [edited(item, {*range(0, 38, step), 36}), edited(item, set(range(1, 38, step))), *[item] * copies]
+    spread = [x for i in range(0, 38, 4) for x in [*item[i : i + 4], "between", "them"]]  # insertions only
+    moved = [*item[:19], *["between"] * 17, *item[19:]]
+    docs = [(i, " ".join(["before"] * 7 * i + t + ["after"] * 9)) for i, t in enumerate([*texts, spread, moved])]
+    items = [(1, " ".join(item))]
+    got = found(D.with_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert len(got) >= copies + 3 and got == by_force(docs, items)
+
+
+def test_few_meetings_at_a_time(spark, tables, monkeypatch):
+    docs, items = tables
+    texts = pa.array([text or "" for _, text in docs], pa.large_string())
+    ids = [(i, w) for i, w in ((i, words_of(x)) for i, x in items if i is not None) if len(w) >= D.N]
+    offsets, hashes = word_hashes(pa.array([" ".join(w) for _, w in ids], pa.large_string()))
+    block = D.ItemBlock(np.array([i for i, _ in ids]), offsets, hashes)
+    seeds = D.Seeds(block, D.N)
+    want = D._leaks_of(texts, block, seeds, D.N, D.LEAST)
+    monkeypatch.setattr(D, "MEETINGS", 3)
+    assert any(want) and D._leaks_of(texts, block, seeds, D.N, D.LEAST) == want
+
+
 def test_spans(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "one two alpha beta gamma delta epsilon zeta three")], "doc_id long, text string")
