@@ -6,6 +6,10 @@
    meet. Around each meeting the item is aligned with the words of the text (Smith-Waterman: a match
    earns 2, a mismatch or gap costs 1). An item leaks into a text if the best local alignment earns at
    least ``LEAST`` of what the whole item can.
+3. A *passage* of an item leaks too, however long the item is: a local alignment in which a mismatch or
+   gap costs ``STRICT`` and that earns what ``PASSAGE`` unchanged words earn. So 13 words leak as they
+   are, and longer passages may have an edit for every two words more. Score and place are then those
+   of this alignment.
 
 Items travel to the texts in blocks of at most ``BLOCK_WORDS`` words (or one longer item), so what is
 sent is bounded and texts are not shuffled. Work grows with the meetings: a frequent n-gram costs one
@@ -34,6 +38,8 @@ from affinis.session import materialise
 
 N = 3
 LEAST = 0.5
+PASSAGE = 13
+STRICT = 4
 BLOCK_WORDS = 2_000_000
 CELLS = 1 << 19  # alignment cells per row of a batch
 MEETINGS = 1 << 20  # pairs of a hit and an item in memory at a time
@@ -121,19 +127,21 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[ItemBlock]:
         yield packed()
 
 
-def local_alignments(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def local_alignments(
+    items: np.ndarray, windows: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP
+) -> tuple[np.ndarray, np.ndarray]:
     """Best Smith-Waterman score of each pair of rows, and where in the window it ends (exclusive).
 
     Rows are padded with 0 (items) and 1 (windows), which match nothing.
     """
     count, width = windows.shape
-    slope = np.arange(width, dtype=np.int32) * GAP
+    slope = np.arange(width, dtype=np.int32) * gap
     above = np.zeros((count, width), np.int32)
     best, end = np.zeros(count, np.int32), np.zeros(count, np.int64)
     for i in range(items.shape[1]):
-        gained = np.where(items[:, i : i + 1] == windows, np.int32(MATCH), np.int32(MISMATCH))
+        gained = np.where(items[:, i : i + 1] == windows, np.int32(MATCH), np.int32(mismatch))
         gained[:, 1:] += above[:, :-1]
-        np.maximum(gained, above - GAP, out=gained)
+        np.maximum(gained, above - gap, out=gained)
         np.maximum(gained, 0, out=gained)
         # a gap inside the row: the best cell to the left, less its distance
         above = np.maximum.accumulate(gained + slope, axis=1) - slope
@@ -144,7 +152,9 @@ def local_alignments(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray
     return best, end
 
 
-def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _aligned(
+    pairs: list[tuple[np.ndarray, np.ndarray]], mismatch: int = MISMATCH, gap: int = GAP
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Score, begin and end (in the window) of each ``(item words, window words)``."""
     scores, begins, ends = (np.zeros(len(pairs), np.int64) for _ in range(3))
     order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
@@ -162,7 +172,7 @@ def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
                 if backward:  # from its end, the same alignment seen the other way round
                     item, window = item[::-1], window[: ends[i]][::-1]
                 items[row, : len(item)], windows[row, : len(window)] = item, window
-            score, end = local_alignments(items, windows)
+            score, end = local_alignments(items, windows, mismatch, gap)
             for row, i in enumerate(chosen):
                 if backward:
                     begins[i] = ends[i] - end[row]
@@ -218,19 +228,23 @@ def _leaks_of(texts: pa.Array, block: ItemBlock, seeds: Seeds, n: int, least: fl
         for r, i, step in meetings.tolist():
             words = block.words[block.offsets[i] : block.offsets[i + 1]]
             size = len(words)
-            pad = math.ceil(MATCH * (1 - least) * size / GAP)  # an alignment that earns enough has no more gaps
+            pad = math.ceil(max(MATCH * (1 - least) / GAP, 0.5) * size)  # what earns enough has no more gaps
             lo = max(0, step * size - pad)
             hi = min(int(offsets[r + 1] - offsets[r]), (step + 2) * size + pad)
             pairs.append((words, hashes[offsets[r] + lo : offsets[r] + hi]))
             origins.append((r, int(block.ids[i]), lo))
         scores, begins, ends = _aligned(pairs)
-        for (r, key, lo), (words, _), score, begin, end in zip(
-            origins, pairs, scores.tolist(), begins.tolist(), ends.tolist(), strict=True
-        ):
-            share = score / (MATCH * len(words))
-            if share >= least:
-                leak = (-share, lo + begin, lo + end)
-                found[r][key] = min(found[r].get(key, leak), leak)
+        whole = scores >= least * MATCH * np.array([len(words) for words, _ in pairs])
+        # a stricter alignment earns no more than the best one
+        parts = np.flatnonzero(~whole & (scores >= MATCH * PASSAGE))
+        if len(parts):
+            strict = _aligned([pairs[k] for k in parts], -STRICT, STRICT)
+            scores[parts], begins[parts], ends[parts] = strict
+            whole[parts] = strict[0] >= MATCH * PASSAGE
+        for k in np.flatnonzero(whole).tolist():
+            r, key, lo = origins[k]
+            leak = (-int(scores[k]) / (MATCH * len(pairs[k][0])), lo + int(begins[k]), lo + int(ends[k]))
+            found[r][key] = min(found[r].get(key, leak), leak)
     return found
 
 
@@ -265,7 +279,7 @@ def with_leaks(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with the array ``out`` of ``(item_id, score, start, end)``: the items that leak into each
-    text, the share of the item that its alignment earns, and the words ``[start, end)`` of the text."""
+    text, the share of the item that its alignment earns (below ``least`` for passages), and the words ``[start, end)`` of the text."""
     docs = making_room(docs, [out], [text])
     words = materialise(_item_words(items, key, item_text, n), "items")
     result = docs.withColumn(out, F.array().cast(T.ArrayType(LEAK, False)))

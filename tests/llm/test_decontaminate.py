@@ -95,6 +95,20 @@ def test_edited_copies_beside_exact_ones(spark, step, copies):
     assert len(got) >= copies + 3 and got == by_force(docs, items)
 
 
+def test_passages_of_long_items(spark):
+    item = [f"word{i}" for i in range(1000)]
+    short = item[:59]
+    runs = {1: item[300:750], 2: item[500:513], 3: item[500:512], 4: edited(item[100:400], set(range(0, 300, 6)))}
+    runs |= {5: edited(item[100:400], set(range(2, 300, 3))), 6: short[20:48], 7: item[200:207] + ["x"] + item[207:214]}
+    runs |= {8: item[200:208] + ["x"] + item[208:215]}
+    docs = [(k, " ".join(["before"] * 5 + words + ["after"] * 5)) for k, words in runs.items()]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], x["item_id"]): x for r in D.with_leaks(docs, items).collect() for x in r["leaks"]}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (6, 1), (6, 2), (8, 1)}
+    assert [tuple(got[1, 1])[1:], tuple(got[2, 1])[1:], tuple(got[6, 2])[1:]] == [(0.45, 5, 455), (0.013, 5, 18), (28 / 59, 5, 33)]
+
+
 def test_few_meetings_at_a_time(spark, tables, monkeypatch):
     docs, items = tables
     texts = pa.array([text or "" for _, text in docs], pa.large_string())
