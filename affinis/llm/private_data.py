@@ -41,7 +41,24 @@ LOOKALIKES = {
     "y": "уγ", "@": "﹫", ".": "․。﹒", "-": "‐‑‒–−﹣", "+": "﹢",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-WORDED_ENDS = "com org net edu gov mil int info biz io co ai dev app de fr es it uk nl pl ru eu us ca au jp cn in br".split()
+# all country codes, and generic endings; other words after a worded dot are prose
+COUNTRY_ENDS = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg "
+    "ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi "
+    "gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky "
+    "kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl "
+    "no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr "
+    "ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za "
+    "zm zw"
+).split()
+GENERIC_ENDS = (
+    "com org net edu gov mil int arpa info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx app dev page blog "
+    "shop store online site website web tech technology cloud space xyz club live life news world email mail company agency digital "
+    "group team work works today top vip wiki win icu one software systems solutions services support network media studio design "
+    "zone ltd inc llc gmbh bank finance health care law legal consulting academy school university foundation church social chat "
+    "berlin london paris tokyo nyc wien hamburg koeln bayern amsterdam brussels quebec scot wales bzh eus gal swiss"
+).split()
+WORDED_ENDS = frozenset(COUNTRY_ENDS + GENERIC_ENDS)
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 # end of fixed values
 
@@ -64,7 +81,12 @@ _SPELLED_BEFORE = re.compile(rb"[0-9](?<=[eoxnrt][ ().-][0-9])|[0-9](?<=[ ().-][
 _BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
 _BRACKETED_BYTES = re.compile(rb"[\[({<]\s*(?:at|dot)\s*[\])}>]")
 _DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
-_WORDED = re.compile(rf"(?i)(?<=[A-Za-z0-9])(\s+at\s+)(?=[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*{_DOT}(?:{'|'.join(WORDED_ENDS)})(?![A-Za-z0-9-]))")
+_WORDED_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s+at\s+)([A-Za-z0-9-]++)")
+_LINK = re.compile(rf"(?i)(\.|{_DOT})([A-Za-z0-9-]++)")
+# A local part that cannot be a word of prose, and the bytes of one before a worded sign
+_JOINED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?=[0-9._%+-]*[a-z])[A-Za-z0-9%-]+(?:(?:[._+]|{_DOT})[A-Za-z0-9%-]+)+\Z")
+_JOINED_MOST = 80
+_JOINED_BYTES = re.compile(rb"[._+][a-z0-9%-]++\s++at\s")
 _WORDED_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s+dot\s+)(?=[A-Za-z0-9])")
 
 Edit = tuple[int, int, str]
@@ -150,6 +172,25 @@ class Rewritten:
         return start, end, touched
 
 
+def worded_signs(text: str) -> list[Edit]:
+    """``at`` as a word before a domain. A domain with a dot as a word or in brackets ends in a known ending,
+    or in any letters after a bracketed dot; before one with plain dots only, the local part is a joined one."""
+    edits = []
+    for match in _WORDED_AT.finditer(text):
+        worded, place = False, match.end()
+        while link := _LINK.match(text, place):
+            sign, end = link.group(1), link.group(2).lower()
+            place = link.end()
+            worded |= sign != "."
+            bracketed = sign.strip()[0] in "[({<"
+            if end in WORDED_ENDS or end.startswith("xn--") or (bracketed and len(end) > 1 and end.isalpha()):
+                start = match.start(1)
+                if worded or _JOINED.search(text[max(0, start - _JOINED_MOST) : start]):
+                    edits.append((*match.span(1), "@"))
+                    break
+    return edits
+
+
 def deobfuscated(text: str) -> Rewritten:
     """The text after all transducers."""
     result = Rewritten(text)
@@ -162,7 +203,7 @@ def deobfuscated(text: str) -> Rewritten:
             edits.append((run.start() + m.start(), run.start() + m.end(), new))
     result.apply(edits)
     signs = {"at": "@", "dot": "."}
-    worded = [(*m.span(1), "@") for m in _WORDED.finditer(result.text)]
+    worded = worded_signs(result.text)
     worded += [(*m.span(1), ".") for m in _WORDED_DOT.finditer(result.text)]
     worded += [(*m.span(), signs[m.group(1).lower()]) for m in _BRACKETED.finditer(result.text)]
     result.apply(sorted(worded))
@@ -178,6 +219,7 @@ def disguised(data: bytes) -> bool:
         or b"\ndot" in low
         or b"\tdot" in low
         or _BRACKETED_BYTES.search(low)
+        or _JOINED_BYTES.search(low)
         or _SPELLED_BYTES.search(low)
         or _SPELLED_BEFORE.search(low)
     )

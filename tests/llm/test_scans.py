@@ -139,6 +139,20 @@ def test_private_added():
         assert added(PD.scan, PD.KINDS, text) == want, text
 
 
+def test_worded_domains():
+    for text in (
+        "anna at example dot ch", "x at mail dot se", "x at mail dot me", "x at mail dot co dot nz", "x at mail dot example.ch",
+        "x at mail [dot] anything", "x at example dot online", "x at example dot xn--p1ai", "a.b at example.com",
+        "a_b at mail.example.ch", "anna dot smith at example.com", "anna [dot] smith at example.com",
+    ):
+        assert added(PD.scan, PD.KINDS, f"write to {text}, now") == [("email", text)], text
+        assert added(PD.scan, PD.KINDS, text) == [("email", text)], text
+    for text in ("more at example.com", "look at the dot then", "version 2.0 at example.com", "it. At example.com", "a.b at noon"):
+        assert added(PD.scan, PD.KINDS, text) == [], text
+    for text in ("a at " * 80_000, "a.b at c." * 40_000, "a at b" + " dot b" * 60_000, "a" * 99 + ".b at c.de " * 20_000):
+        PD.scan(text.encode())
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "token " * 80_000, "@" * 400_000, "+1" + " " * 400_000, "f" * 400_000):
         S.scan(text.encode())
