@@ -71,14 +71,18 @@ SIMILAR |= dict.fromkeys(map(ord, INVISIBLE), "")
 _OTHER = re.compile("[" + re.escape("".join(map(chr, SIMILAR))) + "]")
 _OTHER_BYTES = re.compile(rb"[\xce-\xd6]|\xc9\xa1|\xc2\xad|\xe2\x80|\xe2\x81|\xe2\x88|\xe3\x80\x82|\xef[\xb9\xbb-\xbd]|\xf0\x9d")
 _NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
+# Between two numbers of a run stand signs, or a dot as a word or in brackets, which is rewritten later.
+_SIGNS = r"[\s().,\-\[\]{}<>]"
 _SPELLED = re.compile(
-    rf"(?i)(?<![^\W_])(?:plus[ -]+)?(?:{_NUMBER}|[0-9]+)(?:[ ().-]+(?:{_NUMBER}|[0-9]+))+(?![^\W_])"
+    rf"(?i)(?<![^\W_])(?:plus[\s,-]++)?(?:{_NUMBER}|[0-9]++)(?:{_SIGNS}++(?:dot{_SIGNS}++)?(?:{_NUMBER}|[0-9]++))+(?![^\W_])"
 )
-_SPELLED_WORD = re.compile(rf"(?i)plus[ -]+|{_NUMBER}(?:[ -]+(?={_NUMBER}))?")
-# A run has a digit word after a separator, or one before a separator and a digit.
-_SPELLED_BYTES = re.compile((r"[ ().-](?:" + "|".join(DIGIT_WORDS) + r")(?![a-z])").encode())
-_SPELLED_BEFORE = re.compile(rb"[0-9](?<=[eoxnrt][ ().-][0-9])|[0-9](?<=[ ().-][ ().-][0-9])")
-_BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
+# Digit words that follow each other are joined; a comma or line break between one and a figure is a space.
+_SPELLED_WORD = re.compile(
+    rf"(?i)plus[\s,-]+|{_NUMBER}(?:[\s,-]+(?={_NUMBER}))?|(?<=[a-z])[\s,]+(?=[0-9])|(?<=[0-9])[\s,]++(?={_NUMBER})"
+)
+_SPELLED_BYTES = re.compile((r"[^a-z0-9](?:" + "|".join(DIGIT_WORDS) + r")(?![a-z])").encode())
+_SPELLED_FIRST = re.compile(("(?:" + "|".join(DIGIT_WORDS) + ")(?![a-z])").encode())
+_BRACKETED = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(at|dot)\s*[\])}>]\s*")
 _BRACKETED_BYTES = re.compile(rb"[\[({<]\s*(?:at|dot)\s*[\])}>]")
 _DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
 _WORDED_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s+at\s+)([A-Za-z0-9-]++)")
@@ -198,8 +202,8 @@ def deobfuscated(text: str) -> Rewritten:
     edits = []
     for run in _SPELLED.finditer(result.text):
         for m in _SPELLED_WORD.finditer(run.group()):
-            word = m.group().strip(" -").lower()
-            new = "+" if word == "plus" else str(DIGIT_WORDS.index(word))
+            word = m.group().strip(" \t\r\n\f\v,-").lower()
+            new = "+" if word == "plus" else str(DIGIT_WORDS.index(word)) if word in DIGIT_WORDS else " "
             edits.append((run.start() + m.start(), run.start() + m.end(), new))
     result.apply(edits)
     signs = {"at": "@", "dot": "."}
@@ -221,7 +225,7 @@ def disguised(data: bytes) -> bool:
         or _BRACKETED_BYTES.search(low)
         or _JOINED_BYTES.search(low)
         or _SPELLED_BYTES.search(low)
-        or _SPELLED_BEFORE.search(low)
+        or _SPELLED_FIRST.match(low)
     )
 
 

@@ -153,6 +153,22 @@ def test_worded_domains():
         PD.scan(text.encode())
 
 
+def test_spelled_digits():
+    cases = {
+        "one nine two dot one six eight dot one dot one": "ip", "one zero dot zero dot zero dot one": "ip",
+        "10[dot]zero[dot]zero[dot]1": "ip", "One Nine Two (dot) 168 (dot) one (dot) one": "ip", "1.2.3.four": "ip",
+        "plus one, five five five, one two three, four five six seven": "phone", "plus one\nfive five five\n123 four five six 7": "phone",
+        "plus one, 555, one two three, 4567": "phone", "four zero one two,\n8888, eight eight eight eight, 1881": "card",
+    }
+    for text, kind in cases.items():
+        assert (kind, text) in added(PD.scan, PD.KINDS, text), text
+        assert (kind, text) in added(PD.scan, PD.KINDS, f"see {text}!"), text
+    for text in ("one, two, three", "4012, 8888, 8888, 1881", "192, 168, 1, one", "one dot two dot three", "someone 1.2.3 four"):
+        assert added(PD.scan, PD.KINDS, text) == [], text
+    for text in ("one " * 80_000, "one, 1 dot " * 40_000, "1, " * 130_000, "one" + " " * 400_000, "one dot " * 60_000 + "x"):
+        PD.scan(text.encode())
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "token " * 80_000, "@" * 400_000, "+1" + " " * 400_000, "f" * 400_000):
         S.scan(text.encode())
