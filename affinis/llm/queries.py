@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from affinis.llm import query_chat, query_decontaminate, query_jaccard, query_licences  # noqa: F401
-from affinis.llm import query_pieces, query_private, query_quality  # noqa: F401
+from affinis.llm import query_mixing, query_pieces, query_private, query_quality  # noqa: F401
 from affinis.llm import query_revisits, query_secrets, query_topk  # noqa: F401
 from affinis.llm.registry import ORACLES, QUERIES
 

@@ -32,7 +32,7 @@ def test_oracle(spark, sf, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in all_queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in all_queries()) == list(range(1, 14))
 
 
 def test_stages(spark, sf, tmp_path):
