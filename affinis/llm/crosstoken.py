@@ -6,7 +6,9 @@
    rows of Bᵀ that the entries of row *i* of A name. The value of an entry is the number of shared bytes.
 3. Where tokens of both end at the same byte, a group ends. Products of the incidence matrices of
    tokens and groups give the shared-group links; they are formed in blocks, as a group may be large.
-4. How often two ids are linked in the whole corpus: a slice of some megabytes of text sends each of its id
+4. Before a space that follows a visible character, tokens of both tokenizers always end. The matrices of a
+   text are block-diagonal there, and the block of a chunk that comes again is formed once a slice.
+5. How often two ids are linked in the whole corpus: a slice of some megabytes of text sends each of its id
    pairs once, with a number; the sums are sent back once to each slice that has the pair. So the
    most frequent pair is one row per slice, and no table of pairs has to fit anywhere.
 
@@ -18,13 +20,16 @@ an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,10 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinis.llm.batches import sliced, texts_of
+from affinis.llm.pieces import MARK, Pieces
 from affinis.session import materialise
 
 SLICE_BYTES = 4 << 20  # text of a slice
-STEP_BYTES = 1 << 20  # text encoded and multiplied at a time
+STEP_BYTES = 1 << 19  # text encoded and multiplied at a time
 CELLS = 1 << 22  # products in memory at a time
 
 
@@ -141,6 +147,14 @@ class Tokenizers:
         self.a = Tokenizer.from_str(files.a.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
+        described = json.loads(files.a)
+        cut_a = described.get("pre_tokenizer") or {}
+        # A cuts words off by the usual pattern, and no piece of B reaches over a space
+        self.cuts = (
+            (described.get("normalizer"), cut_a.get("type"), cut_a.get("add_prefix_space")) == (None, "ByteLevel", False)
+            and cut_a.get("use_regex", True)
+            and Pieces(files.b).plain
+        )
         alphabet = _byte_alphabet()
         entries = {i: s for s, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.bytes_a = [bytes(alphabet.get(c, 63) for c in entries.get(i, "")) for i in range(max(entries) + 1)]
@@ -149,25 +163,33 @@ class Tokenizers:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
-        self.lengths_a = np.array([len(x) for x in self.bytes_a])
-        self.lengths_b = np.array([len(x) for x in self.bytes_b])
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both; none for a text that the tokens of one do not give back."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both, the ids of all texts and their bounds; none for a text that one does not give back."""
         spaced = [" " + x if x else "" for x in texts]
-        ids_a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        for i, text in enumerate(spaced):
-            said = text.encode("utf-8", "surrogatepass")
-            if b"".join(map(self._of_a, ids_a[i])) != said or b"".join(map(self._of_b, ids_b[i])) != said:
-                ids_a[i], ids_b[i] = [], []
-        return ids_a, ids_b
-
-    def _of_a(self, i: int) -> bytes:
-        return self.bytes_a[i] if i < len(self.bytes_a) else b""
-
-    def _of_b(self, i: int) -> bytes:
-        return self.bytes_b[i]
+        listed = [
+            [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)],
+            self.b.encode(texts, num_threads=1),
+        ]
+        said = [x.encode("utf-8", "surrogatepass") for x in spaced]
+        whole, starts = np.frombuffer(b"".join(said), np.uint8), _bounds(np.fromiter(map(len, said), np.int64, len(said)))
+        found, lost = [], np.zeros(len(texts), bool)
+        tables = (self.bytes_a, self.lengths_a), (self.bytes_b, self.lengths_b)
+        for lists, (table, lengths) in zip(listed, tables, strict=True):
+            bounds = _bounds(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, bounds[-1])
+            given = np.frombuffer(b"".join(map(table.__getitem__, ids.tolist())), np.uint8)
+            ends = _bounds(lengths[ids])[bounds]
+            found.append((ids, bounds))
+            if not np.array_equal(ends, starts) or not np.array_equal(given, whole):
+                for i in range(len(texts)):
+                    lost[i] |= not np.array_equal(given[ends[i] : ends[i + 1]], whole[starts[i] : starts[i + 1]])
+        if lost.any():
+            found = [
+                (ids[~np.repeat(lost, np.diff(bounds))], _bounds(np.where(lost, 0, np.diff(bounds)))) for ids, bounds in found
+            ]
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -193,6 +215,13 @@ class Aligned(NamedTuple):
     groups_a: Csr
     groups_b: Csr
 
+    def group_bounds(self) -> np.ndarray:
+        """Groups before each text, from the group of each text's last token."""
+        if not len(self.ids_a):
+            return np.zeros(len(self.texts_a), np.int64)
+        ends = self.groups_a.columns[np.maximum(self.texts_a[1:] - 1, 0)] + 1
+        return np.concatenate([[0], np.maximum.accumulate(np.where(np.diff(self.texts_a) > 0, ends, 0))])
+
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Overlap links: token of A, token of B, shared bytes."""
         blocks = list(product(self.bytes_a, transposed(self.bytes_b)))
@@ -200,11 +229,9 @@ class Aligned(NamedTuple):
 
 
 def align(tokenizers: Tokenizers, texts: list[str]) -> Aligned:
-    ids = tokenizers.encode(texts)
-    flat = [np.fromiter((x for row in side for x in row), np.int64, sum(map(len, side))) for side in ids]
-    bounds = [_bounds(np.array([len(row) for row in side], np.int64)) for side in ids]
-    a, b = byte_incidence(tokenizers.lengths_a[flat[0]]), byte_incidence(tokenizers.lengths_b[flat[1]])
-    return Aligned(*flat, *bounds, a, b, *group_incidence(a, b))
+    (ids_a, texts_a), (ids_b, texts_b) = tokenizers.encode(texts)
+    a, b = byte_incidence(tokenizers.lengths_a[ids_a]), byte_incidence(tokenizers.lengths_b[ids_b])
+    return Aligned(ids_a, ids_b, texts_a, texts_b, a, b, *group_incidence(a, b))
 
 
 @lru_cache(maxsize=1)
@@ -239,15 +266,41 @@ _SLICE = {  # column of a slice: its type in Arrow and in Spark
     "slice": (pa.int64(), T.LongType()),
     **dict.fromkeys(_COUNTS, _LONGS),
     "groups_sha256": (pa.list_(pa.string()), T.ArrayType(T.StringType())),
-    "entries": _INTS,
+    "chunks": _INTS,
+    "codes": _BLOB,
+    "linked": _BLOB,
     "pair": _BLOB,
-    "times": _BLOB,
     "a": _INTS,
     "b": _INTS,
     "links": _LONGS,
 }
 
 
+# texts in which a space stands beside another white space, or at an end, or which have the mark itself
+_UNCUT = rf"\s |[\v\x1c-\x1f\x85\p{{Z}}] |^ | $|{MARK}"
+
+
+def chunks(texts: pa.Array, cuts: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Chunks before each text, a code per chunk, and the distinct chunks: what stands between spaces, or
+    a whole text that cannot be cut. Each stands for itself with a space before it."""
+    filled = np.asarray(pc.binary_length(texts)) > 0
+    cut = filled & ~np.asarray(pc.match_substring_regex(texts, _UNCUT)) if cuts else np.zeros(len(texts), bool)
+    lists = pc.split_pattern(texts.filter(pa.array(cut)), " ")
+    coded = pc.dictionary_encode(lists.flatten())
+    distinct = coded.dictionary.to_pylist()
+    whole = np.flatnonzero(filled & ~cut)
+    numbers = np.zeros(len(texts), np.int64)
+    numbers[cut] = np.diff(np.asarray(lists.offsets))
+    numbers[whole] = 1
+    bounds = _bounds(numbers)
+    codes = np.empty(bounds[-1], np.int64)
+    alone = np.zeros(len(codes), bool)
+    alone[bounds[whole]] = True
+    codes[~alone] = np.asarray(coded.indices)
+    codes[alone] = len(distinct) + np.arange(len(whole))
+    return bounds, codes, distinct + texts.take(pa.array(whole)).to_pylist()
+
+
 def _steps(texts: list[str], limit: int) -> Iterator[list[str]]:
     step, size = [], 0
     for text in texts:
@@ -260,48 +313,66 @@ def _steps(texts: list[str], limit: int) -> Iterator[list[str]]:
         yield step
 
 
-def _sliced_up(tokenizers: Tokenizers, texts: list[str], number: int) -> dict:
-    """One row of ``_SLICE``: what each text has, and its distinct id pairs as places in ``a``, ``b``."""
+def _sliced_up(tokenizers: Tokenizers, texts: pa.Array, number: int) -> dict:
+    """One row of ``_SLICE``: what each text has, its chunks, and the id pairs of each distinct chunk."""
     most = max(len(tokenizers.bytes_a), len(tokenizers.bytes_b))
-    counts: dict[str, list] = {name: [] for name in (*_COUNTS, "groups_sha256")}
-    owners, codes, done = [], [], 0
-    for step in _steps(texts, STEP_BYTES):
+    bounds, codes, distinct = chunks(texts, tokenizers.cuts)
+    counts: dict[str, list[np.ndarray]] = {name: [np.empty(0, np.int64)] for name in _COUNTS}
+    written, linked = [], [np.empty(0, np.int64)]
+    for step in _steps(distinct, STEP_BYTES):
         found = align(tokenizers, step)
         rows, columns, _ = found.links()
         n_a, n_b = np.diff(found.texts_a), np.diff(found.texts_b)
         owner = np.repeat(np.arange(len(step)), n_a)
-        last = found.groups_a.columns[np.maximum(found.texts_a[1:] - 1, 0)] if len(found.ids_a) else np.zeros(len(step), int)
-        groups = np.diff(_bounds_of_groups(last, n_a))
+        groups = np.diff(found.group_bounds())
         sizes = [np.bincount(m.columns, minlength=m.width) for m in (found.groups_a, found.groups_b)]
         shared = np.bincount(np.repeat(np.arange(len(step)), groups), sizes[0] * sizes[1], len(step))
         for name, values in zip(
             _COUNTS, (n_a, n_b, groups, np.bincount(owner[rows], minlength=len(step)), shared), strict=True
         ):
-            counts[name] += values.astype(np.int64).tolist()
-        counts["groups_sha256"] += [
-            hashlib.sha256(x.encode()).hexdigest() if n else "" for x, n in zip(written_groups(found, most), n_a, strict=True)
-        ]
-        owners.append(owner[rows] + done)
-        codes.append(found.ids_a[rows] << 32 | found.ids_b[columns])
-        done += len(step)
-    pairs, place, links = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-    width = max(len(pairs), 1)
-    entries, times = np.unique(np.concatenate(owners) * width + place, return_counts=True)
-    return counts | {
+            counts[name].append(values.astype(np.int64))
+        written += written_groups(found, most)
+        linked.append(found.ids_a[rows] << 32 | found.ids_b[columns])
+    each = {name: np.concatenate(values) for name, values in counts.items()}
+    # a text with a chunk that is not given back has no tokens at all
+    lost = _summed((each["n_a"] == 0).astype(np.int64), codes, bounds) > 0
+    if lost.any():
+        kept = ~np.repeat(lost, np.diff(bounds))
+        bounds = _bounds(np.where(lost, 0, np.diff(bounds)))
+        codes = codes[kept]
+    pairs, place = np.unique(np.concatenate(linked), return_inverse=True)
+    again = np.bincount(codes, minlength=len(distinct))  # how often each chunk comes
+    said = map(written.__getitem__, codes.tolist())
+    digests = [
+        hashlib.sha256(";".join(islice(said, n)).encode()).hexdigest() if n else "" for n in np.diff(bounds).tolist()
+    ]
+    return {name: _summed(x, codes, bounds) for name, x in each.items()} | {
         "slice": number,
-        "entries": np.bincount(entries // width, minlength=len(texts)).astype(np.int32),
-        "pair": (entries % width).astype("<i4").tobytes(),
-        "times": times.astype("<i4").tobytes(),
+        "groups_sha256": digests,
+        "chunks": np.diff(bounds).astype(np.int32),
+        "codes": _packed(codes),
+        "linked": _packed(each["n_links"]),
+        "pair": _packed(place),
         "a": (pairs >> 32).astype(np.int32),
         "b": (pairs & 0xFFFFFFFF).astype(np.int32),
-        "links": links.astype(np.int64),
+        "links": np.bincount(place, np.repeat(again, each["n_links"]), len(pairs)).astype(np.int64),
     }
 
 
-def _bounds_of_groups(last: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Groups before each text, from the group of each text's last token."""
-    ends = np.where(tokens > 0, last + 1, 0)
-    return np.concatenate([[0], np.maximum.accumulate(ends)]) if len(ends) else np.zeros(1, np.int64)
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each, which the first byte says."""
+    most = int(values.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def _summed(values: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each text the sum of ``values`` over its chunks."""
+    return np.diff(_bounds(values[codes])[bounds])
 
 
 def slices(docs: DataFrame, files: Vocabularies, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,7 +387,7 @@ def slices(docs: DataFrame, files: Vocabularies, key: str = "doc_id", text: str
         number = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, "text", SLICE_BYTES):
             ids = batch.column(0)
-            row = _sliced_up(tokenizers, texts_of(batch, "text").to_pylist(), number)
+            row = _sliced_up(tokenizers, texts_of(batch, "text"), number)
             number += 1
             whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             columns = [whole, *(pa.array([row[name]], kind) for name, (kind, _) in _SLICE.items())]
@@ -354,18 +425,17 @@ def alignment_counts(docs: DataFrame, files: Vocabularies, key: str = "doc_id",
         totals[place] = right["total"].to_numpy()
         best[place] = right["best"].to_numpy().astype(np.int64)
         parts = []
-        for i in range(left.num_rows):
+        for i in range(left.num_rows):  # one
             row = left.slice(i, 1)
-            flat = {name: row[name].combine_chunks().flatten() for name in ("id", *_COUNTS, "groups_sha256")}
-            entries = row["entries"].combine_chunks().flatten().to_numpy()
-            pair, times = (np.frombuffer(row[x][0].as_py(), "<i4") for x in ("pair", "times"))
-            before = _bounds(entries)
-            sums = [_bounds(times * x[pair])[before] for x in (best, totals)]
-            columns = [flat["id"], *(flat[x] for x in _COUNTS), *(pa.array(np.diff(x)) for x in sums), flat["groups_sha256"]]
+            flat = {x: row[x].combine_chunks().flatten() for x in ("id", *_COUNTS, "groups_sha256", "chunks")}
+            codes, linked, pair = (_unpacked(row[x][0].as_py()) for x in ("codes", "linked", "pair"))
+            ends, bounds = _bounds(linked), _bounds(flat["chunks"].to_numpy())
+            sums = [_summed(np.diff(_bounds(x[pair])[ends]), codes, bounds) for x in (best, totals)]
+            columns = [flat["id"], *(flat[x] for x in _COUNTS), *map(pa.array, sums), flat["groups_sha256"]]
             parts.append(pa.Table.from_arrays(columns, out.names))
-        return pa.concat_tables(parts) if parts else pa.table({})
+        return pa.concat_tables(parts)
 
-    cut = cut.select("slice", "id", *_COUNTS, "groups_sha256", "entries", "pair", "times")
+    cut = cut.select("slice", "id", *_COUNTS, "groups_sha256", "chunks", "codes", "linked", "pair")
     return cut.groupBy("slice").cogroup(known.groupBy("part")).applyInArrow(finish, out)
 
 

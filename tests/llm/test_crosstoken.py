@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -126,17 +127,37 @@ def rows_of(df):
 @pytest.mark.parametrize("size", [C.SLICE_BYTES, 60])
 def test_against_force(spark, libraries, size, monkeypatch):
     rows = [(i, x) for i, x in enumerate(TEXTS)] + [(3, "a row that repeats its id"), (None, "no id")]
+    monkeypatch.setattr(C, "SLICE_BYTES", size)  # also a slice per text or so
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_a int").repartition(4)
-    files = public_vocabularies()
-    want = by_force(libraries, rows)
-    assert rows_of(C.alignment_counts(df, files)) == want
-    if size == 60:  # a slice per text or so: the same rows
-        monkeypatch.setattr(C, "STEP_BYTES", 10)
-        tokenizers = C.Tokenizers(files)
-        whole = C._sliced_up(tokenizers, [x or "" for x in TEXTS], 0)
-        monkeypatch.setattr(C, "STEP_BYTES", 1 << 20)
-        again = C._sliced_up(tokenizers, [x or "" for x in TEXTS], 0)
-        assert all(np.array_equal(whole[k], again[k]) for k in whole)
+    assert rows_of(C.alignment_counts(df, public_vocabularies())) == by_force(libraries, rows)
+
+
+@pytest.mark.parametrize("step", [10, 1 << 20])
+def test_chunks_change_nothing(libraries, step, monkeypatch):
+    monkeypatch.setattr(C, "STEP_BYTES", step)
+    tokenizers = C.Tokenizers(public_vocabularies())
+    assert tokenizers.cuts
+    texts = pa.array([x or "" for x in TEXTS], pa.large_string())
+    found = C._sliced_up(tokenizers, texts, 0)
+    tokenizers.cuts = False
+    whole = C._sliced_up(tokenizers, texts, 0)
+    for name in (*C._COUNTS, "groups_sha256", "a", "b", "links"):
+        assert np.array_equal(found[name], whole[name]), name
+
+
+ODD_SPACES = [" ", "  ", "\t ", " \t", "\n \n", "\u00a0 ", " \u3000", "\x1c ", "a\x1c b", "\x85 x", " x", "x ", "!\u2009 !", "a\u200b b"]
+
+
+def test_odd_spaces_in_words(libraries):
+    """Cut texts have the tokens of whole ones, whatever stands beside the spaces."""
+    tokenizers = C.Tokenizers(public_vocabularies())
+    texts = [f"{a}{space}{b}" for space in ODD_SPACES for a in ("word", "don't", "3.", "é", "") for b in ("next 'll", "7 7", "…", "")]
+    texts = [x for x in texts if x]
+    bounds, codes, distinct = C.chunks(pa.array(texts, pa.large_string()), True)
+    ids = tokenizers.encode(distinct)
+    for i, text in enumerate(texts):
+        mine = [[x for c in codes[bounds[i] : bounds[i + 1]] for x in flat[at[c] : at[c + 1]]] for flat, at in ids]
+        assert mine == [list(x) for x in (libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text))], text
 
 
 def test_query(spark, libraries, sf):
