@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.text import clean_text, default_stop_words, remove_stop_words, words
+from affinis.functions.text import clean_text, computed, default_stop_words, remove_stop_words, words
 
 
 def message_words(messages: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def clean_messages(
     cleaned = messages.select("message_id", "channel_id", cleaning(F.col("message")).alias("message"))
     if not tokenize:
         return cleaned
-    split = cleaned.select("message_id", "channel_id", words(F.col("message")).alias("raw"))
+    # later steps read the words several times: the cleaning must not be copied into each of them
+    split = computed(cleaned, "raw", words(F.col("message"))).select("message_id", "channel_id", "raw")
     if stems is None:
         return remove_stop_words(split, "raw", "tokens", stop_words).drop("raw")
     keyed = split.select(F.struct("message_id", "channel_id").alias("message_id"), F.col("raw").alias("tokens"))

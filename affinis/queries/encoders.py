@@ -11,6 +11,7 @@ from affinis.functions import text as tx
 from affinis.functions import vectors as V
 from affinis.operators import similarity as sim
 from affinis.operators import tfidf, wordvec
+from affinis.operators.prefixes import PrefixLists
 from affinis.plans import vectors as pv
 from affinis.queries import inputs as I
 from affinis.queries import sql as Q
@@ -18,6 +19,8 @@ from affinis.queries.registry import query
 from affinis.session import materialise, scratch_path
 from affinis.sources import channels as ch
 
+SIMILAR_TEXTS = 0.5  # score of texts that count as similar
+
 _GROUP_ROWS = f"SELECT channel_id AS group_id, message_id AS item_id, message AS text FROM ({I.DOCUMENT_MESSAGES_SQL})"
 
 
@@ -241,9 +244,9 @@ _TFIDF = f"""
 
 
 def _fitted(spark, sf):
-    docs = materialise(tfidf.document_terms(I.documents(spark, sf).select("doc_id", "text")), "terms")
-    model = tfidf.fit(docs)
-    return model, model.vectors(docs)
+    words = materialise(tfidf.document_words(I.documents(spark, sf).select("doc_id", "text")), "words")
+    model = tfidf.fit(tfidf.terms_of_words(words))
+    return model, model.fitted_vectors()
 
 
 @query("tfidf_vectors", f"{_TFIDF} SELECT doc_id, term, {I.r6('weight')} AS weight FROM unit")
@@ -279,6 +282,23 @@ def tfidf_similar_docs(spark, sf):
     )
 
 
+@query(
+    "tfidf_similar_pairs",
+    f"""{_TFIDF},
+  hits AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, sum(a.weight * b.weight) AS sim
+           FROM unit a JOIN unit b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL)
+  SELECT doc_id, similar_id, {I.r6('sim')} AS sim FROM hits WHERE sim >= {SIMILAR_TEXTS}""",
+)
+def tfidf_similar_pairs(spark, sf):
+    """Pairs at or above a threshold by the lists of their rare terms."""
+    model, vectors = _fitted(spark, sf)
+    lists = PrefixLists(vectors.withColumnRenamed("doc_id", "id"), SIMILAR_TEXTS, len(model.terms))
+    pairs = lists.join().where("left_id <> right_id")
+    return pairs.select(
+        F.col("left_id").alias("doc_id"), F.col("right_id").alias("similar_id"), I.round6(F.col("sim")).alias("sim")
+    )
+
+
 @query(
     "tfidf_channel_vectors",
     f"""{_TFIDF},

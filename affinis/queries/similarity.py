@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from affinis.functions import constants as C
 from affinis.functions import vectors as V
+from affinis.operators import hyperplanes as hp
 from affinis.operators import similarity as sim
+from affinis.operators.pivots import PivotIndex
 from affinis.plans import search
 from affinis.queries import inputs as I
 from affinis.queries import sql as Q
@@ -194,6 +196,66 @@ def similarity_threshold_join(spark, sf):
     return sim.threshold_join(v, v, 0.3).select("left_id", "right_id", I.round6(F.col("sim")).alias("sim"))
 
 
+@query(
+    "topk_neighbours_pivots",
+    f"SELECT channel_id, rank, neighbour_id, {I.r6('sim')} AS sim FROM ({_RANKED}) WHERE rank <= {C.NEIGHBOURS}",
+)
+def topk_neighbours_pivots(spark, sf):
+    """The same neighbours from groups by nearest pivot, far groups skipped."""
+    v = I.id_vectors(spark, sf)
+    found = PivotIndex(v).top_k(v, C.NEIGHBOURS, exclude_self=True)
+    return _shown(found.withColumnRenamed("query_id", "channel_id"), "channel_id")
+
+
+@query(
+    "similarity_threshold_join_pivots",
+    f"SELECT channel_id AS left_id, neighbour_id AS right_id, {I.r6('sim')} AS sim FROM ({_ALL}) WHERE sim >= 0.3",
+)
+def similarity_threshold_join_pivots(spark, sf):
+    v = I.id_vectors(spark, sf)
+    found = PivotIndex(v).threshold_join(v, 0.3)
+    return found.select("left_id", "right_id", I.round6(F.col("sim")).alias("sim"))
+
+
+def _planes(spark, sf, threshold):
+    v = I.id_vectors(spark, sf)
+    return hp.HyperplaneIndex(v, *hp.choose_tables(threshold, hp.RECALL, v.count()))
+
+
+@query("similarity_threshold_join_approx")
+def similarity_threshold_join_approx(spark, sf):
+    """Pairs that share a bucket of hyperplanes; ``approximate_recall`` holds them against all pairs."""
+    found = _planes(spark, sf, 0.3).threshold_join(0.3)
+    return found.select("left_id", "right_id", I.round6(F.col("sim")).alias("sim"))
+
+
+@query("topk_neighbours_approx")
+def topk_neighbours_approx(spark, sf):
+    found = _planes(spark, sf, 0.3).top_k(10)
+    return _shown(found.withColumnRenamed("query_id", "channel_id"), "channel_id")
+
+
+@query(
+    "approximate_recall",
+    """SELECT unnest(['join', 'top']) AS search, true AS reached, 0 AS not_exact""",
+)
+def approximate_recall(spark, sf):
+    """Whether the approximate searches find 0.9 of what the exact ones do, and how many scores differ."""
+    v, planes = I.id_vectors(spark, sf), _planes(spark, sf, 0.3)
+    searches = {
+        "join": (planes.threshold_join(0.3), sim.threshold_join(v, v, 0.3), ["left_id", "right_id"]),
+        "top": (planes.top_k(10), sim.top_k(v, v, 10, exclude="self"), ["query_id", "neighbour_id"]),
+    }
+    out = None
+    for name, (found, exact, keys) in searches.items():
+        reached = hp.recall(found, exact, keys).select(F.lit(name).alias("search"), (F.col("recall") >= 0.9).alias("reached"))
+        both = found.select(*keys, F.col("sim").alias("s")).join(exact.select(*keys, "sim"), keys)
+        wrong = both.agg(F.count_if(F.abs(F.col("s") - F.col("sim")) > 1e-12).cast("int").alias("not_exact"))
+        row = reached.join(F.broadcast(wrong))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "threshold_join_near",
     """WITH r AS (SELECT vec_id, label, 0.85 + (vec_id % 6 - 2.5) * 1e-10 AS c FROM embeddings)
