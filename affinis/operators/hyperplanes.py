@@ -121,13 +121,13 @@ class HyperplaneIndex:
         placed = self._bucketed(self.rows)
         sizes = group_sizes(placed, placed, self.dim)
         kernel = PairsOf(threshold, FirstTable())
-        return compare_in_groups(placed, placed, kernel, PAIRS, self.dim, sizes, **self.placement)
+        return compare_in_groups(placed, None, kernel, PAIRS, self.dim, sizes, **self.placement)
 
     def top_k(self, k: int = 50, *, exclude_self: bool = True) -> DataFrame:
         """The ``k`` best of the rows that share a bucket: ``(query_id, rank, neighbour_id, sim)``."""
         placed = self._bucketed(self.rows).withColumn("bound", F.lit(float("-inf"))).drop("codes")
         sizes = group_sizes(placed, placed, self.dim)
-        hits = compare_in_groups(placed, placed, BestOf(k, exclude_self), HITS, self.dim, sizes, **self.placement)
+        hits = compare_in_groups(placed, None, BestOf(k, exclude_self), HITS, self.dim, sizes, **self.placement)
         return best_by_query(hits, k).select("query_id", "rank", "neighbour_id", "sim")
 
 

@@ -19,7 +19,7 @@ from affinis.queries.registry import query
 from affinis.session import materialise, scratch_path
 from affinis.sources import channels as ch
 
-SIMILAR_TEXTS = 0.5  # score of texts that count as similar
+SIMILAR_TEXTS = 0.9  # score of texts that count as similar
 
 _GROUP_ROWS = f"SELECT channel_id AS group_id, message_id AS item_id, message AS text FROM ({I.DOCUMENT_MESSAGES_SQL})"
 
