@@ -15,9 +15,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from affinis.llm.spans import Found, with_spans
+from affinis.llm.spans import Covered, Found, character_starts, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -89,7 +90,8 @@ _WORDED_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s+at\s+)([A-Za-z0-9-]++)")
 _LINK = re.compile(rf"(?i)(\.|{_DOT})([A-Za-z0-9-]++)")
 # A local part that cannot be a word of prose, and the bytes of one before a worded sign
 _JOINED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?=[0-9._%+-]*[a-z])[A-Za-z0-9%-]+(?:(?:[._+]|{_DOT})[A-Za-z0-9%-]+)+\Z")
-_JOINED_MOST = 80
+_JOINED_STEP = 80  # characters before a worded sign that are looked at, more while they belong to one word
+_LOCAL_TEXT = frozenset(map(chr, LOCAL))
 _JOINED_BYTES = re.compile(rb"[._+][a-z0-9%-]++\s++at\s")
 _WORDED_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s+dot\s+)(?=[A-Za-z0-9])")
 
@@ -176,6 +178,13 @@ class Rewritten:
         return start, end, touched
 
 
+def _joined_from(text: str, end: int) -> int:
+    start = max(0, end - _JOINED_STEP)
+    while start and text[start - 1] in _LOCAL_TEXT:
+        start -= 1
+    return start
+
+
 def worded_signs(text: str) -> list[Edit]:
     """``at`` as a word before a domain. A domain with a dot as a word or in brackets ends in a known ending,
     or in any letters after a bracketed dot; before one with plain dots only, the local part is a joined one."""
@@ -189,7 +198,7 @@ def worded_signs(text: str) -> list[Edit]:
             bracketed = sign.strip()[0] in "[({<"
             if end in WORDED_ENDS or end.startswith("xn--") or (bracketed and len(end) > 1 and end.isalpha()):
                 start = match.start(1)
-                if worded or _JOINED.search(text[max(0, start - _JOINED_MOST) : start]):
+                if worded or _JOINED.search(text[_joined_from(text, start) : start]):
                     edits.append((*match.span(1), "@"))
                     break
     return edits
@@ -237,29 +246,20 @@ def scan(data: bytes) -> Found:
         text = data.decode("utf-8", "replace")
         result = deobfuscated(text)
         if result.layers:
-            place = _byte_places(text)
+            place = character_starts(data)
             plain = result.text.encode("utf-8", "replace")
-            points = _code_points(result.text)
-            for start, kind, end in base_spans(plain):
-                begin, stop, touched = result.source(points(start), points(end))
-                begin, stop = place(begin), place(stop)
-                inside = any(k == kind and s <= begin and stop <= e for s, k, e in base)
-                if touched and not inside:
+            points = character_starts(plain)
+            known = [Covered((s, e) for s, k, e in base if k == kind) for kind in range(len(KINDS))]
+            new = base_spans(plain)
+            at = np.searchsorted(points, [x for start, _, end in new for x in (start, end)]).tolist()
+            for i, (_, kind, _) in enumerate(new):
+                begin, stop, touched = result.source(at[2 * i], at[2 * i + 1])
+                begin, stop = int(place[begin]), int(place[stop])
+                if touched and not known[kind](begin, stop):
                     found.append((begin, kind, stop, True))
     return found
 
 
-def _byte_places(text: str):
-    return (lambda i: i) if text.isascii() else (lambda i: len(text[:i].encode("utf-8", "replace")))
-
-
-def _code_points(text: str):
-    if text.isascii():
-        return lambda i: i
-    data = text.encode("utf-8", "replace")
-    return lambda i: len(data[:i].decode("utf-8", "replace"))
-
-
 def find_private(df: DataFrame, text: str = "text", out: str = "private") -> DataFrame:
     """``df`` with the array ``out`` of ``(kind, start, end, added)``, in code points."""
     return with_spans(df, scan, KINDS, text, out)

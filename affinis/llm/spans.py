@@ -5,8 +5,11 @@ Scans work on UTF-8 bytes, because all their patterns are ASCII, and report code
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +28,31 @@ SPAN = T.StructType(
 )
 
 
+def character_starts(data: bytes) -> np.ndarray:
+    """The byte at which each character of UTF-8 begins, and the end."""
+    return np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
+
+
 def code_points(data: bytes, found: Found) -> Found:
     """Byte offsets turned into code points, sorted by start, then kind, then end."""
     found = sorted(found)
-    if data.isascii():
+    if not found or data.isascii():
         return found
-    places = sorted({x for start, _, end, _ in found for x in (start, end)})
-    at, points, seen = {}, 0, 0
-    for place in places:
-        points += len(data[seen:place].decode("utf-8", "replace"))
-        at[place], seen = points, place
-    return [(at[start], kind, at[end], added) for start, kind, end, added in found]
+    at = np.searchsorted(character_starts(data), [x for start, _, end, _ in found for x in (start, end)]).tolist()
+    return [(at[2 * i], kind, at[2 * i + 1], added) for i, (_, kind, _, added) in enumerate(found)]
+
+
+class Covered:
+    """Whether a span lies inside one of the given spans, asked in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [start for start, _ in ordered]
+        self.reach = list(accumulate((end for _, end in ordered), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.reach[at - 1] >= end
 
 
 def with_spans(

@@ -1,6 +1,9 @@
 import hashlib
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -202,3 +205,59 @@ def test_queries(spark, sf):
             want = force(texts[row["doc_id"]])
             assert row["base_sha256"] == digest(want, kinds)
             assert [row[f"n_{kind}"] for kind in kinds] == [sum(k == i for _, k, _ in want) for i in range(len(kinds))]
+
+
+def random_token(draw, alphabet, length):
+    return "".join(draw.choice(alphabet) for _ in range(length))
+
+
+def test_recall_of_random_secrets():
+    draw, letters = random.Random(11), string.ascii_letters
+    for alphabet in (letters + string.digits + "+/", letters + string.digits + "-_", letters):
+        for length in (24, 32, 40):
+            hits = sum(bool(S.scan(f"key {random_token(draw, alphabet, length)} end".encode())) for _ in range(600))
+            assert hits >= 0.9 * 600, (alphabet, length, hits)
+
+
+def test_no_false_alarms_in_prose_and_names(spark, sf):
+    names = "getUserNameFromDatabaseConnection AbstractSingletonProxyFactoryBean some-long-module-name-without-digits"
+    names += " src/main/java/org/example/project/controllers/UserController INTERNATIONALIZATION_OF_EVERYTHING 2024-01-15T12:00:00"
+    names += " antidisestablishmentarianism-and-floccinaucinihilipilification https/www.website.org/articles/2021/november/title"
+    assert added(S.scan, S.KINDS, names) == []
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = [w for r in rows for w in (r["text"] or "").split() if w.isalpha()]
+    assert len(words) > 10_000 and added(S.scan, S.KINDS, " ".join(words)) == []
+
+
+def test_words_that_mark_examples():
+    secret = "Zx8Kq2LmP0vRt7YwNb4HcJ5d"
+    for text in (f"team-example-key-{secret}", f"aws/sample/{secret}"):
+        assert any(secret in found for _, found in added(S.scan, S.KINDS, text)), text
+    for text in (f"example-{secret}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert added(S.scan, S.KINDS, text) == [], text
+    draw = random.Random(12)
+    long = random_token(draw, string.ascii_letters + string.digits, 4000)
+    found = added(S.scan, S.KINDS, long[:2000] + "xxxx" + long[2000:])
+    assert sum(len(x) for _, x in found) > 3500  # one mark does not hide a long run
+
+
+def seconds_of(work):
+    start = time.perf_counter()
+    work()
+    return time.perf_counter() - start
+
+
+def test_many_spans_stay_linear(spark):
+    draw = random.Random(13)
+    alphabet = string.ascii_letters + string.digits
+    secrets = " ".join(f"é{random_token(draw, alphabet, 24)} token={random_token(draw, alphabet, 12)}" for _ in range(40_000))
+    private = " ".join(f"é jоhn{i}@exаmple.com a{i}@b.cd" for i in range(40_000))
+    assert seconds_of(lambda: code_points(secrets.encode(), S.scan(secrets.encode()))) < 10
+    assert seconds_of(lambda: code_points(private.encode(), PD.scan(private.encode()))) < 10
+    found = S.find_secrets(spark.createDataFrame([(secrets,)], "text string"))
+    assert seconds_of(lambda: S.redact(found).write.format("noop").mode("overwrite").save()) < 25
+
+
+def test_long_local_parts():
+    text = "x." + "y" * 100 + " at example.com"
+    assert added(PD.scan, PD.KINDS, text) == [("email", text)]
