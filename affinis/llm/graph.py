@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from affinis.session import scratch_path
+from affinis.session import materialise, scratch_path
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -18,8 +18,9 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
 
 def _hooked(edges: DataFrame) -> DataFrame:
     """``edges`` with the smallest ``v`` of each ``u`` as ``m``. A join instead of a window: the rows of
-    a hub are not gathered in one task, and a skewed partition can be split."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    a hub are not gathered in one task. The minima are written down, since Spark splits a skewed partition
+    only where nothing is aggregated in the stage of the join."""
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     return edges.join(least, "u")
 
 

@@ -6,14 +6,15 @@
 2. The band hashes are shuffled. Representatives that share one are chained to the smallest of them;
    the connected components of these chains hold all candidate pairs.
 3. The n-gram set of each representative in such a component is sent to it. A component beyond
-   ``BLOCK`` members is cut into blocks and every pair of blocks is a group of its own. Inside a
-   group, pairs that share a band are verified on the full sets.
+   ``BLOCK`` members or ``BLOCK_GRAMS`` n-grams is cut into blocks and every pair of blocks is a group of
+   its own. Inside a group, pairs that share a band are verified on the full sets.
 4. Groups report, per representative, the number of its links and one link that spans; links are
    never expanded into rows. The components of the spanning links are the classes.
 
 Defined cases: null texts and texts without words have no n-grams and so no links; repeated rows are
 copies; a null id gets the null class and no links; rows of one id with different texts are judged
-one by one.
+one by one, as representatives have numbers of their own. Where one row of each class is kept, rows of one
+id whose sets are equal count as one, and rows without words stay as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinis.llm.batches import flat_array, mix, ngrams, signed, sliced, texts_of, word_hashes
 from affinis.llm.graph import components
@@ -36,19 +39,23 @@ THRESHOLD = 0.8
 RECALL = 0.999
 HASHES = 256  # most minima in a signature
 BLOCK = 1024  # representatives in a block
+BLOCK_GRAMS = 1 << 21  # n-grams in a block, of more than one representative
 CELLS = 1 << 22  # matrix cells in memory at a time
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
     """Bands and rows per band: the longest rows whose bands catch a pair at ``threshold`` with
-    probability ``recall`` within ``most`` hashes. Longer rows let fewer unlike pairs through."""
-    best = (1, 1)
+    probability ``recall`` within ``most`` hashes. Longer rows let fewer unlike pairs through. Raises
+    where even bands of one row would need more hashes."""
+    best = None
     for rows in range(1, most + 1):
         hit = threshold**rows
         bands = 1 if hit >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-hit))
         if bands * rows > most:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes do not reach a recall of {recall} at a similarity of {threshold}")
     return best
 
 
@@ -137,18 +144,24 @@ def _with_sets(df: DataFrame, text: str, n: int) -> DataFrame:
     return df.mapInArrow(run, f"{fields}, grams array<long>")
 
 
-def _bits(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """A bit per row and n-gram that at least two rows have."""
+def _strips(offsets: np.ndarray, grams: np.ndarray) -> Iterator[np.ndarray]:
+    """A bit per row and n-gram that at least two rows have, ``CELLS`` words of 64 at a time."""
+    rows = len(offsets) - 1
     _, codes, counts = np.unique(grams, return_inverse=True, return_counts=True)
     shared = counts > 1
     place = np.cumsum(shared) - 1
-    width = int(shared.sum() + 63) // 64
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    kept = shared[codes]
-    where = place[codes[kept]]
-    bits = np.zeros((len(offsets) - 1, max(width, 1)), np.uint64)
-    np.bitwise_or.at(bits, (rows[kept], where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
-    return bits
+    kept = np.flatnonzero(shared[codes])
+    where, owner = place[codes[kept]], np.repeat(np.arange(rows), np.diff(offsets))[kept]
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    wide = max(1, CELLS // max(rows, 1))
+    words = (int(shared.sum()) + 63) // 64
+    for first in range(0, words, wide):
+        part = slice(*np.searchsorted(where, [first * 64, (first + wide) * 64]))
+        at = where[part] - first * 64
+        bits = np.zeros((rows, min(wide, words - first)), np.uint64)
+        np.bitwise_or.at(bits, (owner[part], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        yield bits
 
 
 def similar_pairs(
@@ -156,9 +169,9 @@ def similar_pairs(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (one of ``left``, one of ``right``; first below second if both are the same rows)
     that share a band and whose sets are at least ``threshold`` similar."""
-    sizes, bits, same = np.diff(offsets), _bits(offsets, grams), left is right
+    sizes, same = np.diff(offsets), left is right
     num, den = threshold.numerator, threshold.denominator
-    first, second = [], []
+    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     step = max(1, CELLS // max(1, len(right)))
     for at in range(0, len(left), step):
         rows = left[at : at + step]
@@ -170,16 +183,17 @@ def similar_pairs(
         if same:
             near &= rows[:, None] < right[None, :]
         p, q = np.nonzero(near)
-        p, q = rows[p], right[q]
+        first.append(rows[p])
+        second.append(right[q])
+    p, q = np.concatenate(first), np.concatenate(second)  # at most as many as a pair of blocks has
+    common = np.zeros(len(p), np.int64)
+    for bits in _strips(offsets, grams) if len(p) else ():
         chunk = max(1, CELLS // bits.shape[1])
         for lo in range(0, len(p), chunk):
-            x, y = p[lo : lo + chunk], q[lo : lo + chunk]
-            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
-            good = common * (num + den) >= num * (sizes[x] + sizes[y])
-            first.append(x[good])
-            second.append(y[good])
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *first]), np.concatenate([empty, *second])
+            both = bits[p[lo : lo + chunk]] & bits[q[lo : lo + chunk]]
+            common[lo : lo + chunk] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    good = common * (num + den) >= num * (sizes[p] + sizes[q])
+    return p[good], q[good]
 
 
 def roots(count: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -219,12 +233,12 @@ def _groups(batches, key: list[str]) -> Iterator[pa.Table]:
 
 
 def _links(grouped: DataFrame, threshold: float) -> DataFrame:
-    """``(rep, root, links)`` of every group, for representatives that have links in it."""
+    """``(node, root, links)`` of every group, for representatives that have links in it."""
     exact = Fraction(str(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ["component", "left", "right"]):
-            reps = table["rep"].to_numpy()
+            reps = table["node"].to_numpy()
             reps, kept = np.unique(reps, return_index=True)  # repeated rows of one id
             if len(reps) < 2:
                 continue
@@ -243,61 +257,69 @@ def _links(grouped: DataFrame, threshold: float) -> DataFrame:
             label = roots(len(reps), p, q)
             some = np.flatnonzero(links > 0)
             yield pa.RecordBatch.from_pydict(
-                {"rep": reps[some], "root": reps[label[some]], "links": links[some].astype(np.int64)}
+                {"node": reps[some], "root": reps[label[some]], "links": links[some].astype(np.int64)}
             )
 
-    return grouped.mapInArrow(run, "rep long, root long, links long")
+    return grouped.mapInArrow(run, "node long, root long, links long")
 
 
-def similarity_classes(
-    df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL
-) -> DataFrame:
-    """``(key, class_id, n_links)`` per row of ``df``: the smallest id of the row's class, and the
-    number of other rows that are at least ``threshold`` similar to it."""
+def _classes(df: DataFrame, text: str, key: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and ``(set_a, set_b, rep, class, class_id, n_links)`` of each set: the smallest
+    id of the set, the number of its class, the smallest id of the class, and the links of a row of the set."""
     bands, rows = choose_bands(threshold, recall)
     signs = materialise(signatures(df, text, key, n, bands, rows), "signatures")
-    reps = materialise(
+    reps = (
         signs.where("size > 0 AND id IS NOT NULL")
         .groupBy("set_a", "set_b")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")),
-        "representatives",
-    )
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    chains = banded.join(buckets, "band").select(F.col("rep").alias("u"), "v")
-    candidates = components(chains)
-
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = (
-        candidates.join(sizes, "component")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumnRenamed("node", "rep")
-        .join(reps.select("rep", "set_a", "weight", "bands"), "rep")
+        .agg(
+            F.min("id").alias("rep"),
+            F.count(F.lit(1)).alias("weight"),
+            F.first("size").alias("size"),
+            F.first("bands").alias("bands"),
+        )
     )
+    # the number is written with the row, so that every later step sees the same
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    chains = banded.join(buckets, "band").select(F.col("node").alias("u"), "v")
+    candidates = components(chains).join(reps, "node")
+
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS))
+    sizes = candidates.groupBy("component").agg(blocks.cast("int").alias("blocks"))
+    members = candidates.select("component", "node", "rep", "set_a", "set_b", "weight", "bands").join(sizes, "component")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text"))
     with_sets = _with_sets(members.join(texts, "rep"), "_text", n)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     grouped = (
         with_sets.withColumn("_other", other)
         .withColumns({"left": F.least("block", "_other"), "right": F.greatest("block", "_other")})
-        .select("component", "left", "right", "block", "rep", "weight", "bands", "grams")
+        .select("component", "left", "right", "block", "node", "weight", "bands", "grams")
         .repartition("component", "left", "right")
         .sortWithinPartitions("component", "left", "right")
     )
     found = materialise(_links(grouped, threshold), "links")
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    per_set = (
-        reps.select("set_a", "set_b", "rep", "weight")
-        .join(linked, "rep", "left")
-        .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "set_a",
-            "set_b",
-            F.coalesce("component", "rep").alias("class_id"),
-            (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        )
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    sets = (
+        reps.select("set_a", "set_b", "node", "rep", "weight")
+        .join(linked, "node", "left")
+        .join(labels, "node", "left")
+        .withColumn("class", F.coalesce("component", "node"))
+    )
+    least = sets.groupBy("class").agg(F.min("rep").alias("class_id"))
+    return signs, sets.join(least, "class").select(
+        "set_a", "set_b", "rep", "class", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+
+
+def similarity_classes(
+    df: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL
+) -> DataFrame:
+    """``(key, class_id, n_links)`` per row of ``df``: the smallest id of the row's class, and the
+    number of other rows that are at least ``threshold`` similar to it."""
+    signs, sets = _classes(df, text, key, n, threshold, recall)
     some = F.col("size") > 0
     none = signs.where(~some | F.col("id").isNull()).select(
         F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
@@ -305,16 +327,60 @@ def similarity_classes(
     return (
         signs.where(some & F.col("id").isNotNull())
         .select("id", "set_a", "set_b")
-        .join(per_set, ["set_a", "set_b"])
+        .join(sets.select("set_a", "set_b", "class_id", "n_links"), ["set_a", "set_b"])
         .select(F.col("id").alias(key), "class_id", "n_links")
         .unionByName(none)
     )
 
 
-def one_per_class(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``df`` with one row of each class: the one of the smallest id. Rows of one id are reduced to one
-    row; rows with a null id stay."""
-    classes = similarity_classes(df, text, key, **options)
-    dropped = classes.where(F.col("class_id") < F.col(key)).select(key).distinct()
-    named = df.where(F.col(key).isNotNull()).join(dropped, key, "left_anti").dropDuplicates([key])
-    return named.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
+def _with_keys(df: DataFrame, text: str, n: int) -> DataFrame:
+    """``df`` with the keys of the set of each text, and how many n-grams it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            offsets, grams = shingle_sets(texts_of(batch, text), n)
+            added = [pa.array(x) for x in (*set_keys(offsets, grams), np.diff(offsets))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.LongType()) for x in ("_set_a", "_set_b", "_size"))])
+    return df.mapInArrow(run, schema)
+
+
+def one_per_class(
+    df: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    n: int = WORDS,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> DataFrame:
+    """``df`` with one row of each class: the one of the smallest id; of several sets of that id the one of
+    the smallest key, of several texts with that set the smallest text. Rows with a null id, and rows without
+    words, stay.
+
+    Most rows are told by their id alone. Only for ids that come more than once are the sets formed again.
+    """
+    signs, sets = _classes(df, text, key, n, threshold, recall)
+    sets = materialise(sets.select("set_a", "set_b", "rep", "class", "class_id"), "classes")
+    row = signs.where("size > 0 AND id IS NOT NULL").select("id", "set_a", "set_b").join(sets, ["set_a", "set_b"])
+    known = signs.where("id IS NOT NULL").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    often = materialise(known.where("_rows > 1").select("_id"), "repeated-ids")
+    dropped = row.where("class_id < id").select(F.col("id").alias("_id"))
+    as_key = F.col(key).cast("long") == F.col("_id")
+    some = df.where(F.col(key).isNotNull())
+    once = some.join(dropped.unionByName(often).distinct(), as_key, "left_anti")
+
+    # of the sets whose smallest id is that of the class, the first one stands for it
+    first = sets.where("rep = class_id").groupBy("class", "class_id").agg(F.min(F.struct("set_a", "set_b")).alias("s"))
+    first = first.select(F.col("class_id").alias("_id"), F.col("s.set_a").alias("_a"), F.col("s.set_b").alias("_b"))
+    again = _with_keys(some.join(often, as_key, "left_semi"), text, n)
+    kept = again.where("_size > 0").join(
+        first, as_key & (F.col("_set_a") == F.col("_a")) & (F.col("_set_b") == F.col("_b")), "left_semi"
+    )
+    order = W.partitionBy(key, "_set_a", "_set_b").orderBy(text)
+    kept = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    parts = [once, kept, again.where("_size = 0"), df.where(F.col(key).isNull())]
+    out = parts[0].select(*df.columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*df.columns))
+    return out

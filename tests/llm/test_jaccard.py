@@ -50,6 +50,8 @@ def test_bands_reach_the_recall():
         bands, rows = J.choose_bands(threshold, recall)
         assert 1 - (1 - threshold**rows) ** bands >= recall and bands * rows <= J.HASHES
     assert J.choose_bands() == (30, 7)
+    with pytest.raises(ValueError, match="recall"):
+        J.choose_bands(0.02, 0.999)
 
 
 def test_recall_of_signatures():
@@ -114,6 +116,55 @@ def test_one_id_with_two_texts(spark):
     assert got == [(1, 1, 0), (1, 1, 1), (2, 1, 1)]
 
 
+def test_links_of_one_id_with_several_texts(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (10, 60, 110, 160)]
+    for ids in ((1, 1, 2, 3), (1, 1, 1, 1), (1, 2, 3, 4)):
+        rows = list(zip(ids, texts, strict=True))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert found(J.similarity_classes(df)) == by_force(rows) == [(i, 1, 3) for i in ids]
+        kept = J.one_per_class(df).collect()
+        assert [r["doc_id"] for r in kept] == [1] and kept[0]["text"] in texts
+
+
+def test_one_per_class_keeps_other_texts_of_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    far, near = "u v w x y z", " ".join([*base[:30], "other", *base[31:]])
+    rows = [(1, " ".join(base)), (1, far), (1, "U, v w x y z"), (2, far), (3, near), (4, ""), (4, None), (4, "s o l o t e x t")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = J.one_per_class(df.repartition(4)).collect()
+    assert sorted(r["n"] for r in kept) == [0, 2, 5, 6, 7]
+    classes = found(J.similarity_classes(df.select("doc_id", "text")))
+    assert classes == by_force(rows)
+
+
+def test_long_texts_in_many_families(spark, monkeypatch):
+    """Blocks are cut by n-grams too, and the matrix of n-grams is formed a strip at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    rows, sets = 0, []
+    for _ in range(40):  # families of long texts, all in one component
+        both = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+        for _ in range(3):
+            sets.append(np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 900).astype(np.uint64)])))
+    rows = len(sets)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    grams = np.concatenate(sets)
+    monkeypatch.setattr(J, "CELLS", 1 << 16)
+    every = np.arange(rows)
+    tracemalloc.start()
+    p, q = J.similar_pairs(np.zeros((rows, 1), np.int64), offsets, grams, every, every, Fraction(4, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(p.tolist(), q.tolist(), strict=True)) == [(i, j) for i in range(rows) for j in range(i + 1, rows) if i // 3 == j // 3]
+    assert peak < 14 * grams.nbytes
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 500)
+    texts = [(i, " ".join(f"f{i // 4}w{j}" for j in range(300) if j != 17 * (i % 4))) for i in range(24)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert found(J.similarity_classes(df)) == by_force(texts)
+
+
 def test_sets_do_not_depend_on_the_batch():
     texts = ["a b c d e f g", "", "x", "a b c d e f g " * 3]
     whole, alone = J.shingle_sets(pa.array(texts, pa.large_string()), 5), []
