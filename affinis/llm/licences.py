@@ -5,8 +5,8 @@ A text is cut into sentences; each is normalised (lower case, runs of other char
 identifiers, with a dot for every sentence that is not known. Ordered rules, longest first, are then
 matched against that sequence; at most ``GAP`` unknown sentences may stand between two of a rule.
 
-A sentence ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at an empty line. If one that is not
-known holds line breaks, its single lines are looked up in its place.
+A sentence ends at ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, or at a line that is empty but for the signs
+with which comments begin. If one that is not known holds line breaks, its single lines are looked up in its place.
 
 Defined cases: null and empty texts have no licences; repeated rows give repeated rows; other columns
 pass through, but one that has the name of a result is replaced by it.
@@ -23,12 +23,26 @@ from affinis.llm.batches import making_room
 
 GAP = 10
 
-# fixed values: licence sentences as normalised text
+# fixed values: licence sentences as normalised text, cut where sentences end
 SENTENCES = {
+    "spdx license identifier": "spdx",
+    "mit": "id-mit",
+    "apache 2 0": "id-apache",
+    "gpl 2 0 only": "id-gpl2",
+    "gpl 2 0 or later": "id-gpl2-later",
+    "gpl 3 0 only": "id-gpl3",
+    "gpl 3 0 or later": "id-gpl3-later",
+    "lgpl 2 1 or later": "id-lgpl21-later",
+    "lgpl 3 0 or later": "id-lgpl3-later",
+    "agpl 3 0 or later": "id-agpl3-later",
+    "mpl 2 0": "id-mpl",
+    "isc": "id-isc",
+    "unlicense": "id-unlicense",
+    "bsd 2 clause": "id-bsd2",
+    "bsd 3 clause": "id-bsd3",
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
     "this project is licensed under the mit license": "mit-ref",
-    "spdx license identifier mit": "mit-ref",
     "mit license": "mit-title",
     "the mit license": "mit-title",
     "the mit license mit": "mit-title",
@@ -40,22 +54,46 @@ SENTENCES = {
     "of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the "
     "warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all "
+    "implied warranties of merchantability and fitness": "isc-warranty",
     "licensed under the apache license version 2 0": "apache-ref",
     "licensed under the apache license version 2 0 the license": "apache-head",
-    "spdx license identifier apache 2 0": "apache-ref",
     "you may not use this file except in compliance with the license": "apache-use",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
+    "http www apache org licenses license 2 0": "apache-url",
+    "https www apache org licenses license 2 0": "apache-url",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
     "on an as is basis without warranties or conditions of any kind either express or implied": "apache-law",
     "see the license for the specific language governing permissions and limitations under the license": "apache-see",
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
-    "spdx license identifier gpl 3 0 only": "gpl3-ref",
-    "spdx license identifier gpl 3 0 or later": "gpl3-later-ref",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
-    "license as published by the free software foundation either version 3 of the license or at your option any later "
-    "version": "gpl3-grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
-    "warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "this program is free software": "gnu-program",
+    "this library is free software": "gnu-library",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+    "software foundation": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by "
+    "the free software foundation": "gpl2-only",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+    "free software foundation": "lgpl-terms",
+    "either version 2 of the license or at your option any later version": "gnu-v2-later",
+    "either version 2 1 of the license or at your option any later version": "gnu-v21-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+    "software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+    "free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the "
+    "free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gnu-hope",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gnu-hope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gnu-warranty",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-copy",
+    "this is free and unencumbered software released into the public domain": "unlicense-domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a "
+    "compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
     "licensed under cc by nc 4 0": "cc-by-nc-ref",
     "licensed under cc by 4 0": "cc-by-ref",
     "licensed under cc by sa 4 0": "cc-by-sa-ref",
@@ -77,26 +115,51 @@ RULES = {
     ("mit-title", "mit-grant", "mit-notice", "mit-warranty"): "MIT",
     ("mit-grant", "mit-notice", "mit-warranty"): "MIT",
     ("mit-ref",): "MIT",
-    ("apache-head", "apache-use", "apache-copy", "apache-law", "apache-see"): "Apache-2.0",
+    ("spdx", "id-mit"): "MIT",
+    ("isc-grant", "isc-warranty"): "ISC",
+    ("spdx", "id-isc"): "ISC",
+    ("apache-head", "apache-use", "apache-url", "apache-law", "apache-see"): "Apache-2.0",
     ("apache-head", "apache-use"): "Apache-2.0",
     ("apache-ref",): "Apache-2.0",
+    ("spdx", "id-apache"): "Apache-2.0",
     ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"): "BSD-3-Clause",
     ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"): "BSD-2-Clause",
-    ("gpl3-grant", "gpl-warranty"): "GPL-3.0-or-later",
+    ("spdx", "id-bsd2"): "BSD-2-Clause",
+    ("spdx", "id-bsd3"): "BSD-3-Clause",
+    ("gnu-program", "gpl3-grant", "gnu-hope", "gnu-warranty"): "GPL-3.0-or-later",
     ("gpl3-grant",): "GPL-3.0-or-later",
-    ("gpl3-later-ref",): "GPL-3.0-or-later",
     ("gpl3-ref",): "GPL-3.0-only",
+    ("spdx", "id-gpl3"): "GPL-3.0-only",
+    ("spdx", "id-gpl3-later"): "GPL-3.0-or-later",
+    ("gnu-program", "gpl-terms", "gnu-v2-later", "gnu-hope", "gnu-warranty"): "GPL-2.0-or-later",
+    ("gpl-terms", "gnu-v2-later"): "GPL-2.0-or-later",
+    ("gnu-program", "gpl2-only", "gnu-hope", "gnu-warranty"): "GPL-2.0-only",
+    ("gpl2-only",): "GPL-2.0-only",
+    ("spdx", "id-gpl2"): "GPL-2.0-only",
+    ("spdx", "id-gpl2-later"): "GPL-2.0-or-later",
+    ("gnu-library", "lgpl-terms", "gnu-v21-later", "gnu-hope", "gnu-warranty"): "LGPL-2.1-or-later",
+    ("lgpl-terms", "gnu-v21-later"): "LGPL-2.1-or-later",
+    ("gnu-program", "lgpl3-grant", "gnu-hope", "gnu-warranty"): "LGPL-3.0-or-later",
+    ("lgpl3-grant",): "LGPL-3.0-or-later",
+    ("spdx", "id-lgpl21-later"): "LGPL-2.1-or-later",
+    ("spdx", "id-lgpl3-later"): "LGPL-3.0-or-later",
+    ("gnu-program", "agpl3-grant", "gnu-hope", "gnu-warranty"): "AGPL-3.0-or-later",
+    ("agpl3-grant",): "AGPL-3.0-or-later",
+    ("spdx", "id-agpl3-later"): "AGPL-3.0-or-later",
+    ("mpl-terms", "mpl-copy"): "MPL-2.0",
+    ("spdx", "id-mpl"): "MPL-2.0",
+    ("unlicense-domain", "unlicense-free"): "Unlicense",
+    ("spdx", "id-unlicense"): "Unlicense",
     ("cc-by-nc-ref",): "CC-BY-NC-4.0",
     ("cc-by-sa-ref",): "CC-BY-SA-4.0",
     ("cc-by-ref",): "CC-BY-4.0",
 }
 # end of fixed values
 
-# Texts without any of these hold no known sentence.
-MARKS = r"(?i)licen[sc]e|warrant|permission|redistribut"
-assert all(re.search(MARKS, sentence) for sentence in SENTENCES)
+# Texts without any of these hold no known licence; names after an SPDX mark count only beside it.
+MARKS = r"(?i)licen[sc]e|warrant|permission|redistribut|free software|mozilla|public domain"
 
-SENTENCE_END = r"[.!?:;]+[ \t\r\n]+|\n[ \t\r]*\n"
+SENTENCE_END = r"[.!?:;]+[ \t\r\n]+|\n[ \t\r]*(?:#+|//+|/?\*+/?|--+|%+)?[ \t\r]*\n"
 RULE = "|".join(
     rf"\.{{0,{GAP}}}".join(f"<{x}>" for x in rule) for rule in sorted(RULES, key=len, reverse=True)
 )

@@ -59,6 +59,102 @@ def test_longest_rule_first(spark):
     assert licences(spark, [text])[0] == (["apache-head", "apache-use"], ["Apache-2.0"])
 
 
+GNU = """This {what} is free software{sign} you can redistribute it and/or modify
+it under the terms of the GNU {name}
+{terms}
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details.
+"""
+OLD = "as published by\nthe Free Software Foundation; either version {}\nof the License, or (at your option) any later version."
+NEW = "as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+LESSER, AFFERO, GENERAL = "Lesser General Public License", "Affero General Public License", "General Public License"
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+NOTICES = {
+    "MIT": MIT.split("Some code.\n\n")[1],
+    "ISC": """Copyright (c) 2020, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+""",
+    "Apache-2.0": """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "BSD-2-Clause": BSD.format(""),
+    "BSD-3-Clause": BSD.format("""
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""),
+    "GPL-3.0-or-later": GNU.format(what="program", sign=":", name=GENERAL, terms=NEW),
+    "LGPL-3.0-or-later": GNU.format(what="program", sign=":", name=LESSER, terms=NEW),
+    "AGPL-3.0-or-later": GNU.format(what="program", sign=":", name=AFFERO, terms=NEW),
+    "GPL-2.0-or-later": GNU.format(what="program", sign=";", name=GENERAL, terms=OLD.format("2")),
+    "LGPL-2.1-or-later": GNU.format(what="library", sign=";", name=LESSER, terms=OLD.format("2.1")),
+    "GPL-2.0-only": GNU.format(
+        what="program", sign=";", name=GENERAL, terms="version 2 as published by\nthe Free Software Foundation."
+    ),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+""",
+}
+
+
+@pytest.mark.parametrize("leader", ["", "#", "//", " *", "--"])
+def test_standard_notices(spark, leader):
+    """Each in its standard form, plain and as a comment; and as an SPDX line."""
+    wrap = lambda text: "\n".join(f"{leader} {x}".rstrip() if leader else x for x in text.splitlines())
+    before, after = ("/*\n", "\n */\nint x;") if leader == " *" else ("", "\ncode()\n")
+    texts = [before + wrap(x) + after for x in NOTICES.values()]
+    texts += [before + wrap(f"SPDX-License-Identifier: {x}") + after for x in NOTICES]
+    got = licences(spark, texts)
+    assert [x[1] for x in got] == [[x] for x in NOTICES] * 2
+    if not leader:  # nothing of the tables is out of reach
+        seen = {x for ids, _ in got for x in ids}
+        single = {"mit-ref", "apache-ref", "gpl3-ref", "cc-by-nc-ref", "cc-by-ref", "cc-by-sa-ref", "id-gpl3"}
+        assert set(L.SENTENCES.values()) == seen | single
+
+
 def test_canonical_urls(spark):
     same = ["http://www.Host.org/a/", "https://m.host.org:443/a.html#x", "host.org/a?utm_source=f&ref=y", " https://host.org/a "]
     other = ["https://host.org/A", "https://host.org/a?page=2&ref=x", "https://host.org", None]
