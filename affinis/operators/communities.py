@@ -2,24 +2,41 @@
 
 The sequential rule is: take the candidates by size, keep one if none of its members is taken.
 Here a round keeps, at once, every candidate that is the best remaining one for all of its
-members, and drops every candidate that shares a member with those. A round compares vectors
-panel by panel and emits one row per vector, so a dense group never becomes a list of pairs.
-A vector without a remaining candidate in reach, or with a kept one, is not compared again.
+members, and drops every candidate that shares a member with those.
+
+Vectors are compared once. Who is near whom is stored as bits: a row per vector and block of others that
+holds one of its partners, so a dense group costs a bit for each pair and never becomes a list. A round is two
+passes over the bits of the candidates that are left: ranks go to the members, and the best rank of each
+member comes back. Between the passes a block of members is one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinis.functions import constants as C
 from affinis.functions.vectors import as_array, l2_normalise, norm
 from affinis.operators import similarity as sim
+from affinis.operators.grouped import Rows, compare_in_groups
 from affinis.operators.ordered import ordered_parts, row_numbers
-from affinis.session import materialise, materialise_counted
+from affinis.session import materialise, materialise_counted, scratch_path
+
+
+BLOCK = 2048  # vectors in a block of bits
+NONE = np.iinfo(np.int64).max
+_NEAR = T.StructType(
+    [T.StructField("num", T.LongType()), T.StructField("block", T.LongType())]
+    + [T.StructField("bits", T.BinaryType()), T.StructField("members", T.LongType())]
+)
 
 
 def candidates(
@@ -35,60 +52,143 @@ def candidates(
     )
 
 
+class NearBits:
+    """For each visitor the members of the block it is near to, as bits; none for a visitor near to nobody."""
+
+    def __init__(self, threshold: float, block: int):
+        self.threshold, self.block = threshold, block
+
+    def __call__(self, panel: Rows, group, visitors: Rows) -> Iterator[pa.RecordBatch]:
+        place = panel.ids - group * self.block
+        for rows in sim._tiles(len(visitors.ids), sim.TILE_COLS):
+            near = np.zeros((rows.stop - rows.start, self.block), bool)
+            near[:, place] = sim._scores(visitors.vectors[rows], panel.vectors, "dot", self.threshold) >= self.threshold
+            counts = near.sum(axis=1)
+            some = np.flatnonzero(counts)
+            if len(some):
+                bits = np.packbits(near[some], axis=1)
+                yield pa.record_batch(
+                    {
+                        "num": visitors.ids[rows][some],
+                        "block": np.full(len(some), group, np.int64),
+                        "bits": _blobs(bits),
+                        "members": counts[some].astype(np.int64),
+                    }
+                )
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Rows of equal length as a binary column."""
+    ends = pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1] * rows.itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _matrix(column: pa.Array, width: int, kind: str = "u1") -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind).reshape(len(column), width)
+
+
+def near_bits(numbered: DataFrame, rows: int, threshold: float, block: int = BLOCK, **placement) -> DataFrame:
+    """``(num, block, bits, members)`` from ``numbered(num, vec)``, numbered from 0 without gaps: which vectors of each
+    block are at least ``threshold`` similar to a vector."""
+    last = max(0, (rows - 1) // block)
+    members = numbered.select((F.col("num") / block).cast("long").alias("group"), F.col("num").alias("id"), "vec")
+    visitors = numbered.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("group"), F.col("num").alias("id"), "vec")
+    dim = sim.dimension(numbered)
+    sizes = members.groupBy("group").agg((F.count(F.lit(1)) * 8 * max(dim, 1)).alias("bytes")).withColumn("visitors", F.lit(rows))
+    return compare_in_groups(members, visitors, NearBits(threshold, block), _NEAR, dim, sizes, **placement)
+
+
+def _ranked_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """First pass: the best rank among the open candidates near each member, and whether a kept one is near."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        blocks = sim._column(batch, "block")
+        ranks, kept = sim._column(batch, "rank"), sim._column(batch, "kept")
+        bits = batch.column(batch.schema.get_field_index("bits"))
+        for number in np.unique(blocks):
+            rows = np.flatnonzero(blocks == number)
+            state = held.setdefault(int(number), np.full(block, NONE))
+            values = np.where(kept[rows], -1, ranks[rows])
+            for part in sim._tiles(len(rows), 256):
+                near = np.unpackbits(_matrix(bits.take(pa.array(rows[part])), block // 8), axis=1).astype(bool)
+                np.minimum(state, np.where(near, values[part][:, None], NONE).min(axis=0), out=state)
+    numbers = sorted(held)
+    yield pa.record_batch({"block": np.array(numbers, np.int64), "best": _blobs(np.array([held[x] for x in numbers], np.int64).reshape(-1, block))})
+
+
+def _least(frame: pd.DataFrame) -> pd.DataFrame:
+    best = np.frombuffer(frame["best"].iloc[0], np.int64)
+    for other in frame["best"].iloc[1:]:
+        best = np.minimum(best, np.frombuffer(other, np.int64))
+    return pd.DataFrame({"block": [frame["block"].iloc[0]], "best": [best.tobytes()]})
+
+
+def _best_of_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Second pass: the best rank that a member of each candidate has seen; -1 if a kept one has it."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        near = np.unpackbits(_matrix(batch.column(batch.schema.get_field_index("bits")), block // 8), axis=1).astype(bool)
+        best = _matrix(batch.column(batch.schema.get_field_index("best")), block, "<i8")
+        yield pa.record_batch({"rank": sim._column(batch, "rank"), "seen": np.where(near, best, NONE).min(axis=1)})
+
+
+def _written(state: DataFrame) -> tuple[DataFrame, int]:
+    """``(rank, kept)`` as a table, and how many candidates are open."""
+    spark, path, seen = state.sparkSession, scratch_path(state.sparkSession, "open"), Observation()
+    state.observe(seen, F.count_if(~F.col("kept")).alias("open")).write.parquet(path)
+    return spark.read.schema("rank long, kept boolean").parquet(path), seen.get["open"]
+
+
 def communities(
     vectors: DataFrame,
     threshold: float = C.COMMUNITY_THRESHOLD,
     min_size: int = C.COMMUNITY_MIN_SIZE,
+    block: int = BLOCK,
     **options,
 ) -> DataFrame:
-    """``(community_id, centre_id, size, channel_id)`` from ``vectors(id, vec)``.
+    """``(community_id, centre_id, size, channel_id)`` from ``vectors(id, vec)``, unique by id.
 
     Communities are numbered from 0 by falling size, then centre id. Rounds go on until no
-    candidate is left; each is three passes over what is left, and their number is bounded by the
-    longest chain of overlapping candidates of falling rank.
+    candidate is open; their number is bounded by the longest chain of overlapping candidates of falling
+    rank. ``panel_bytes`` and ``lane_rows`` place the comparison.
     """
-    pool, n_pool = materialise_counted(vectors.select("id", "vec"), "pool")
-    options.setdefault("dim", sim.dimension(pool))
-    sizes = candidates(pool, threshold, min_size, left_rows=n_pool, right_rows=n_pool, **options)
-    live, n_live = materialise_counted(
-        pool.join(sizes, F.col("id") == F.col("centre_id")).select(
-            "id", "vec", F.col("size").alias("weight"), F.col("id").alias("leader")
-        ),
-        "live",
-    )
-    found = None
-    while n_live:
-        centres = live.select("id", "vec")
-        # best live candidate of each vector; members of kept communities have none
-        best = sim.leaders(pool, live, threshold, left_rows=n_pool, right_rows=n_live, **options)
-        reached, n_reached = materialise_counted(
-            pool.join(best, "id").select("id", "vec", "weight", "leader"), "reached"
-        )
-        # every member prefers the candidate itself or a better one; it wins if none is better
-        rival = sim.leaders(
-            centres, reached, threshold, left_rows=n_live, right_rows=n_reached, **options
-        )
-        winners = materialise(rival.where("id = leader").select("leader"), "winners")
-        taken, n_taken = materialise_counted(reached.join(winners, "leader", "left_semi"), "taken")
-        members = taken.select(
-            F.col("leader").alias("centre_id"), F.col("weight").alias("size"),
-            F.col("id").alias("channel_id"),
-        )
-        found = members if found is None else found.unionByName(members)
-        # candidates that reach a taken member are out; the winners reach their own
-        touched = sim.threshold_counts(
-            centres, taken.select("id", "vec"), threshold, left_rows=n_live, right_rows=n_taken, **options
-        ).where("members > 0")
-        live, n_live = materialise_counted(live.join(touched, "id", "left_anti"), "live")
-        pool = reached.select("id", "vec", "leader").join(winners, "leader", "left_anti").select("id", "vec")
-        n_pool = n_reached - n_taken
-    if found is None:
-        empty = vectors.select(F.col("id").alias("channel_id")).limit(0)
-        zero = F.lit(0).cast("bigint")
-        return empty.select(
-            zero.alias("community_id"), zero.alias("centre_id"), zero.alias("size"), "channel_id"
-        )
-    return number(found)
+    placement = {k: v for k, v in options.items() if k in ("panel_bytes", "lane_rows")}
+    given = vectors.select("id", "vec").where("id IS NOT NULL AND vec IS NOT NULL")
+    numbered = row_numbers(ordered_parts(given, [], ["id"]), [], ["id"], "n").select((F.col("n") - 1).alias("num"), "id", "vec")
+    numbered, rows = materialise_counted(numbered, "numbered")
+    near = materialise(near_bits(numbered, rows, threshold, block, **placement), "near-bits")
+    sizes = near.groupBy("num").agg(F.sum("members").alias("size")).where(F.col("size") >= min_size)
+    ranked = sizes.join(numbered.select("num", "id"), "num").withColumn("_neg", -F.col("size"))
+    ranked = row_numbers(ordered_parts(ranked, [], ["_neg", "id"]), [], ["_neg", "id"], "rank").select("rank", "num", "id", "size")
+    ranked = materialise(ranked, "candidates")
+    bits = materialise(near.join(ranked.select("num", "rank"), "num").select("rank", "block", "bits"), "candidate-bits")
+
+    state, n_open = _written(ranked.select("rank", F.lit(False).alias("kept")))
+    while n_open:
+        left = bits.join(state, "rank")
+        best = left.mapInArrow(lambda x: _ranked_members(x, block), "block long, best binary")
+        best = best.groupBy("block").applyInPandas(_least, "block long, best binary")
+        asked = bits.join(state.where("NOT kept").select("rank"), "rank").join(best, "block")
+        seen = asked.mapInArrow(lambda x: _best_of_members(x, block), "rank long, seen long")
+        # a kept candidate stays; an open one is kept if its members have seen none before it, and goes if one is taken
+        after = seen.groupBy("rank").agg(F.min("seen").alias("seen")).where("seen >= 0")
+        after = after.select("rank", (F.col("seen") == F.col("rank")).alias("kept"))
+        state, n_open = _written(after.unionByName(state.where("kept")))
+    schema = "rank long, num long"
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, place = np.nonzero(np.unpackbits(_matrix(batch.column(batch.schema.get_field_index("bits")), block // 8), axis=1))
+                yield pa.record_batch(
+                    {"rank": sim._column(batch, "rank")[row], "num": sim._column(batch, "block")[row] * block + place}
+                )
+
+    members = bits.join(state.where("kept").select("rank"), "rank").mapInArrow(members_of, schema)
+    members = members.join(numbered.select("num", F.col("id").alias("channel_id")), "num")
+    centres = ranked.select("rank", F.col("id").alias("centre_id"), "size")
+    return number(materialise(members.join(centres, "rank").select("centre_id", "size", "channel_id"), "members"))
 
 
 def number(members: DataFrame) -> DataFrame:

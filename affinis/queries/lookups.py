@@ -176,21 +176,63 @@ def lookup_remembered(spark, sf):
     neighbours = materialise(search.neighbour_table(vectors), "neighbours")
     even = F.col("request_id") % 2 == 0
     again = requests.where(even).withColumn("request_id", F.col("request_id") + 10_000_000)
-    path = scratch_path(spark, "arrivals")
+    path, out = scratch_path(spark, "arrivals"), scratch_path(spark, "answers")
+    memo_path, state = scratch_path(spark, "memo"), scratch_path(spark, "memo-state")
     for arrival in (requests.where(even), requests.where(~even).unionByName(again)):
-        arrival.coalesce(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = scratch_path(spark, "answers")
-    sl.remember_stream(
-        source, scratch_path(spark, "memo"), out, scratch_path(spark, "memo-state"),
-        lambda batch, memo: search.lookup(
-            materialise(batch, "batch"), meta, neighbours, vectors, pages, memo,
-            header_class=CLASS, message_class=CLASS,
-        ),
-    ).awaitTermination()
+        arrival.write.mode("append").parquet(path)
+        source = spark.readStream.schema(requests.schema).parquet(path)
+        sl.remember_stream(  # goes on where the run of the arrival before has ended
+            source, memo_path, out, state,
+            lambda batch, memo: search.lookup(
+                materialise(batch, "batch"), meta, neighbours, vectors, pages, memo,
+                header_class=CLASS, message_class=CLASS,
+            ),
+            compact_every=1,
+        ).awaitTermination()
     return _shown(spark.read.parquet(out))
 
 
+_WAIT, _LAGS = 60, (0, 5, 59, 60, 61, 90, None)  # minutes
+
+
+def _lag(of):
+    cases = " ".join(f"WHEN {i} THEN {'NULL' if x is None else x}" for i, x in enumerate(_LAGS))
+    return f"CASE {of} % {len(_LAGS)} {cases} END"
+
+
+@query(
+    "await_pages",
+    f"""SELECT page_id AS request_id, 'page_' || page_id AS handle,
+               CASE WHEN lag <= {_WAIT} THEN 'page' ELSE 'expired' END AS outcome,
+               CASE WHEN lag <= {_WAIT} THEN len(html) END AS size
+        FROM (SELECT page_id, html, {_lag('page_id')} AS lag FROM pages)""",
+)
+def await_pages(spark, sf):
+    """Requests whose page lands at once, later, too late or never: a join of two streams in five arrivals."""
+    pages = I.table(spark, sf, "pages").select("page_id", "html", F.expr(_lag("page_id")).alias("lag"))
+    minute = F.col("page_id") % 600
+    at = lambda minutes: F.timestamp_seconds(1_700_000_000 + 60 * minutes)
+    handle = F.concat(F.lit("page_"), "page_id")
+    requests = pages.select(F.col("page_id").alias("request_id"), F.concat(F.lit("@"), handle).alias("text"), at(minute).alias("asked_at"))
+    landed = pages.where("lag IS NOT NULL").select(handle.alias("handle"), "html", at(minute + F.col("lag")).alias("landed_at"))
+    # a row at the end of each stream moves the watermarks past all the others
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("request_id"), F.lit("@the_end").alias("text"), at(F.lit(9_999)).alias("asked_at"))
+    end_page = spark.range(1).select(F.lit("at_the_end").alias("handle"), F.lit("").alias("html"), at(F.lit(9_999)).alias("landed_at"))
+    sources = []
+    for rows, last, time, name in ((requests, end, "asked_at", "asked"), (landed, end_page, "landed_at", "landed")):
+        path = scratch_path(spark, name)
+        for part in range(4):  # four hours of minutes each, in the order of time
+            lo, hi = (at(F.lit(200 * part + x)) for x in (0, 200))
+            rows.where((F.col(time) >= lo) & (F.col(time) < hi)).repartition(4).write.mode("append").parquet(path)
+        last.write.mode("append").parquet(path)
+        sources.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path))
+    out = scratch_path(spark, "awaited")
+    waiting = sl.await_pages(*sources, wait=f"{_WAIT} minutes", late="20 hours")
+    sl.run_to_table(waiting, out, scratch_path(spark, "awaited-state")).awaitTermination()
+    rows = spark.read.parquet(out).where("request_id >= 0")
+    return rows.select("request_id", "handle", "outcome", F.length("html").cast("long").alias("size"))
+
+
 @query(
     "random_channels",
     f"SELECT channel_id, link, title FROM ({I.CHANNELS_SQL}) ORDER BY md5('0-' || channel_id), channel_id LIMIT {C.RESULTS}",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from affinis.functions import constants as C
 from affinis.functions import handles as hd
 from affinis.functions import text as tx
+from affinis.operators import sentences as sn
 from affinis.operators import tokens as tk
 from affinis.queries import inputs as I
 from affinis.queries import sql as Q
@@ -54,6 +55,50 @@ def split_sentences(spark, sf):
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
+_WORD_SCORES = rf"""
+  WITH bare AS (
+    SELECT trim(t, {Q.lit(sn.WRAPPING)}) AS b FROM (SELECT unnest({Q.words("lower(coalesce(text, ''))")}) AS t FROM documents)),
+  cut AS (SELECT suffix(b, '.') AND NOT suffix(b, '..') AS stop, CASE WHEN stop THEN b[:len(b) - 1] ELSE b END AS word FROM bare),
+  counts AS (
+    SELECT word, count(*) FILTER (stop) AS stops, count(*) AS total FROM cut
+    WHERE regexp_matches(word, '^\p{{L}}[\p{{L}}.-]*$') GROUP BY word),
+  every AS (SELECT sum(stops) / sum(total) AS p FROM counts),
+  measured AS (
+    SELECT word, stops, total, total - stops AS rest, len(word) - len(replace(word, '.', '')) AS inner_stops,
+           CAST(greatest(len(replace(word, '.', '')), 1) AS DOUBLE) AS size, p FROM counts, every WHERE stops > 0),
+  scored AS (
+    SELECT word, stops, total, CASE WHEN p < 1 THEN -2 * ((stops * ln(p) + rest * ln(1 - p))
+             - (stops * ln({sn.NEARLY_ALWAYS}) + rest * ln(1 - {sn.NEARLY_ALWAYS}))) ELSE 0 END
+             * exp(-size) * (inner_stops + 1) * pow(size, -rest) AS score FROM measured)"""
+
+
+@query("word_stop_scores", f"{_WORD_SCORES} SELECT word, stops, total, {I.r6('score')} AS score FROM scored")
+def word_stop_scores(spark, sf):
+    """How far each word that stands before a stop is an abbreviation."""
+    scored = sn.scored_words(sn.word_statistics(I.documents(spark, sf)))
+    return scored.select("word", "stops", "total", I.round6(F.col("score")).alias("score"))
+
+
+@query(
+    "learned_sentences",
+    rf"""{_WORD_SCORES},
+  known AS (SELECT word FROM scored WHERE score >= {sn.LEAST_SCORE} AND stops >= {sn.LEAST_STOPS} ORDER BY score DESC, word LIMIT {sn.MOST}),
+  pieces AS (
+    SELECT doc_id, pos, sentence, suffix(sentence, '.') AND coalesce(k.word IS NOT NULL, false) AS short
+    FROM ({_SENTENCES}) LEFT JOIN known k
+      ON k.word = regexp_extract(lower(sentence), '(?:^|[^\p{{L}}\p{{N}}.-])(\p{{L}}[\p{{L}}.-]*)\.$', 1)),
+  starts AS (SELECT *, CASE WHEN lag(short, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS first FROM pieces),
+  numbered AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n FROM starts)
+  SELECT doc_id, CAST(n AS BIGINT) AS pos, string_agg(sentence, ' ' ORDER BY numbered.pos) AS sentence FROM numbered GROUP BY doc_id, n""",
+)
+def learned_sentences(spark, sf):
+    """Sentences that do not end behind the abbreviations of the corpus."""
+    docs = I.documents(spark, sf).select("doc_id", "text")
+    split = tx.computed(docs, "sentences", sn.split_sentences(F.col("text"), sn.abbreviations(docs)))
+    rows = split.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+
+
 @query("clean_text", f"SELECT doc_id, {Q.clean_text(_LINKED)} AS clean FROM documents")
 def clean_text(spark, sf):
     return I.documents(spark, sf).select("doc_id", tx.clean_text(linked_text()).alias("clean"))

@@ -41,6 +41,29 @@ def test_equal_to_the_sequential_rule(spark, seed, options):
     assert got == want and len(want) > 2
 
 
+@pytest.mark.parametrize("block,options", [(8, {}), (32, {"panel_bytes": 200, "lane_rows": 7})])
+def test_blocks_of_bits(spark, block, options):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(150, 3))
+    m[:50] = m[0] + rng.normal(scale=0.02, size=(50, 3))
+    got = {}
+    ids = np.arange(150) * 7 - 300  # ids are no numbers of rows
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, m)] + [(None, [1.0] * 3), (5000, None)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(5)
+    for r in cm.communities(df, 0.9, 5, block, **options).collect():
+        got.setdefault((r.community_id, r.centre_id, r.size), set()).add(r.channel_id)
+    found = greedy(m, 0.9, 5)
+    assert got == {(n, ids[c], len(x)): set(ids[sorted(x)].tolist()) for n, (c, x) in enumerate(found)} and len(found) > 2
+
+
+def test_vectors_are_compared_once(spark, monkeypatch):
+    calls = []
+    plain = cm.compare_in_groups
+    monkeypatch.setattr(cm, "compare_in_groups", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    rng = np.random.default_rng(7)
+    assert cm.communities(frame(spark, rng.normal(size=(120, 3))), 0.9, 4).count() and calls == [1]
+
+
 def test_nothing_found(spark):
     out = cm.communities(frame(spark, np.eye(5)), 0.9, 2)
     assert out.count() == 0 and out.columns == ["community_id", "centre_id", "size", "channel_id"]
