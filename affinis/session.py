@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what a Python worker is handed at a time, however long the texts are
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 _SHIPPED: set[str] = set()
 
