@@ -6,6 +6,7 @@ letters nor digits; tokens without such characters are no words. Null texts coun
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
 def sliced(
     batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of text, or of one longer text."""
+    """The same rows in batches of at most ``limit`` bytes of text, or of one longer text. A worker that has read
+    all of them gives free memory back, as it lives on for tasks of other operators."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,6 +48,15 @@ def sliced(
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def word_of(token: str) -> str:
