@@ -21,9 +21,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from affinis.operators.ordered import ordered_parts, previous_value
+from affinis.session import materialise
 
 # fixed values: fields that a 304 response may update, and URL parameters that only track
 UPDATABLE = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
@@ -75,6 +76,29 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
+def with_latest_response(captures: DataFrame) -> DataFrame:
+    """``captures`` with ``stored``: the latest earlier full response of the same canonical URL.
+
+    Rows are range-sorted by URL and date, so that a URL of any share lies in many partitions. A window finds the
+    response inside the partition; the last response of a URL in each partition is carried to the later ones, as
+    one row per partition and URL.
+    """
+    order = ["date", "full", "record_id"]  # at the same instant revisits come first
+    runs = captures.repartitionByRange("url_key", *order).withColumn("run", F.spark_partition_id())
+    runs = materialise(runs, "captures-in-order")
+    response = F.when(F.col("full"), F.struct("record_id", "fields", "carried"))
+    inside = W.partitionBy("run", "url_key").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    latest = runs.where("full").groupBy("run", "url_key").agg(
+        F.max_by(F.struct("record_id", "fields", "carried"), F.struct(*order)).alias("final")
+    )
+    # runs that have rows of the URL but no response only pass on what came before
+    present = runs.select("run", "url_key").distinct().join(latest, ["run", "url_key"], "left")
+    earlier = W.partitionBy("url_key").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    carried = present.select("run", "url_key", F.last("final", ignorenulls=True).over(earlier).alias("brought"))
+    found = runs.withColumn("near", F.last(response, ignorenulls=True).over(inside))
+    return found.join(carried, ["run", "url_key"], "left").withColumn("stored", F.coalesce("near", "brought")).drop("near", "brought", "run")
+
+
 def resolve(
     records: DataFrame,
     url: str = "url",
@@ -96,10 +120,8 @@ def resolve(
         headers(F.col(block)).alias("fields"),
         F.struct(F.lit(1).alias("_one"), *carry).alias("carried"),
     )
-    order = ["date", "full", "record_id"]  # at the same instant revisits come first
-    parts = ordered_parts(work, ["url_key"], order)
-    response = F.when(F.col("full"), F.struct("record_id", "fields", "carried"))
-    found = previous_value(parts, ["url_key"], order, response, "stored").where(~F.col("full"))
+    # written before it is sorted: bounds are drawn from a sample, which would read and hash every page once more
+    found = with_latest_response(materialise(work, "captures")).where(~F.col("full"))
     tag = lambda fields: F.regexp_replace(_field(fields, "etag"), "^W/", "")
     here, there = F.col("fields"), F.col("stored.fields")
     agrees = F.coalesce(tag(here) == tag(there), _field(here, "last-modified") == _field(there, "last-modified"))

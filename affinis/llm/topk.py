@@ -10,10 +10,10 @@ A task reports a histogram only from its top down to the bin where its own count
 asked for: the k-th value of all rows is no lower than that of some of them. In the same way the
 last pass keeps k rows per query and task, so copies of one vector never add up.
 
-Defined cases: rows with a null id, a null vector, or a null or non-finite component take no part;
+Defined cases: rows with a null id, a null or empty vector, or a null or non-finite component take no part;
 vectors meet only vectors of their length; candidates that have the query's id are its own rows; of
 several query rows with one id, the smallest vector asks; repeated candidate rows each count;
-queries with fewer than k candidates get all of them. Scores must fit into a long.
+queries with fewer than k candidates get all of them; components and scores that 64 bits may not hold raise.
 """
 
 from __future__ import annotations
@@ -33,12 +33,16 @@ BLOCK = 1024  # queries per block; a block of 1,000-wide vectors is 8 MB
 BINS = 2048
 CELLS = 1 << 20  # scores in memory at a time
 EXACT = 1 << 53  # integers that doubles hold
+LARGEST = 2.0**63
 
 Block = dict[int, tuple[np.ndarray, np.ndarray]]  # by vector length: ids, integer vectors
 
 
 def quantise(components: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * components.astype(np.float64)).astype(np.int64)
+    found = np.floor(scale * components.astype(np.float64))
+    if (np.abs(found) >= LARGEST).any():
+        raise ValueError("a component times the scale is beyond 64 bits")
+    return found.astype(np.int64)
 
 
 def _vectors(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -167,6 +171,8 @@ def _select(rows: DataFrame, scale: int, block: Block, longest: dict[int, float]
         exact[size] = bound[size] < EXACT
     spark = rows.sparkSession
     most = max(bound.values(), default=1)
+    if 2 * most + 1 >= LARGEST:
+        raise ValueError("scores can be beyond 64 bits")
     shift = max(0, (2 * most + 1).bit_length() - (BINS.bit_length() - 1))
     low = {size: np.full(len(ids), -most, np.int64) for size, (ids, _) in block.items()}
     need = {size: np.full(len(ids), k, np.int64) for size, (ids, _) in block.items()}

@@ -54,3 +54,10 @@ def test_few_and_none(spark):
     rows = [(0, [1.0]), (1, [2.0]), (2, [-1.0])]
     assert found(K.exact_topk(spark.createDataFrame(rows, schema), F.col("vec_id") % 10 == 0)) == by_force(rows, 10)
     assert K.exact_topk(spark.createDataFrame(rows[:1], schema), F.col("vec_id") % 10 == 0).count() == 0
+
+
+@pytest.mark.parametrize("large", [1e17, 1e12])
+def test_what_64_bits_do_not_hold_raises(spark, large):
+    df = spark.createDataFrame([(i, [large, 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        K.exact_topk(df, F.col("vec_id") % 10 == 0).collect()
