@@ -307,11 +307,12 @@ def _classes(df: DataFrame, text: str, key: str, n: int, threshold: float, recal
         .join(linked, "node", "left")
         .join(labels, "node", "left")
         .withColumn("class", F.coalesce("component", "node"))
+        .withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
     )
-    least = sets.groupBy("class").agg(F.min("rep").alias("class_id"))
-    return signs, sets.join(least, "class").select(
-        "set_a", "set_b", "rep", "class", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
+    sets = materialise(sets.select("set_a", "set_b", "rep", "class", "n_links"), "classes")
+    # written too: Spark splits a class of any size only where nothing is aggregated in the stage of the join
+    least = materialise(sets.groupBy("class").agg(F.min("rep").alias("class_id")), "least-ids")
+    return signs, sets.join(least, "class")
 
 
 def similarity_classes(
@@ -361,7 +362,7 @@ def one_per_class(
     Most rows are told by their id alone. Only for ids that come more than once are the sets formed again.
     """
     signs, sets = _classes(df, text, key, n, threshold, recall)
-    sets = materialise(sets.select("set_a", "set_b", "rep", "class", "class_id"), "classes")
+    sets = materialise(sets.select("set_a", "set_b", "rep", "class", "class_id"), "named-classes")
     row = signs.where("size > 0 AND id IS NOT NULL").select("id", "set_a", "set_b").join(sets, ["set_a", "set_b"])
     known = signs.where("id IS NOT NULL").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
     often = materialise(known.where("_rows > 1").select("_id"), "repeated-ids")
