@@ -29,7 +29,7 @@ from affinis.llm.batches import flat_array, making_room, sliced, texts_of
 
 MARK = "▁"
 CACHED_CHUNKS = 200_000
-PIECE_BYTES = 4 << 20  # text bytes per result batch
+PIECE_BYTES = 2 << 20  # text bytes per result batch
 
 
 class CharacterMap:

@@ -93,7 +93,7 @@ def word_sums(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = random_vectors()
         counts, sums = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS * WIDTH)
-        for batch in sliced(batches, text, 4 * SLICE):
+        for batch in sliced(batches, text, 2 * SLICE):
             offsets, words = word_codes(texts_of(batch, text))
             counts += np.bincount(words, minlength=BUCKETS)
             rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
