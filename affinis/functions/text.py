@@ -132,8 +132,11 @@ def is_recent(date: Column, column_type: str, cutoff: str = C.RECENT_AFTER) -> C
     """Strictly after the day ``cutoff``.
 
     For timestamps this is a plain lower bound on the column, which reaches the parquet scan.
-    Text dates compare by their first word; a blank date is not recent.
+    Text dates compare by their first word; a blank date is not recent. A text whose first word is later is
+    later itself, unless white space stands before it, and all of that is smaller than ``!`` or larger than any
+    digit. So plain bounds on the column, which reach the scan, leave out nothing.
     """
     if column_type == "string":
-        return F.try_element_at(words(date), F.lit(1)) > F.lit(cutoff)
+        later = F.try_element_at(words(date), F.lit(1)) > F.lit(cutoff)
+        return ((date > F.lit(cutoff)) | (date < F.lit("!"))) & later if cutoff[:1].isdigit() else later
     return date >= F.date_add(F.lit(cutoff).cast("date"), 1).cast(column_type)

@@ -88,26 +88,61 @@ def community_sample(spark, sf):
     return cm.community_sample(_members(spark, sf), I.channels(spark, sf), 1)
 
 
-@query("project_2d")
+def _squared(name: str, times: int) -> str:
+    """CTEs that square a symmetric matrix ``{name}0 (i, j, v)`` again and again, scaled by its trace: what is left in
+    ``{name}`` is the product of its main axis with itself."""
+    steps = [
+        f"""{name}{n + 1} AS MATERIALIZED (
+    SELECT i, j, v / sum(CASE WHEN i = j THEN v ELSE 0 END) OVER () AS v FROM (
+      SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}{n} a JOIN {name}{n} b ON a.j = b.i GROUP BY a.i, b.j))"""
+        for n in range(times)
+    ]
+    # the column of the largest diagonal entry, at unit length, its largest loading positive
+    axis = f"""{name} AS MATERIALIZED (
+    SELECT i, v / sqrt(sum(v * v) OVER ()) * sign(arg_max(v, abs(v)) OVER ()) AS v FROM {name}{times}
+    WHERE j = (SELECT arg_max(i, v) FROM {name}{times} WHERE i = j))"""
+    return ",\n  ".join([*steps, axis])
+
+
+_SQUARINGS = 18  # axes whose variances differ by a thousandth of a percent are told apart
+_POSITIONS = f"""
+  WITH lengths AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+  unit AS MATERIALIZED (SELECT vec_id, generate_subscripts(e, 1) AS i, CASE WHEN n = 0 THEN 0 ELSE unnest(e) / n END AS v FROM lengths),
+  means AS (SELECT i, avg(v) AS m FROM unit GROUP BY i),
+  centred AS MATERIALIZED (SELECT vec_id, unit.i, v - m AS v FROM unit JOIN means ON means.i = unit.i),
+  x0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+  {_squared("x", _SQUARINGS)},
+  part AS (SELECT sum(a.v * x0.v * b.v) AS variance FROM x a JOIN x0 ON x0.i = a.i JOIN x b ON b.i = x0.j),
+  y0 AS MATERIALIZED (
+    SELECT x0.i, x0.j, x0.v - variance * a.v * b.v AS v FROM x0 JOIN x a ON a.i = x0.i JOIN x b ON b.i = x0.j, part),
+  {_squared("y", _SQUARINGS)},
+  positions AS (
+    SELECT vec_id AS channel_id, sum(u.v * x.v) AS pos_x, sum(u.v * y.v) AS pos_y
+    FROM unit u JOIN x ON x.i = u.i JOIN y ON y.i = u.i GROUP BY vec_id)"""
+
+
+@query("project_2d", f"{_POSITIONS} SELECT channel_id, {I.r6('pos_x')} AS pos_x, {I.r6('pos_y')} AS pos_y FROM positions")
 def project_2d(spark, sf):
-    """Main axes are not found by SQL; tests compare them with a decomposition."""
-    return cm.project_2d(I.id_vectors(spark, sf))
+    """Positions on the two main axes, which the SQL finds by squaring the covariances."""
+    rows = cm.project_2d(I.id_vectors(spark, sf))
+    return rows.select("channel_id", *(I.round6(F.col(x)).alias(x) for x in ("pos_x", "pos_y")))
 
 
 @query(
     "community_export",
-    f"SELECT channel_id, label_name AS labels, true AS placed FROM ({_labels_sql(0)})",
+    f"""{_POSITIONS}
+  SELECT channel_id, label_name AS labels, round(pos_x, 3) AS pos_x, round(pos_y, 3) AS pos_y
+  FROM ({_labels_sql(0)}) l JOIN positions USING (channel_id)""",
 )
 def community_export(spark, sf):
-    """The rows of the export file read back. Places are checked to be there; where exactly is a matter of
-    two main axes, which SQL cannot find."""
+    """The rows of the export file read back."""
     path = scratch_path(I.configure(spark), "community-export")
     labelled = cm.labels(I.vectors(spark, sf), _members(spark, sf))
     cm.write_export(cm.export_rows(labelled, cm.project_2d(I.id_vectors(spark, sf))), path)
     schema = "channel_id bigint, labels string, pos_x float, pos_y float"
     rows = spark.read.schema(schema).option("header", True).csv(path)
-    placed = F.coalesce(F.abs("pos_x") + F.abs("pos_y") < 3, F.lit(False))  # unit vectors
-    return rows.select("channel_id", "labels", placed.alias("placed"))
+    return rows.select("channel_id", "labels", *(F.round(F.col(x).cast("double"), 3).alias(x) for x in ("pos_x", "pos_y")))
 
 
 @query(

@@ -17,17 +17,20 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from affinis.queries import all_queries  # noqa: E402
-from affinis.session import configure  # noqa: E402
+from affinis.session import clean_up, configure  # noqa: E402
 
 HEADLINE = [
     "similar_channels",
     "topk_neighbours",
     "topk_neighbours_grid",
+    "topk_neighbours_pivots",
     "similarity_threshold_join",
+    "similarity_threshold_join_approx",
     "build_channel_embeddings",
     "search_by_description",
     "lookup_by_handle",
     "clean_messages",
+    "learned_sentences",
     "hashed_vectors",
     "tfidf_vectors",
     "tfidf_similar_docs",
@@ -63,6 +66,7 @@ def main() -> None:
             start = time.perf_counter()
             named[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+    clean_up(spark)
     spark.stop()
     print(
         json.dumps(

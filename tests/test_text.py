@@ -153,3 +153,16 @@ def test_computed_column_is_evaluated_once(spark):
     out = tx.computed(df, "n", F.length(F.regexp_replace("x", "1", "ab"))).where("n > 0")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_text_dates_reach_the_scan(spark, tmp_path):
+    dates = ["2024-01-14 10:00:00+00:00", "2024-01-15", "2024-01-15 00:00:01", "2024-01-16 x", " 2024-01-16", "\t2024-01-17 1", "", " "]
+    dates += ["\u00a02024-02-01", "\u30002023-02-01", "\x1c2024-03-01 5", "9", None, "\x852024-05-01"]
+    df = spark.createDataFrame([(x,) for x in dates], "date string")
+    df.coalesce(1).write.parquet(str(tmp_path / "dates"))
+    read = spark.read.parquet(str(tmp_path / "dates"))
+    kept = read.where(tx.is_recent(F.col("date"), "string", "2024-01-15"))
+    plain = read.where(F.try_element_at(tx.words(F.col("date")), F.lit(1)) > "2024-01-15")
+    assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in plain.collect()) and kept.count() >= 5
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Or(GreaterThan(date,2024-01-15),LessThan(date,!))" in plan
