@@ -204,7 +204,7 @@ def _lag(of):
     "await_pages",
     f"""SELECT page_id AS request_id, 'page_' || page_id AS handle,
                CASE WHEN lag <= {_WAIT} THEN 'page' ELSE 'expired' END AS outcome,
-               CASE WHEN lag <= {_WAIT} THEN len(html) END AS size
+               CASE WHEN lag <= {_WAIT} THEN len(html) ELSE 0 END AS size
         FROM (SELECT page_id, html, {_lag('page_id')} AS lag FROM pages)""",
 )
 def await_pages(spark, sf):
@@ -230,7 +230,7 @@ def await_pages(spark, sf):
     waiting = sl.await_pages(*sources, wait=f"{_WAIT} minutes", late="20 hours")
     sl.run_to_table(waiting, out, scratch_path(spark, "awaited-state")).awaitTermination()
     rows = spark.read.parquet(out).where("request_id >= 0")
-    return rows.select("request_id", "handle", "outcome", F.length("html").cast("long").alias("size"))
+    return rows.select("request_id", "handle", "outcome", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("size"))
 
 
 @query(

@@ -132,7 +132,7 @@ def project_2d(spark, sf):
 @query(
     "community_export",
     f"""{_POSITIONS}
-  SELECT channel_id, label_name AS labels, round(pos_x, 3) AS pos_x, round(pos_y, 3) AS pos_y
+  SELECT channel_id, label_name AS labels, round(pos_x, 3) + 0.0::DOUBLE AS pos_x, round(pos_y, 3) + 0.0::DOUBLE AS pos_y
   FROM ({_labels_sql(0)}) l JOIN positions USING (channel_id)""",
 )
 def community_export(spark, sf):
@@ -142,7 +142,7 @@ def community_export(spark, sf):
     cm.write_export(cm.export_rows(labelled, cm.project_2d(I.id_vectors(spark, sf))), path)
     schema = "channel_id bigint, labels string, pos_x float, pos_y float"
     rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.select("channel_id", "labels", *(F.round(F.col(x).cast("double"), 3).alias(x) for x in ("pos_x", "pos_y")))
+    return rows.select("channel_id", "labels", *((F.round(F.col(x).cast("double"), 3) + F.lit(0.0)).alias(x) for x in ("pos_x", "pos_y")))
 
 
 @query(
