@@ -82,7 +82,7 @@ def test_escapes_can_be_read_back(spark):
     whole = "".join(r["segment"] for r in rows)
     assert C.read_segments(whole) == [(a or "", b or "") for a, b in texts]
     for row, (role, text) in zip(rows, texts, strict=True):
-        inner = row["segment"][len(C.OPEN + C.ROLE) : -len(C.CLOSE)].replace(C.TEXT, "", 1)
+        inner = row["segment"][len(C.OPEN + C.ROLE) : -len(C.CLOSE)].replace(C.TEXT, "\0", 1)  # role and text apart
         assert not any(c in inner for c in C.CONTROL)
         assert C.unescaped(row["segment"][row["loss_start"] : row["loss_end"]]) == ((text or "") if role == "user" else "")
 
