@@ -1,14 +1,15 @@
 """Exact vector similarity: top-k search, threshold join, threshold counts.
 
-A table of vectors is compared with another one panel by panel. A task holds one panel of the
-left side (bounded in bytes) and streams right-hand rows past it in Arrow batches, so a pair
+A table of vectors is compared with another one panel by panel. A task holds one shelf of panels of the
+left side (both bounded in bytes) and streams right-hand rows past them in Arrow batches, so a pair
 of vectors exists only as one number in a small numpy tile. Three placements of one kernel:
 
 * broadcast_right: the right side is small (checked); left rows stay where they are and come out
   complete, so nothing is shuffled;
 * broadcast_left: the left side is small (checked); the right side stays where it is and partial
   results are merged;
-* grid: left panels x right lanes, both sides replicated along the other axis, one cell per task.
+* grid: left shelves x right lanes, both sides replicated along the other axis, one cell per task. A
+  right-hand row is sent once a shelf, however small the panels are.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 PANEL_BYTES = 64 << 20
+SHELF_BYTES = 64 << 20  # of the panels that a task of the grid holds together, at least one
 TILE_ROWS = 2048
 TILE_COLS = 512
 DIGITS = 9  # scores equal to this many digits rank by id; thresholds and results use the raw score
@@ -228,25 +230,34 @@ class TopK:
         return ()
 
     def _merge(self, rows: slice, s: np.ndarray, right_ids: np.ndarray) -> None:
-        keys = np.round(s, DIGITS)
-        last = self.keys[rows, -1][:, None]
-        better = (keys > last) | ((keys == last) & (right_ids[None, :] < self.found[rows, -1][:, None]))
-        hit_row, hit_col = np.nonzero(better & (s > -np.inf))
+        self.merge(np.arange(rows.start, rows.stop), s, right_ids)
+
+    def merge(self, rows: np.ndarray, s: np.ndarray, right_ids: np.ndarray, allowed: Callable | None = None) -> None:
+        """Scores ``s`` of left ``rows`` and right rows; ``allowed(r, c)`` marks pairs, by place in ``s``, that count.
+        Only scores that may be among the best are rounded."""
+        last = self.keys[rows, -1]
+        hit_row, hit_col = np.nonzero((s >= (last - 10.0**-DIGITS)[:, None]) & (s > -np.inf))
+        scores = s[hit_row, hit_col]
+        keys = np.round(scores, DIGITS)
+        level, found = last[hit_row], self.found[rows, -1][hit_row]
+        better = (keys > level) | ((keys == level) & (right_ids[hit_col] < found))
+        hit_row, hit_col, scores, keys = (x[better] for x in (hit_row, hit_col, scores, keys))
+        if allowed is not None:
+            kept = allowed(hit_row, hit_col)
+            hit_row, hit_col, scores, keys = (x[kept] for x in (hit_row, hit_col, scores, keys))
         if not len(hit_row):
             return
         touched = np.unique(hit_row)
         k = self.k
         row = np.concatenate([np.repeat(touched, k), hit_row])
+        at = rows[touched]
         key, score, ids = (
-            np.concatenate([old[rows][touched].ravel(), new])
-            for old, new in (
-                (self.keys, keys[hit_row, hit_col]), (self.scores, s[hit_row, hit_col]), (self.found, right_ids[hit_col])
-            )
+            np.concatenate([old[at].ravel(), new])
+            for old, new in ((self.keys, keys), (self.scores, scores), (self.found, right_ids[hit_col]))
         )
         order = np.lexsort((ids, -key, row))
         start = np.searchsorted(row[order], touched)
         take = order[start[:, None] + np.arange(k)[None, :]]
-        at = rows.start + touched
         self.keys[at], self.scores[at], self.found[at] = key[take], score[take], ids[take]
 
     def finish(self):
@@ -361,35 +372,38 @@ def dimension(df: DataFrame) -> int:
 
 
 def _grid_task(batches, make, metric: str, dim: int):
-    """One cell after another: side 0 fills the panel, side 1 streams past it."""
-    cell, kernel, ids, panel, sparse = None, None, [], [], False
+    """One cell after another: side 0 fills the panels of the shelf, side 1 streams past them."""
+    cell, kernels, ids, panels, sparse = None, None, {}, {}, False
 
     def start():
-        left = _prepare(_joined(panel), metric) if panel else _no_rows(dim, sparse)
-        return make(np.concatenate(ids) if ids else np.empty(0, dtype=np.int64), left, metric)
+        if not panels:
+            return [make(np.empty(0, dtype=np.int64), _no_rows(dim, sparse), metric)]
+        return [make(np.concatenate(ids[x]), _prepare(_joined(panels.pop(x)), metric), metric) for x in sorted(panels)]
 
     for batch in batches:
-        cells, sides = _column(batch, "cell"), _column(batch, "side")
+        cells, sides, numbers = (_column(batch, x) for x in ("cell", "side", "panel"))
         sparse = "vec" not in batch.schema.names
-        change = np.nonzero((np.diff(cells) != 0) | (np.diff(sides) != 0))[0] + 1
+        change = np.nonzero((np.diff(cells) != 0) | (np.diff(sides) != 0) | (np.diff(numbers) != 0))[0] + 1
         for lo, hi in zip([0, *change], [*change, batch.num_rows]):
             if lo == hi:
                 continue
             piece = batch.slice(lo, hi - lo)
             if cells[lo] != cell:
-                if kernel is not None:
+                for kernel in kernels or ():
                     yield from kernel.finish()
-                cell, kernel, ids, panel = cells[lo], None, [], []
+                cell, kernels, ids, panels = cells[lo], None, {}, {}
             if sides[lo] == 0:
-                ids.append(_column(piece, "id"))
-                panel.append(_vectors(piece, dim))
+                ids.setdefault(numbers[lo], []).append(_column(piece, "id"))
+                panels.setdefault(numbers[lo], []).append(_vectors(piece, dim))
                 continue
-            if kernel is None:
-                kernel = start()
+            if kernels is None:
+                kernels = start()
             for part in _tiles(piece.num_rows, TILE_COLS):
                 rows = piece.slice(part.start, part.stop - part.start)
-                yield from kernel.feed(rows, _prepare(_vectors(rows, dim), metric))
-    if kernel is not None:
+                right = _prepare(_vectors(rows, dim), metric)
+                for kernel in kernels:
+                    yield from kernel.feed(rows, right)
+    for kernel in kernels or ():
         yield from kernel.finish()
 
 
@@ -446,29 +460,41 @@ def _compare(
         raise ValueError(f"unknown method {method!r}")
 
     panels = max(1, math.ceil(left_bytes / panel_bytes))
-    lanes = lanes or max(1, math.ceil(3 * spark.sparkContext.defaultParallelism / panels))
+    shelves, lanes = _shape(panels, panel_bytes, lanes, 3 * spark.sparkContext.defaultParallelism)
     bucket = F.xxhash64("id")
     nulls = [F.lit(None).cast("bigint").alias(c) for c in extra]
+    panel = F.pmod(bucket, F.lit(panels))
     side0 = left.select(
-        "id", *vec, *nulls, F.pmod(bucket, F.lit(panels)).alias("panel"),
+        "id", *vec, *nulls, panel.alias("panel"), F.pmod(panel, F.lit(shelves)).alias("shelf"),
         F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("side"),
     )
     side1 = right.select(
-        "id", *vec, *extra, F.explode(F.sequence(F.lit(0), F.lit(panels - 1))).alias("panel"),
+        "id", *vec, *extra, F.lit(0).cast("bigint").alias("panel"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shelves - 1).cast("bigint"))).alias("shelf"),
         F.pmod(bucket, F.lit(lanes)).alias("lane"), F.lit(1).alias("side"),
     )
-    cell = (F.col("panel") * F.lit(lanes) + F.col("lane")).cast("int").alias("cell")
-    columns = ["id", *vec, *extra, cell, "side"]
+    cell = (F.col("shelf") * F.lit(lanes) + F.col("lane")).cast("int").alias("cell")
+    columns = ["id", *vec, *extra, cell, "side", "panel"]
     cells = (
         side0.select(*columns)
         .unionByName(side1.select(*columns))
-        .repartitionById(panels * lanes, F.col("cell"))
-        .sortWithinPartitions("cell", "side")
+        .repartitionById(shelves * lanes, F.col("cell"))
+        .sortWithinPartitions("cell", "side", "panel")
     )
     task = partial(_grid_task, make=make, metric=metric, dim=dim)
     return cells.mapInArrow(task, schema), lanes > 1
 
 
+def _shape(panels: int, panel_bytes: int, lanes: int | None, tasks: int) -> tuple[int, int]:
+    """Shelves and lanes of the grid: shelves of at most ``SHELF_BYTES``, or a panel, and about ``tasks`` cells. The
+    copies of both sides are fewest where shelves and lanes are equally many."""
+    shelves = math.ceil(panels / max(1, SHELF_BYTES // panel_bytes))
+    if lanes is None:
+        shelves = max(shelves, min(panels, math.isqrt(tasks)))
+        lanes = max(1, math.ceil(tasks / shelves))
+    return shelves, lanes
+
+
 def _complete_task(batches, make, metric: str, dim: int, shared):
     """Each batch of left rows meets the whole right side and leaves with final results."""
     right_columns, right = shared.value

@@ -73,6 +73,32 @@ def test_threshold_operators_agree(spark, plan):
     assert best == want
 
 
+def test_grid_sends_a_row_once_a_shelf(spark, monkeypatch):
+    vectors = np.random.default_rng(3).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<double>")
+    for panels, lanes, want in ((401, None, 6), (5, 3, 1), (2000, None, 6)):
+        assert sim._shape(panels, 1 << 17, lanes, 36) == (want, lanes or 6)
+    assert sim._shape(30, 64 << 20, None, 36) == (30, 2)  # panels as large as a shelf
+    sent = spark.sparkContext.accumulator(0)
+    task = sim._grid_task
+
+    def counted(batches, **options):
+        def seen():
+            for batch in batches:
+                sent.add(batch.num_rows)
+                yield batch
+
+        yield from task(seen(), **options)
+
+    monkeypatch.setattr(sim, "_grid_task", counted)
+    found = sim.top_k(df, df, 4, exclude="self", method="grid", panel_bytes=1024)  # 57 panels
+    rows = sorted(tuple(r)[:3] for r in found.collect())
+    cells = 3 * spark.sparkContext.defaultParallelism
+    assert sent.value <= 900 * 3 * (cells**0.5 + 1)
+    monkeypatch.undo()
+    assert rows == sorted(tuple(r)[:3] for r in sim.top_k(df, df, 4, exclude="self").collect())
+
+
 def test_metrics_and_cutoff(spark):
     m = _vectors(30, seed=9)
     df = _frame(spark, m)
