@@ -5,6 +5,9 @@ largest angle between its pivot and a member. With the angle *d* between a query
 nearer to the query than ``max(d - largest, smallest - d)``, so a query visits only the groups
 that can hold a partner. Results are the same as those of ``similarity.top_k`` and ``threshold_join``.
 
+Groups lie on shelves of bounded bytes. A query is sent once to each shelf that holds a group it visits, marked with
+these groups, and only the best of a shelf or its pairs leave it.
+
 Pivots come from a bounded sample, each the farthest from those before it. Their number is bounded by bytes,
 as they and the angles of their groups are sent to every task; everything else is dealt by group.
 Zero vectors are a group of their own, at similarity 0 to everything.
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinis.operators import similarity as S
-from affinis.operators.grouped import HITS, LANE_ROWS, PAIRS, PANEL_BYTES, BestOf, PairsOf, best_by_query, compare_in_groups
+from affinis.operators.grouped import (
+    HITS, LANE_ROWS, PAIRS, PANEL_BYTES, BestOf, PairsOf, Rows, best_by_query, compare_in_groups, lane_of, tasks_of,
+)
 from affinis.session import materialise, materialise_counted
 
 PIVOT_BYTES = 16 << 20  # of all pivots
@@ -47,6 +52,39 @@ def _angles(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
 
 
+class _Marked:
+    """Visitors meet the members of the groups they are marked for; ``firsts`` are the first groups of the shelves."""
+
+    firsts: np.ndarray
+
+    def on(self, firsts: np.ndarray) -> _Marked:
+        self.firsts = firsts
+        return self
+
+    def meetings(self, panel: Rows, group, visitors: Rows, rows: slice) -> Iterator[tuple[np.ndarray, slice]]:
+        if "starts" not in panel.extra:  # members by group, once a panel
+            order = np.argsort(panel.extra["pivot"], kind="stable")
+            panel.ids, panel.vectors = panel.ids[order], panel.vectors[order]
+            found, starts = np.unique(panel.extra["pivot"][order], return_index=True)
+            panel.extra = {"groups": found - self.firsts[group], "starts": np.append(starts, len(order))}
+        marks = np.frombuffer(b"".join(visitors.extra["marks"][rows]), np.uint8).reshape(rows.stop - rows.start, -1)
+        marks = np.unpackbits(marks, axis=1).astype(bool)
+        starts = panel.extra["starts"]
+        for place, lo, hi in zip(panel.extra["groups"], starts, starts[1:]):
+            some = np.flatnonzero(marks[:, place])
+            if len(some):
+                for cols in S._tiles(hi - lo, S.TILE_ROWS):
+                    yield some, slice(lo + cols.start, lo + cols.stop)
+
+
+class _MarkedBest(_Marked, BestOf):
+    pass
+
+
+class _MarkedPairs(_Marked, PairsOf):
+    pass
+
+
 class PivotIndex:
     """A corpus ``(id, vec)``, unique by id, grouped by nearest pivot. Rows with a null id or vector take no part;
     vectors of different lengths and null or non-finite entries raise. ``compared`` counts the pairs that
@@ -108,15 +146,27 @@ class PivotIndex:
         self.sizes, self.low, self.high = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         for r in found.collect():
             self.sizes[r["group"]], self.low[r["group"]], self.high[r["group"]] = r["n"], r["low"], r["high"]
+        # groups one after another fill a shelf; one beyond its bytes has a shelf of its own, cut into panels
+        held, tasks = self.sizes * 8 * max(self.dim, 1), tasks_of(self.session)
+        most, firsts, full = min(self.panel_bytes, -(-int(held.sum()) // math.isqrt(tasks))), [0], 0
+        for g, n in enumerate(held):
+            if full and full + n > most:
+                firsts.append(g)
+                full = 0
+            full += int(n)
+        self.firsts = np.array(firsts)
+        self.shelf_bytes = np.add.reduceat(held, self.firsts)
 
     def _visits(self, queries: DataFrame, choose) -> tuple[DataFrame, DataFrame]:
-        """The groups that ``choose(angles, best, batch)`` marks, as ``(group, id, vec, bound)``, and their sizes.
+        """The shelves of the groups that ``choose(angles, best, batch)`` marks, as ``(group, id, vec, bound, pivot, marks)``, and
+        their sizes.
 
         ``best`` is the highest similarity a member of each group can have. Visits are counted before
         vectors are copied, so that lanes are known.
         """
         shared = self.session.sparkContext.broadcast((self.pivots, self.sizes, self.low, self.high))
-        dim = self.dim
+        dim, firsts = self.dim, self.firsts
+        counts = np.diff(np.append(firsts, len(self.sizes)))
 
         def marks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             pivots, sizes, low, high = shared.value
@@ -129,37 +179,54 @@ class PivotIndex:
             return given, choose(angles, best, batch) & (sizes > 0)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value[1]), np.int64)
+            total, sent = np.zeros(len(shared.value[1]), np.int64), np.zeros(len(firsts), np.int64)
             for batch in batches:
-                total += marks(batch)[1].sum(axis=0)
-            at = np.flatnonzero(total)
-            yield pa.record_batch({"group": at.astype(np.int64), "visitors": total[at]})
+                marked = marks(batch)[1]
+                total += marked.sum(axis=0)
+                sent += np.logical_or.reduceat(marked, firsts, axis=1).sum(axis=0)
+            at, to = np.flatnonzero(total), np.flatnonzero(sent)
+            # a shelf is numbered from -1 down
+            yield pa.record_batch({"group": np.concatenate([at, -1 - to]), "visitors": np.concatenate([total[at], sent[to]])})
 
         schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("id", T.LongType())])
-        schema = schema.add("vec", _VEC).add("bound", T.DoubleType())
+        schema = schema.add("vec", _VEC).add("bound", T.DoubleType()).add("pivot", T.LongType()).add("marks", T.BinaryType())
+        width = np.arange(counts.max())
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in S._tiles(batch.num_rows, S.TILE_COLS):
                     rows = batch.slice(part.start, part.stop - part.start)
                     given, marked = marks(rows)
-                    row, group = np.nonzero(marked)
+                    row, shelf = np.nonzero(np.logical_or.reduceat(marked, firsts, axis=1))
                     ids, bounds = S._column(rows, "id"), S._column(rows, "bound")
-                    columns = [pa.array(group, pa.int64()), pa.array(ids[row], pa.int64()), _lists(given[row]), pa.array(bounds[row])]
+                    own = np.minimum(firsts[shelf][:, None] + width, marked.shape[1] - 1)
+                    bits = np.packbits(marked[row[:, None], own] & (width < counts[shelf][:, None]), axis=1)
+                    columns = [
+                        pa.array(shelf, pa.int64()), pa.array(ids[row], pa.int64()), _lists(given[row]), pa.array(bounds[row]),
+                        pa.array(np.full(len(row), -1)), pa.array([x.tobytes() for x in bits], pa.binary()),
+                    ]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        # rows: at most one per group and task, then one per group
+        # rows: at most one per group or shelf and task, then one per group or shelf
         counted = queries.mapInArrow(count, "group long, visitors long").groupBy("group").agg(F.sum("visitors").alias("visitors"))
         seen = {r["group"]: r["visitors"] for r in counted.collect()}
-        self.compared += int(sum(n * int(self.sizes[g]) for g, n in seen.items()))
-        listed = [(g, int(self.sizes[g]) * 8 * max(dim, 1), n) for g, n in seen.items()]
+        self.compared += int(sum(n * int(self.sizes[g]) for g, n in seen.items() if g >= 0))
+        listed = [(-1 - g, int(self.shelf_bytes[-1 - g]), n) for g, n in seen.items() if g < 0]
+        self.sent = sum(x[2] for x in listed)
         sizes = self.session.createDataFrame(listed, "group long, bytes long, visitors long")
         return queries.mapInArrow(visit, schema), sizes
 
     def _compared(self, visitors: DataFrame, sizes: DataFrame, kernel, schema: T.StructType) -> DataFrame:
-        members = self.members.select("group", "id", "vec", F.lit(None).cast("double").alias("bound"))
+        ends = np.append(self.firsts, len(self.sizes))
+        shelves = [(g, x) for x, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist())) for g in range(lo, hi)]
+        placed = self.members.join(F.broadcast(self.session.createDataFrame(shelves, "group long, shelf long")), "group")
+        members = placed.select(
+            F.col("shelf").alias("group"), "id", "vec", F.lit(0.0).alias("bound"), F.col("group").alias("pivot"),
+            F.lit(b"").alias("marks"),
+        )
+        lane = lane_of(self.sent, tasks_of(self.session), self.lane_rows)
         return compare_in_groups(
-            members, visitors, kernel, schema, self.dim, sizes, panel_bytes=self.panel_bytes, lane_rows=self.lane_rows
+            members, visitors, kernel.on(self.firsts), schema, self.dim, sizes, panel_bytes=self.panel_bytes, lane_rows=lane
         )
 
     def _queries(self, queries: DataFrame, bound) -> DataFrame:
@@ -172,7 +239,7 @@ class PivotIndex:
             return self.session.createDataFrame([], PAIRS)
         asked = self._queries(queries, F.lit(float(threshold)))
         visitors, sizes = self._visits(asked, lambda angles, best, batch: best >= threshold - 1e-12)
-        return self._compared(visitors, sizes, PairsOf(threshold), PAIRS)
+        return self._compared(visitors, sizes, _MarkedPairs(threshold), PAIRS)
 
     def top_k(self, queries: DataFrame, k: int = 50, *, exclude_self: bool = False) -> DataFrame:
         """``(query_id, rank, neighbour_id, sim)`` as ``similarity.top_k`` gives them; queries are unique by id.
@@ -192,7 +259,7 @@ class PivotIndex:
             np.put_along_axis(out, order, first, axis=1)
             return out
 
-        kernel = BestOf(k, exclude_self)
+        kernel = _MarkedBest(k, exclude_self)
         asked = self._queries(queries, F.lit(float("-inf")))
         visitors, planned = self._visits(asked, nearest)
         near = materialise(self._compared(visitors, planned, kernel, HITS), "pivot-near")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from affinis.operators import pivots
 from affinis.operators import similarity as S
 from affinis.operators.pivots import PivotIndex, spread_out
 
@@ -81,3 +82,14 @@ def test_wrong_vectors_raise(spark):
 def test_pivots_are_far_apart():
     sample = np.eye(4)[[0, 0, 1, 2, 0, 3]]
     assert len(spread_out(sample, 9)) == 4 and len(spread_out(sample, 2)) == 2
+
+
+def test_a_query_is_sent_once_a_shelf(spark, monkeypatch):
+    vectors = np.random.default_rng(8).normal(size=(600, 16))  # far from each other: queries visit most groups
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    sent, plain = [], pivots.compare_in_groups
+    monkeypatch.setattr(pivots, "compare_in_groups", lambda m, v, *a, **b: sent.append(v.count()) or plain(m, v, *a, **b))
+    index = PivotIndex(df)
+    found = ranked(index.top_k(df, 5, exclude_self=True))
+    assert index.compared > 20 * 600 and max(sent) <= 600 * 10
+    assert found == ranked(S.top_k(df, df, 5, exclude="self"))
