@@ -51,6 +51,26 @@ def test_approximate_join(spark, placement):
     assert all(sorted(x) == list(range(1, len(x) + 1)) for x in ranks.values())
 
 
+def test_many_tables_send_a_vector_a_few_times(spark, monkeypatch):
+    vectors = np.random.default_rng(9).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    index = H.HyperplaneIndex(df, 4, 40)  # 40 tables of 16 buckets
+    sent, plain = [], H.compare_in_groups
+    monkeypatch.setattr(H, "compare_in_groups", lambda m, *a, **b: sent.append(m.count()) or plain(m, *a, **b))
+    found, near = pairs(index.threshold_join(0.3)), index.top_k(10)
+    top = sorted(tuple(r) for r in near.select("query_id", "rank", "neighbour_id").collect())
+    assert sent == [300, 300]
+    monkeypatch.setattr(H.HyperplaneIndex, "meets_all", lambda self: False)  # the same pairs as by buckets
+    assert found == pairs(index.threshold_join(0.3)) and sent[2:] == [300 * 40]
+    assert top == sorted(tuple(r) for r in index.top_k(10).select("query_id", "rank", "neighbour_id").collect())
+
+
+def test_recall_counts_other_scores_in_one_pass(spark):
+    exact = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.4), (2, 3, 0.4), (2, 4, 0.9)], "left_id long, right_id long, sim double")
+    found = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.41), (2, 4, 0.9)], exact.schema)
+    assert H.recall(found, exact, ["left_id", "right_id"]).first() == (4, 3, 0.75, 1)
+
+
 def test_approximate_join_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert H.HyperplaneIndex(none, 4, 3).threshold_join(0.5).count() == 0
