@@ -4,14 +4,16 @@ The sequential rule is: take the candidates by size, keep one if none of its mem
 Here a round keeps, at once, every candidate that is the best remaining one for all of its
 members, and drops every candidate that shares a member with those.
 
-Vectors are compared once. Who is near whom is stored as bits: a row per vector and block of others that
-holds one of its partners, so a dense group costs a bit for each pair and never becomes a list. A round is two
+Vectors are compared once. Who is near whom is stored as a row per vector and block of others that
+holds one of its partners: two bytes for each if they are few, or else bits, so a dense group costs a bit for each pair and never
+becomes a list. A vector is sent once to each shelf of many blocks, not to each block. A round is two
 passes over the bits of the candidates that are left: ranks go to the members, and the best rank of each
 member comes back. Between the passes a block of members is one row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from affinis.functions import constants as C
 from affinis.functions.vectors import as_array, l2_normalise, norm
 from affinis.operators import similarity as sim
-from affinis.operators.grouped import Rows, compare_in_groups
+from affinis.operators.grouped import LANE_ROWS, PANEL_BYTES, Rows, compare_in_groups, lane_of, tasks_of
 from affinis.operators.ordered import ordered_parts, row_numbers
 from affinis.session import materialise, materialise_counted, scratch_path
 
@@ -53,28 +55,53 @@ def candidates(
 
 
 class NearBits:
-    """For each visitor the members of the block it is near to, as bits; none for a visitor near to nobody."""
+    """For each visitor and block of the shelf the members it is near to (``_packed``); none for a visitor near to nobody."""
 
     def __init__(self, threshold: float, block: int):
         self.threshold, self.block = threshold, block
 
     def __call__(self, panel: Rows, group, visitors: Rows) -> Iterator[pa.RecordBatch]:
-        place = panel.ids - group * self.block
+        blocks, starts = np.unique(panel.ids // self.block, return_index=True)  # a panel is sorted by id
         for rows in sim._tiles(len(visitors.ids), sim.TILE_COLS):
-            near = np.zeros((rows.stop - rows.start, self.block), bool)
-            near[:, place] = sim._scores(visitors.vectors[rows], panel.vectors, "dot", self.threshold) >= self.threshold
-            counts = near.sum(axis=1)
-            some = np.flatnonzero(counts)
-            if len(some):
-                bits = np.packbits(near[some], axis=1)
-                yield pa.record_batch(
-                    {
-                        "num": visitors.ids[rows][some],
-                        "block": np.full(len(some), group, np.int64),
-                        "bits": _blobs(bits),
-                        "members": counts[some].astype(np.int64),
-                    }
-                )
+            for number, lo, hi in zip(blocks, starts, [*starts[1:], len(panel.ids)]):
+                near = np.zeros((rows.stop - rows.start, self.block), bool)
+                s = sim._scores(visitors.vectors[rows], panel.vectors[lo:hi], "dot", self.threshold)
+                near[:, panel.ids[lo:hi] - number * self.block] = s >= self.threshold
+                counts = near.sum(axis=1)
+                some = np.flatnonzero(counts)
+                if len(some):
+                    yield pa.record_batch(
+                        {
+                            "num": visitors.ids[rows][some],
+                            "block": np.full(len(some), number, np.int64),
+                            "bits": _packed(near[some]),
+                            "members": counts[some].astype(np.int64),
+                        }
+                    )
+
+
+def _packed(near: np.ndarray) -> pa.Array:
+    """Rows of a block of marks: the places as two bytes each where they take less than the bits."""
+    width = near.shape[1] // 8
+    counts = near.sum(axis=1)
+    few = 2 * counts < width
+    sizes = np.where(few, 2 * counts, width)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out, listed = np.empty(ends[-1], np.uint8), np.repeat(few, sizes)
+    out[listed] = np.nonzero(near[few])[1].astype("<u2").view(np.uint8)
+    out[~listed] = np.packbits(near[~few], axis=1).ravel()
+    return pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _near(column: pa.Array, block: int) -> np.ndarray:
+    """The marks that ``_packed`` wrote."""
+    sizes = np.array([len(x.as_py()) for x in column], np.int64)
+    flat = np.frombuffer(b"".join(x.as_py() for x in column), np.uint8)
+    out, few = np.zeros((len(sizes), block), bool), sizes < block // 8
+    listed = np.repeat(few, sizes)
+    out[np.repeat(np.flatnonzero(few), sizes[few] // 2), flat[listed].view("<u2")] = True
+    out[~few] = np.unpackbits(flat[~listed].reshape(-1, block // 8), axis=1)
+    return out
 
 
 def _blobs(rows: np.ndarray) -> pa.Array:
@@ -90,12 +117,17 @@ def _matrix(column: pa.Array, width: int, kind: str = "u1") -> np.ndarray:
 def near_bits(numbered: DataFrame, rows: int, threshold: float, block: int = BLOCK, **placement) -> DataFrame:
     """``(num, block, bits, members)`` from ``numbered(num, vec)``, numbered from 0 without gaps: which vectors of each
     block are at least ``threshold`` similar to a vector."""
-    last = max(0, (rows - 1) // block)
-    members = numbered.select((F.col("num") / block).cast("long").alias("group"), F.col("num").alias("id"), "vec")
+    if block % 8 or block > 1 << 16:
+        raise ValueError("a block is a multiple of 8, at most 65536")
+    dim, tasks = sim.dimension(numbered), tasks_of(numbered.sparkSession)
+    blocks, panel_bytes = max(1, -(-rows // block)), placement.get("panel_bytes", PANEL_BYTES)
+    shelf = block * max(1, min(panel_bytes // (block * 8 * max(dim, 1)), -(-blocks // math.isqrt(tasks))))
+    last = max(0, (rows - 1) // shelf)
+    members = numbered.select((F.col("num") / shelf).cast("long").alias("group"), F.col("num").alias("id"), "vec")
     visitors = numbered.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("group"), F.col("num").alias("id"), "vec")
-    dim = sim.dimension(numbered)
     sizes = members.groupBy("group").agg((F.count(F.lit(1)) * 8 * max(dim, 1)).alias("bytes")).withColumn("visitors", F.lit(rows))
-    return compare_in_groups(members, visitors, NearBits(threshold, block), _NEAR, dim, sizes, **placement)
+    lane = lane_of(rows * (last + 1), tasks, placement.get("lane_rows", LANE_ROWS))
+    return compare_in_groups(members, visitors, NearBits(threshold, block), _NEAR, dim, sizes, panel_bytes=panel_bytes, lane_rows=lane)
 
 
 def _ranked_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
@@ -110,7 +142,7 @@ def _ranked_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[p
             state = held.setdefault(int(number), np.full(block, NONE))
             values = np.where(kept[rows], -1, ranks[rows])
             for part in sim._tiles(len(rows), 256):
-                near = np.unpackbits(_matrix(bits.take(pa.array(rows[part])), block // 8), axis=1).astype(bool)
+                near = _near(bits.take(pa.array(rows[part])), block)
                 np.minimum(state, np.where(near, values[part][:, None], NONE).min(axis=0), out=state)
     numbers = sorted(held)
     yield pa.record_batch({"block": np.array(numbers, np.int64), "best": _blobs(np.array([held[x] for x in numbers], np.int64).reshape(-1, block))})
@@ -128,7 +160,7 @@ def _best_of_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        near = np.unpackbits(_matrix(batch.column(batch.schema.get_field_index("bits")), block // 8), axis=1).astype(bool)
+        near = _near(batch.column(batch.schema.get_field_index("bits")), block)
         best = _matrix(batch.column(batch.schema.get_field_index("best")), block, "<i8")
         yield pa.record_batch({"rank": sim._column(batch, "rank"), "seen": np.where(near, best, NONE).min(axis=1)})
 
@@ -180,7 +212,7 @@ def communities(
     def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, place = np.nonzero(np.unpackbits(_matrix(batch.column(batch.schema.get_field_index("bits")), block // 8), axis=1))
+                row, place = np.nonzero(_near(batch.column(batch.schema.get_field_index("bits")), block))
                 yield pa.record_batch(
                     {"rank": sim._column(batch, "rank")[row], "num": sim._column(batch, "block")[row] * block + place}
                 )

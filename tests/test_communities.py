@@ -64,6 +64,25 @@ def test_vectors_are_compared_once(spark, monkeypatch):
     assert cm.communities(frame(spark, rng.normal(size=(120, 3))), 0.9, 4).count() and calls == [1]
 
 
+def test_a_vector_is_sent_once_a_shelf(spark, monkeypatch):
+    sent, plain = [], cm.compare_in_groups
+    monkeypatch.setattr(cm, "compare_in_groups", lambda m, v, *a, **b: sent.append(v.count()) or plain(m, v, *a, **b))
+    m = np.random.default_rng(10).normal(size=(400, 3))
+    numbered = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "num long, vec array<double>")
+    near = cm.near_bits(numbered, 400, 0.9, 8)  # 50 blocks
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert near.agg({"members": "sum"}).first()[0] == (unit @ unit.T >= 0.9).sum()
+    assert sent[0] <= 400 * 8
+
+
+def test_few_members_take_two_bytes_each():
+    near = np.random.default_rng(11).random((40, 64)) < np.linspace(0, 0.9, 40)[:, None]
+    near[0], near[1] = False, True
+    column = cm._packed(near)
+    assert (cm._near(column, 64) == near).all()
+    assert [len(x.as_py()) for x in column] == [min(8, 2 * n) for n in near.sum(axis=1)]
+
+
 def test_nothing_found(spark):
     out = cm.communities(frame(spark, np.eye(5)), 0.9, 2)
     assert out.count() == 0 and out.columns == ["community_id", "centre_id", "size", "channel_id"]
