@@ -23,6 +23,7 @@ FEW_CHANNELS = 128
 ROWS_PER_BUCKET = 100_000
 USERS_PER_CELL = 4096
 CHANNELS_PER_PANEL = 1024
+PAIRS_PER_TASK = 1 << 20  # counted pairs that a task adds up
 _SCHEMA = "channel_a bigint, channel_b bigint, common bigint"
 _CHUNK = 4_000_000
 
@@ -96,6 +97,8 @@ def audience_overlap(
     many = degrees.where(F.col("n") > few_channels).select("user")
     buckets = max(1, math.ceil(rows / rows_per_bucket))
     bucket = F.pmod(F.xxhash64("user"), F.lit(buckets)).alias("bucket")
+    few = degrees.where(F.col("n") <= few_channels).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    pairs_of_few = int(few.first()["pairs"] or 0)  # rows that the buckets hand on, at most
     counted = (
         distinct.join(many, "user", "left_anti")
         .select("channel", "user", bucket)
@@ -125,8 +128,12 @@ def audience_overlap(
         counted = counted.unionByName(
             placed.groupBy("cell", "panel_a", "panel_b").applyInPandas(_of_many, _SCHEMA)
         )
+    # the pairs of a bucket are counted already: they go to tasks as they are, as many as keep a task small
+    shuffled = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks = max(shuffled, math.ceil(pairs_of_few / PAIRS_PER_TASK))
     return (
-        counted.groupBy("channel_a", "channel_b")
+        counted.repartition(tasks, "channel_a", "channel_b")
+        .groupBy("channel_a", "channel_b")
         .agg(F.sum("common").alias("common"))
         .where(F.col("common") >= min_common)
     )

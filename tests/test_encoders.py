@@ -125,3 +125,12 @@ def test_audience_overlap_with_hot_users_and_channels(spark):
         got = {(r.channel_a, r.channel_b): r.common for r in audience.audience_overlap(df, **sizes).collect()}
         assert got == want
     assert audience.audience_overlap(df, min_common=3).count() == sum(v >= 3 for v in want.values())
+
+
+def test_audience_counts_are_added_up_in_small_tasks(spark, monkeypatch):
+    visits = spark.createDataFrame([(c, u) for u in range(40) for c in range(u % 7, 7)], "channel long, user long")
+    monkeypatch.setattr(audience, "PAIRS_PER_TASK", 8)
+    out = audience.audience_overlap(visits)
+    pairs = [(a, b) for u in range(40) for a in range(u % 7, 7) for b in range(a + 1, 7)]
+    assert out.rdd.getNumPartitions() == -(-len(pairs) // 8)
+    assert {(r.channel_a, r.channel_b): r.common for r in out.collect()} == {p: pairs.count(p) for p in pairs}
