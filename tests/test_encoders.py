@@ -4,10 +4,11 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.operators import audience, tfidf, wordvec
+from affinis.operators import audience, heavy, tfidf, wordvec
 from affinis.plans import vectors as pv
 
 
@@ -105,6 +106,33 @@ def test_tfidf_against_its_formula(spark):
     assert model.vectors(spark.createDataFrame([(1, [])], "doc_id bigint, terms array<string>")).first().idx == []
 
 
+def test_tfidf_of_words_and_of_terms(spark):
+    """N-grams are formed as numbers: the same model as from a table of terms, also where all terms are counted."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("alpha beta gamma delta eps zeta eta".split()) for _ in range(i % 9))) for i in range(60)]
+    docs += [(60, None), (61, ""), (7, "beta beta gamma")]  # an id may come twice
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    words = tfidf.document_words(df)
+    for sizes in ({}, {"candidates": 1, "summary": 1}):
+        a = tfidf.TfIdf(words, 2, 12, **sizes)
+        b = tfidf.TfIdf(tfidf.terms_of_words(words), 2, 12, **sizes)
+        assert (a.terms, a.idf, a.size) == (b.terms, b.idf, b.size) and a.exact == b.exact == (not sizes)
+        rows = [sorted((r.doc_id, tuple(r.idx), tuple(r.val)) for r in m.fitted_vectors().collect()) for m in (a, b)]
+        assert rows[0] == rows[1]
+        again = {(r.doc_id, r.term): round(r.weight, 9) for r in a.long_form(a.vectors(words)).where("doc_id <> 7").collect()}
+        assert again == {(r.doc_id, r.term): round(r.weight, 9) for r in a.long_form(a.fitted_vectors()).where("doc_id <> 7").collect()}
+
+
+def test_terms_of_arrays_as_numbers():
+    lists = pa.array([["b", "a", "b"], None, [], ["a"], ["b", None, "a", "b"]])
+    got = [(r.tolist(), [items[int(c)].as_py() for c in codes]) for r, codes, items in heavy.coded(lists.slice(0), 3)]
+    assert got == [
+        ([0, 0, 0, 3, 4, 4, 4], ["b", "a", "b", "a", "b", "a", "b"]),
+        ([0, 0, 4, 4], ["b a", "a b", "b a", "a b"]),
+        ([0, 4], ["b a b", "b a b"]),
+    ]
+
+
 def test_audience_overlap_with_hot_users_and_channels(spark):
     rng = random.Random(1)
     visits = {(c, 0) for c in range(40)} | {(0, u) for u in range(200)}
