@@ -41,8 +41,9 @@ LEAST = 0.5
 PASSAGE = 13
 STRICT = 4
 BLOCK_WORDS = 2_000_000
+SLICE = 2 << 20  # bytes of text at a time
 CELLS = 1 << 19  # alignment cells per row of a batch
-MEETINGS = 1 << 20  # pairs of a hit and an item in memory at a time
+MEETINGS = 1 << 18  # pairs of a hit and an item in memory at a time
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
@@ -50,7 +51,7 @@ def _item_words(items: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """``(item_id, words)`` of the items that take part, with words as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             offsets, hashes = word_hashes(texts_of(batch, text))
             out = pa.RecordBatch.from_arrays(
                 [
@@ -251,7 +252,7 @@ def _leaks_of(texts: pa.Array, block: ItemBlock, seeds: Seeds, n: int, least: fl
 def _with_block(df: DataFrame, block: ItemBlock, text: str, out: str, n: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(block, n)
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             at = batch.schema.get_field_index(out)
             known = batch.column(at).to_pylist()
             rows = []

@@ -40,6 +40,7 @@ RECALL = 0.999
 HASHES = 256  # most minima in a signature
 BLOCK = 1024  # representatives in a block
 BLOCK_GRAMS = 1 << 21  # n-grams in a block, of more than one representative
+SLICE = 2 << 20  # bytes of text at a time
 CELLS = 1 << 22  # matrix cells in memory at a time
 
 
@@ -107,7 +108,7 @@ def signatures(df: DataFrame, text: str, key: str, n: int, bands: int, rows: int
     """``(id, size, set_a, set_b, bands)`` of every row; rows without n-grams have size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             offsets, grams = shingle_sets(texts_of(batch, text), n)
             sizes = np.diff(offsets)
             a, b = set_keys(offsets, grams)
@@ -132,7 +133,7 @@ def _with_sets(df: DataFrame, text: str, n: int) -> DataFrame:
     """Rows ``(…, set_a, text)`` with ``grams`` for the text, if it is the text the key was made of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             offsets, grams = shingle_sets(texts_of(batch, text), n)
             names = [x for x in batch.schema.names if x != text]
             grouped = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(grams)))
@@ -338,7 +339,7 @@ def _with_keys(df: DataFrame, text: str, n: int) -> DataFrame:
     """``df`` with the keys of the set of each text, and how many n-grams it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             offsets, grams = shingle_sets(texts_of(batch, text), n)
             added = [pa.array(x) for x in (*set_keys(offsets, grams), np.diff(offsets))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
