@@ -124,3 +124,23 @@ def test_prefix_lists_refuse(spark):
     with pytest.raises(ValueError, match="bytes"):
         P.prefix_rows(df, 0.5, 1 << 30)
     assert P.PrefixLists(df.limit(0), 0.5, 8).join().count() == 0
+
+
+def test_rows_of_many_lists_meet_panel_by_panel(spark, monkeypatch):
+    """A row with 40 listed terms was sent 40 times."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(240):
+        idx = np.sort(rng.choice(60, 50, False))
+        val = rng.uniform(0.1, 1, 50) if i % 6 else np.ones(50)
+        rows.append((i, idx.tolist(), (val / np.linalg.norm(val)).tolist()))
+    df = spark.createDataFrame(rows, SPARSE).repartition(5)
+    index = P.PrefixLists(df, 0.9, 60)
+    sizes = index.sizes().cache()
+    panels, lanes = index.shape(sizes)
+    assert panels + lanes < sum(r["members"] for r in sizes.collect()) / 240
+    found = pairs(index.join())
+    assert found == pairs(S.threshold_join(df, df, 0.9, metric="dot", dim=60))
+    assert len(found) == len(set(found)) > 240
+    monkeypatch.setattr(P.PrefixLists, "shape", lambda self, sizes: None)  # the same pairs as by lists
+    assert found == pairs(index.join())
