@@ -5,8 +5,9 @@ largest angle between its pivot and a member. With the angle *d* between a query
 nearer to the query than ``max(d - largest, smallest - d)``, so a query visits only the groups
 that can hold a partner. Results are the same as those of ``similarity.top_k`` and ``threshold_join``.
 
-Groups lie on shelves of bounded bytes. A query is sent once to each shelf that holds a group it visits, marked with
-these groups, and only the best of a shelf or its pairs leave it.
+Groups lie on shelves of bounded bytes. For the nearest, a query is sent once to each shelf that holds a group it visits, marked
+with these groups, and only the best of a shelf leave it. For the join nobody is sent: a task holds a shelf, or a panel of a
+large group, reads all queries from a table of blocks and marks the groups that they visit (``streamed``).
 
 Pivots come from a bounded sample, each the farthest from those before it. Their number is bounded by bytes,
 as they and the angles of their groups are sent to every task; everything else is dealt by group.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinis.operators import similarity as S
+from affinis.operators import streamed
 from affinis.operators.grouped import (
     HITS, LANE_ROWS, PAIRS, PANEL_BYTES, BestOf, PairsOf, Rows, best_by_query, compare_in_groups, lane_of, tasks_of,
 )
@@ -85,6 +88,42 @@ class _MarkedPairs(_Marked, PairsOf):
     pass
 
 
+class _Shelf:
+    """A panel of a shelf: the blocks of queries that pass it meet the groups of the shelf that they may have a partner in."""
+
+    def __init__(self, batch: pa.RecordBatch, kernel: _MarkedPairs, shared, counts: np.ndarray, dim: int):
+        self.kernel, self.dim, self.shelf = kernel, dim, S._column(batch, "shelf")[0]
+        self.panel = Rows(batch, "cosine", dim, ["pivot"])
+        first = kernel.firsts[self.shelf]
+        self.places = slice(first, first + counts[self.shelf])
+        self.pivots, self.sizes, self.low, self.high = shared.value
+
+    def feed(self, batch: pa.RecordBatch):
+        best = _best_by_group(S._prepare(S._vectors(batch, self.dim), "cosine"), self.pivots, self.low, self.high, self.places)[1]
+        marked = (best >= self.kernel.threshold - 1e-12) & (self.sizes[self.places] > 0)
+        some = np.flatnonzero(marked.any(axis=1))
+        if len(some):
+            visitors = Rows(batch.take(pa.array(some)), "cosine", self.dim, [])
+            visitors.extra["marks"] = [x.tobytes() for x in np.packbits(marked[some], axis=1)]
+            yield from self.kernel(self.panel, self.shelf, visitors)
+
+    def finish(self):
+        return ()
+
+
+def _best_by_group(unit: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, places: slice) -> tuple[np.ndarray, np.ndarray]:
+    """The angles of unit vectors and the pivots of some groups, and the highest similarity that a member of each can have; zero
+    vectors, at a right angle to everything, are the last group."""
+    own = pivots[places]
+    angles = _angles(unit, own) if len(own) else np.zeros((len(unit), 0))
+    gap = np.maximum(angles - high[places][: len(own)], low[places][: len(own)] - angles) - SLACK
+    best = np.cos(np.clip(gap, 0.0, np.pi))
+    if len(low[places]) > len(own):
+        best = np.concatenate([best, np.zeros((len(unit), 1))], axis=1)
+        angles = np.concatenate([angles, np.full((len(unit), 1), np.pi / 2)], axis=1)
+    return angles, best
+
+
 class PivotIndex:
     """A corpus ``(id, vec)``, unique by id, grouped by nearest pivot. Rows with a null id or vector take no part;
     vectors of different lengths and null or non-finite entries raise. ``compared`` counts the pairs that
@@ -171,11 +210,7 @@ class PivotIndex:
         def marks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             pivots, sizes, low, high = shared.value
             given = S._vectors(batch, dim)
-            angles = _angles(S._prepare(given, "cosine"), pivots) if len(pivots) else np.zeros((len(given), 0))
-            gap = np.maximum(angles - high[:-1], low[:-1] - angles) - SLACK
-            best = np.cos(np.clip(gap, 0.0, np.pi))
-            best = np.concatenate([best, np.zeros((len(given), 1))], axis=1)  # zero vectors
-            angles = np.concatenate([angles, np.full((len(given), 1), np.pi / 2)], axis=1)
+            angles, best = _best_by_group(S._prepare(given, "cosine"), pivots, low, high, slice(0, len(sizes)))
             return given, choose(angles, best, batch) & (sizes > 0)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +272,28 @@ class PivotIndex:
         """All pairs at or above ``threshold``: ``(left_id, right_id, sim)``; the corpus is the right side."""
         if not self.rows:
             return self.session.createDataFrame([], PAIRS)
-        asked = self._queries(queries, F.lit(float(threshold)))
-        visitors, sizes = self._visits(asked, lambda angles, best, batch: best >= threshold - 1e-12)
-        return self._compared(visitors, sizes, _MarkedPairs(threshold), PAIRS)
+        asked, before = self._queries(queries, F.lit(float(threshold))), self.compared
+        self._visits(asked, lambda angles, best, batch: best >= threshold - 1e-12)  # counted only
+        return self._met(asked.select("id", "vec"), _MarkedPairs(float(threshold)), self.compared - before)
+
+    def _met(self, queries: DataFrame, kernel: _MarkedPairs, pairs: int) -> DataFrame:
+        """Every query past every shelf; a shelf beyond ``panel_bytes`` is cut into panels."""
+        panels = np.maximum(1, -(-self.shelf_bytes // self.panel_bytes))
+        cells = np.concatenate([[0], np.cumsum(panels)])
+        ends = np.append(self.firsts, len(self.sizes))
+        places = [
+            (g, x, int(cells[x]), int(panels[x])) for x, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist())) for g in range(lo, hi)
+        ]
+        table = F.broadcast(self.session.createDataFrame(places, "group long, shelf long, first long, panels long"))
+        cell = (F.col("first") + F.pmod(F.xxhash64("id"), "panels")).cast("int")
+        placed = self.members.join(table, "group").select(F.col("group").alias("pivot"), "shelf", cell.alias("cell"), "id", "vec")
+        dealt = placed.repartitionById(int(cells[-1]), "cell").select("shelf", "pivot", "id", "vec").sortWithinPartitions("shelf")
+        held = streamed.panel_blocks(dealt, 2 * self.panel_bytes)
+        tasks = max(tasks_of(self.session), -(-pairs // streamed.TASK_PAIRS))
+        lanes = -(-tasks // int(cells[-1]))
+        shared = self.session.sparkContext.broadcast((self.pivots, self.sizes, self.low, self.high))
+        start = partial(_Shelf, kernel=kernel.on(self.firsts), shared=shared, counts=np.diff(ends), dim=self.dim)
+        return streamed.meet(held, streamed.written_blocks(queries.repartition(lanes, "id")), start, PAIRS, lanes)
 
     def top_k(self, queries: DataFrame, k: int = 50, *, exclude_self: bool = False) -> DataFrame:
         """``(query_id, rank, neighbour_id, sim)`` as ``similarity.top_k`` gives them; queries are unique by id.

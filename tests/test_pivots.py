@@ -3,6 +3,7 @@ import pytest
 
 from affinis.operators import pivots
 from affinis.operators import similarity as S
+from affinis.operators import streamed
 from affinis.operators.pivots import PivotIndex, spread_out
 
 SCHEMA = "id long, vec array<double>"
@@ -93,3 +94,15 @@ def test_a_query_is_sent_once_a_shelf(spark, monkeypatch):
     found = ranked(index.top_k(df, 5, exclude_self=True))
     assert index.compared > 20 * 600 and max(sent) <= 600 * 10
     assert found == ranked(S.top_k(df, df, 5, exclude="self"))
+
+
+def test_the_join_sends_no_query_to_a_shelf(spark, monkeypatch):
+    vectors = np.random.default_rng(9).normal(size=(700, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], SCHEMA).repartition(3)
+    sent, read, plain = [], [], streamed.written_blocks
+    monkeypatch.setattr(pivots, "compare_in_groups", lambda m, v, *a, **b: sent.append(v.count()))
+    monkeypatch.setattr(streamed, "written_blocks", lambda rows: read.append(rows.count()) or plain(rows))
+    index = PivotIndex(df, panel_bytes=1 << 11)  # 16 vectors
+    assert len(index.firsts) > 20
+    assert pairs(index.threshold_join(df, 0.3)) == pairs(S.threshold_join(df, df, 0.3))
+    assert sent == [] and read == [700]
