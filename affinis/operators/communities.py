@@ -4,11 +4,12 @@ The sequential rule is: take the candidates by size, keep one if none of its mem
 Here a round keeps, at once, every candidate that is the best remaining one for all of its
 members, and drops every candidate that shares a member with those.
 
-Vectors are compared once. Who is near whom is stored as a row per vector and block of others that
+Vectors are compared once. Who is near whom is stored for each vector and block of others that
 holds one of its partners: two bytes for each if they are few, or else bits, so a dense group costs a bit for each pair and never
-becomes a list. A vector is sent once to each shelf of many blocks, not to each block. A round is two
-passes over the bits of the candidates that are left: ranks go to the members, and the best rank of each
-member comes back. Between the passes a block of members is one row.
+becomes a list. The vectors of one block that are near to members of another are one row, a *tile*. A vector is sent once to each
+shelf of many blocks, not to each block. A round is two passes over the tiles of the candidates that are left: ranks go to the
+members, and the best rank of each member comes back. What is known of the vectors of a block, their ranks or the best
+that they have seen, is one row, which meets tiles and not pairs.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ from affinis.session import materialise, materialise_counted, scratch_path
 BLOCK = 2048  # vectors in a block of bits
 NONE = np.iinfo(np.int64).max
 _NEAR = T.StructType(
-    [T.StructField("num", T.LongType()), T.StructField("block", T.LongType())]
-    + [T.StructField("bits", T.BinaryType()), T.StructField("members", T.LongType())]
+    [T.StructField("own", T.LongType()), T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType())]
+    + [T.StructField("sizes", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("members", T.LongType())]
 )
+STATE_BYTES = 64 << 20  # of what is known of all vectors, where it is sent to every task
 
 
 def candidates(
@@ -55,29 +57,95 @@ def candidates(
 
 
 class NearBits:
-    """For each visitor and block of the shelf the members it is near to (``_packed``); none for a visitor near to nobody."""
+    """For the visitors of one block and each block of the shelf a tile of the members they are near to: the ``places`` in their
+    ``own`` block of the visitors that are near to any, and the bytes of each in ``bits`` (``_packed``)."""
 
     def __init__(self, threshold: float, block: int):
         self.threshold, self.block = threshold, block
 
     def __call__(self, panel: Rows, group, visitors: Rows) -> Iterator[pa.RecordBatch]:
         blocks, starts = np.unique(panel.ids // self.block, return_index=True)  # a panel is sorted by id
-        for rows in sim._tiles(len(visitors.ids), sim.TILE_COLS):
-            for number, lo, hi in zip(blocks, starts, [*starts[1:], len(panel.ids)]):
-                near = np.zeros((rows.stop - rows.start, self.block), bool)
-                s = sim._scores(visitors.vectors[rows], panel.vectors[lo:hi], "dot", self.threshold)
-                near[:, panel.ids[lo:hi] - number * self.block] = s >= self.threshold
-                counts = near.sum(axis=1)
-                some = np.flatnonzero(counts)
-                if len(some):
-                    yield pa.record_batch(
-                        {
-                            "num": visitors.ids[rows][some],
-                            "block": np.full(len(some), number, np.int64),
-                            "bits": _packed(near[some]),
-                            "members": counts[some].astype(np.int64),
-                        }
-                    )
+        order = np.argsort(visitors.ids, kind="stable")
+        ids, vectors = visitors.ids[order], visitors.vectors[order]
+        cuts = np.flatnonzero(np.diff(ids // self.block)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+            for rows in sim._tiles(hi - lo, sim.TILE_COLS):
+                own = slice(lo + rows.start, lo + rows.stop)
+                if own.start < own.stop:
+                    yield from self._tile(panel, blocks, starts, ids[own], vectors[own])
+
+    def _tile(self, panel: Rows, blocks: np.ndarray, starts: np.ndarray, ids: np.ndarray, vectors) -> Iterator[pa.RecordBatch]:
+        out = []
+        for number, first, last in zip(blocks, starts, [*starts[1:], len(panel.ids)]):
+            r, c = np.nonzero(sim._scores(vectors, panel.vectors[first:last], "dot", self.threshold) >= self.threshold)
+            if len(r):
+                some, at = np.unique(r, return_inverse=True)
+                bits = _packed_places(at, panel.ids[first:last][c] - number * self.block, len(some), self.block)
+                _, ends, data = bits.buffers()
+                places = (ids[some] % self.block).astype("<u2").tobytes()
+                sizes = np.diff(np.frombuffer(ends, np.int32)[: len(some) + 1]).astype("<i4").tobytes()
+                out.append((ids[0] // self.block, number, places, sizes, data.to_pybytes(), len(r)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _TILE_TYPES)], _NEAR.names)
+
+
+_TILE_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+
+
+class Tile:
+    """A tile as numbers: which ``rows`` (places in their own block) are near to which ``places`` of the other block. Rows of few
+    members are lists, one after another (``ends``); the others are marks."""
+
+    def __init__(self, places: bytes, sizes: bytes, bits: bytes, block: int):
+        rows, size = np.frombuffer(places, "<u2").astype(np.int64), np.frombuffer(sizes, "<i4")
+        flat, few = np.frombuffer(bits, np.uint8), size < block // 8
+        listed = np.repeat(few, size)
+        self.rows, self.places = rows[few], flat[listed].view("<u2")
+        self.times = size[few] // 2
+        self.dense = rows[~few]
+        self.marks = np.unpackbits(flat[~listed].reshape(-1, block // 8), axis=1).astype(bool) if len(self.dense) else None
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        rows, places = np.repeat(self.rows, self.times), self.places.astype(np.int64)
+        if self.marks is None:
+            return rows, places
+        r, c = np.nonzero(self.marks)
+        return np.concatenate([rows, self.dense[r]]), np.concatenate([places, c])
+
+    def lower(self, values: np.ndarray, out: np.ndarray) -> None:
+        """``out``, by place in the other block, falls to the least value of the rows near to it."""
+        given = values[self.rows]
+        some = given < NONE
+        np.minimum.at(out, self.places[np.repeat(some, self.times)], np.repeat(given[some], self.times[some]))
+        for part in sim._tiles(len(self.dense), 256):
+            near = np.where(self.marks[part], values[self.dense[part]][:, None], NONE)
+            np.minimum(out, near.min(axis=0), out=out)
+
+    def least(self, values: np.ndarray, out: np.ndarray) -> None:
+        """``out``, by row, falls to the least value of the members near to it."""
+        if len(self.rows):
+            starts = np.cumsum(self.times) - self.times
+            np.minimum.at(out, self.rows, np.minimum.reduceat(values[self.places], starts))
+        for part in sim._tiles(len(self.dense), 256):
+            np.minimum.at(out, self.dense[part], np.where(self.marks[part], values, NONE).min(axis=1))
+
+
+def _tiles_of(batch: pa.RecordBatch, block: int) -> Iterator[tuple[int, Tile]]:
+    places, sizes, bits = (batch.column(batch.schema.get_field_index(x)) for x in ("places", "sizes", "bits"))
+    for i in range(batch.num_rows):
+        yield i, Tile(places[i].as_py(), sizes[i].as_py(), bits[i].as_py(), block)
+
+
+def _packed_places(at: np.ndarray, places: np.ndarray, rows: int, block: int) -> pa.Array:
+    """``_packed`` of the marks at ``(at, places)``, which are sorted; without the marks where all rows are lists."""
+    counts = np.bincount(at, minlength=rows)
+    if 2 * counts.max() < block // 8:
+        ends = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
+        data = places.astype("<u2").tobytes()
+        return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+    near = np.zeros((rows, block), bool)
+    near[at, places] = True
+    return _packed(near)
 
 
 def _packed(near: np.ndarray) -> pa.Array:
@@ -115,8 +183,8 @@ def _matrix(column: pa.Array, width: int, kind: str = "u1") -> np.ndarray:
 
 
 def near_bits(numbered: DataFrame, rows: int, threshold: float, block: int = BLOCK, **placement) -> DataFrame:
-    """``(num, block, bits, members)`` from ``numbered(num, vec)``, numbered from 0 without gaps: which vectors of each
-    block are at least ``threshold`` similar to a vector."""
+    """``(own, block, places, sizes, bits, members)`` from ``numbered(num, vec)``, numbered from 0 without gaps: tiles of the vectors
+    of each ``block`` that are at least ``threshold`` similar to vectors of the block ``own``, and how many pairs they are."""
     if block % 8 or block > 1 << 16:
         raise ValueError("a block is a multiple of 8, at most 65536")
     dim, tasks = sim.dimension(numbered), tasks_of(numbered.sparkSession)
@@ -130,22 +198,20 @@ def near_bits(numbered: DataFrame, rows: int, threshold: float, block: int = BLO
     return compare_in_groups(members, visitors, NearBits(threshold, block), _NEAR, dim, sizes, panel_bytes=panel_bytes, lane_rows=lane)
 
 
+def _block_rows(held: dict[int, np.ndarray], name: str, block: int) -> pa.RecordBatch:
+    numbers = sorted(held)
+    values = np.array([held[x] for x in numbers], np.int64).reshape(-1, block)
+    return pa.record_batch({"block": np.array(numbers, np.int64), name: _blobs(values)})
+
+
 def _ranked_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """First pass: the best rank among the open candidates near each member, and whether a kept one is near."""
+    """First pass: the best rank among the open candidates near each member, -1 if a kept one is near."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        blocks = sim._column(batch, "block")
-        ranks, kept = sim._column(batch, "rank"), sim._column(batch, "kept")
-        bits = batch.column(batch.schema.get_field_index("bits"))
-        for number in np.unique(blocks):
-            rows = np.flatnonzero(blocks == number)
-            state = held.setdefault(int(number), np.full(block, NONE))
-            values = np.where(kept[rows], -1, ranks[rows])
-            for part in sim._tiles(len(rows), 256):
-                near = _near(bits.take(pa.array(rows[part])), block)
-                np.minimum(state, np.where(near, values[part][:, None], NONE).min(axis=0), out=state)
-    numbers = sorted(held)
-    yield pa.record_batch({"block": np.array(numbers, np.int64), "best": _blobs(np.array([held[x] for x in numbers], np.int64).reshape(-1, block))})
+        numbers, states = sim._column(batch, "block"), _matrix(batch.column(batch.schema.get_field_index("state")), block, "<i8")
+        for i, tile in _tiles_of(batch, block):
+            tile.lower(np.maximum(states[i], -1), held.setdefault(int(numbers[i]), np.full(block, NONE)))
+    yield _block_rows(held, "best", block)
 
 
 def _least(frame: pd.DataFrame) -> pd.DataFrame:
@@ -156,20 +222,66 @@ def _least(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _best_of_members(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Second pass: the best rank that a member of each candidate has seen; -1 if a kept one has it."""
+    """Second pass: the best rank that a member of each vector has seen; -1 if a kept candidate has it."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        numbers, best = sim._column(batch, "own"), _matrix(batch.column(batch.schema.get_field_index("best")), block, "<i8")
+        for i, tile in _tiles_of(batch, block):
+            tile.least(best[i], held.setdefault(int(numbers[i]), np.full(block, NONE)))
+    yield _block_rows(held, "best", block)
+
+
+_STATE = "block long, state binary, open long, kept long"
+
+
+def _state_rows(blocks: np.ndarray, states: list[np.ndarray]) -> pa.RecordBatch:
+    """The state of a vector: the rank of an open candidate, less than -1 for a kept one (``_kept``), or ``NONE``."""
+    counts = [[int(((x > 0) & (x < NONE)).sum()) for x in states], [int((x < 0).sum()) for x in states]]
+    return pa.record_batch(
+        {"block": blocks, "state": pa.array([x.tobytes() for x in states], pa.binary()), "open": pa.array(counts[0], pa.int64()), "kept": pa.array(counts[1], pa.int64())}
+    )
+
+
+def _kept(rank):
+    return -1 - rank
+
+
+def _first_state(frame: pd.DataFrame, block: int) -> pd.DataFrame:
+    state = np.full(block, NONE)
+    state[(frame["num"] % block).to_numpy()] = frame["rank"].to_numpy()
+    return _state_rows(np.array([frame["block"].iloc[0]]), [state]).to_pandas()
+
+
+def _next_state(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """An open candidate is kept if its members have seen none before it, and goes if one is taken."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        near = _near(batch.column(batch.schema.get_field_index("bits")), block)
-        best = _matrix(batch.column(batch.schema.get_field_index("best")), block, "<i8")
-        yield pa.record_batch({"rank": sim._column(batch, "rank"), "seen": np.where(near, best, NONE).min(axis=1)})
+        seen, out = batch.column(batch.schema.get_field_index("best")), []
+        for state, best in zip(_matrix(batch.column(batch.schema.get_field_index("state")), block, "<i8"), seen):
+            best = np.frombuffer(best.as_py(), "<i8") if best.is_valid else np.full(block, NONE)
+            is_open = (state > 0) & (state < NONE)
+            after = np.where(is_open & (best == state), _kept(state), state)
+            out.append(np.where(is_open & ((best < 0) | (best == NONE)), NONE, after))
+        yield _state_rows(sim._column(batch, "block"), out)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """The members of each vector in the tiles of a batch."""
+    for batch in batches:
+        own = sim._column(batch, "own")
+        nums, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, tile in _tiles_of(batch, block):
+            nums += [own[i] * block + tile.rows, own[i] * block + tile.dense]
+            counts += [tile.times.astype(np.int64), np.empty(0, np.int64) if tile.marks is None else tile.marks.sum(axis=1)]
+        found, place = np.unique(np.concatenate(nums), return_inverse=True)
+        size = np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+        yield pa.record_batch({"num": found, "size": size})
 
 
 def _written(state: DataFrame) -> tuple[DataFrame, int]:
-    """``(rank, kept)`` as a table, and how many candidates are open."""
+    """The state as a table, and how many candidates are open."""
     spark, path, seen = state.sparkSession, scratch_path(state.sparkSession, "open"), Observation()
-    state.observe(seen, F.count_if(~F.col("kept")).alias("open")).write.parquet(path)
-    return spark.read.schema("rank long, kept boolean").parquet(path), seen.get["open"]
+    state.observe(seen, F.coalesce(F.sum("open"), F.lit(0)).alias("open")).write.parquet(path)
+    return spark.read.schema(_STATE).parquet(path), seen.get["open"]
 
 
 def communities(
@@ -190,34 +302,37 @@ def communities(
     numbered = row_numbers(ordered_parts(given, [], ["id"]), [], ["id"], "n").select((F.col("n") - 1).alias("num"), "id", "vec")
     numbered, rows = materialise_counted(numbered, "numbered")
     near = materialise(near_bits(numbered, rows, threshold, block, **placement), "near-bits")
-    sizes = near.groupBy("num").agg(F.sum("members").alias("size")).where(F.col("size") >= min_size)
+    sizes = near.mapInArrow(lambda x: _sizes(x, block), "num long, size long").groupBy("num").agg(F.sum("size").alias("size"))
+    sizes = sizes.where(F.col("size") >= min_size)
     ranked = sizes.join(numbered.select("num", "id"), "num").withColumn("_neg", -F.col("size"))
     ranked = row_numbers(ordered_parts(ranked, [], ["_neg", "id"]), [], ["_neg", "id"], "rank").select("rank", "num", "id", "size")
     ranked = materialise(ranked, "candidates")
-    bits = materialise(near.join(ranked.select("num", "rank"), "num").select("rank", "block", "bits"), "candidate-bits")
+    small = F.broadcast if 8 * rows <= STATE_BYTES else lambda x: x
+    tiles = near.select("own", "block", "places", "sizes", "bits")
 
-    state, n_open = _written(ranked.select("rank", F.lit(False).alias("kept")))
+    def of_own(state: DataFrame) -> DataFrame:
+        return tiles.join(small(state.select(F.col("block").alias("own"), "state")), "own")
+
+    first = ranked.select((F.col("num") / block).cast("long").alias("block"), "num", "rank")
+    state, n_open = _written(first.groupBy("block").applyInPandas(lambda x: _first_state(x, block), _STATE))
     while n_open:
-        left = bits.join(state, "rank")
-        best = left.mapInArrow(lambda x: _ranked_members(x, block), "block long, best binary")
+        best = of_own(state.where("open > 0 OR kept > 0")).mapInArrow(lambda x: _ranked_members(x, block), "block long, best binary")
         best = best.groupBy("block").applyInPandas(_least, "block long, best binary")
-        asked = bits.join(state.where("NOT kept").select("rank"), "rank").join(best, "block")
-        seen = asked.mapInArrow(lambda x: _best_of_members(x, block), "rank long, seen long")
-        # a kept candidate stays; an open one is kept if its members have seen none before it, and goes if one is taken
-        after = seen.groupBy("rank").agg(F.min("seen").alias("seen")).where("seen >= 0")
-        after = after.select("rank", (F.col("seen") == F.col("rank")).alias("kept"))
-        state, n_open = _written(after.unionByName(state.where("kept")))
-    schema = "rank long, num long"
+        asked = tiles.join(small(state.where("open > 0").select(F.col("block").alias("own"))), "own", "left_semi")
+        seen = asked.join(small(best), "block").mapInArrow(lambda x: _best_of_members(x, block), "block long, best binary")
+        after = state.join(seen.groupBy("block").applyInPandas(_least, "block long, best binary"), "block", "left")
+        state, n_open = _written(after.mapInArrow(lambda x: _next_state(x, block), _STATE))
 
     def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                row, place = np.nonzero(_near(batch.column(batch.schema.get_field_index("bits")), block))
-                yield pa.record_batch(
-                    {"rank": sim._column(batch, "rank")[row], "num": sim._column(batch, "block")[row] * block + place}
-                )
-
-    members = bits.join(state.where("kept").select("rank"), "rank").mapInArrow(members_of, schema)
+            own, number = sim._column(batch, "own"), sim._column(batch, "block")
+            states = _matrix(batch.column(batch.schema.get_field_index("state")), block, "<i8")
+            for i, tile in _tiles_of(batch, block):
+                row, place = tile.pairs()
+                kept = states[i][row] < 0
+                yield pa.record_batch({"rank": _kept(states[i][row[kept]]), "num": number[i] * block + place[kept]})
+
+    members = of_own(state.where("kept > 0")).mapInArrow(members_of, "rank long, num long")
     members = members.join(numbered.select("num", F.col("id").alias("channel_id")), "num")
     centres = ranked.select("rank", F.col("id").alias("centre_id"), "size")
     return number(materialise(members.join(centres, "rank").select("centre_id", "size", "channel_id"), "members"))

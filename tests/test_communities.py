@@ -118,3 +118,16 @@ def test_projection_and_export(spark, tmp_path):
     cm.write_export(cm.export_rows(labelled, pos), str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.columns == ["channel_id", "labels", "pos_x", "pos_y"] and back.count() == 50
+
+
+def test_ranks_meet_tiles_and_not_pairs(spark):
+    m = np.random.default_rng(12).normal(size=(600, 3))
+    numbered = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "num long, vec array<double>")
+    near = cm.near_bits(numbered, 600, 0.8, 64)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want, got = unit @ unit.T >= 0.8, np.zeros((600, 600), int)
+    rows = near.collect()
+    for r in rows:
+        row, place = cm.Tile(r.places, r.sizes, r.bits, 64).pairs()
+        np.add.at(got, (r.own * 64 + row, r.block * 64 + place), 1)
+    assert (got == want).all() and len(rows) < 600 * 10 / 4
