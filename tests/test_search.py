@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +181,39 @@ def test_late_requests_are_dropped(spark, tmp_path):
     ).awaitTermination()
     got = {r.request_id: r.action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "ask_channel", 2: "channel_lookup", 4: "not_understood"}
+
+
+def _streamed(spark, tmp_path, requests, arrivals, **options):
+    src = str(tmp_path / "src")
+    for some in arrivals:
+        requests.where(some).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = lookups.run_to_table(routing.route_stream(stream, **options), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    return query, spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_chats_of_a_bucket_keep_their_own_state(spark, tmp_path):
+    texts = [C.BY_CHANNEL, C.BY_DESCRIPTION, C.RANDOM, "hello", "/start"]
+    rows = [(None if i % 40 == 0 else i % 40, 2**60 + i, i * 60, texts[i * i % 11 % 5]) for i in range(400)]
+    requests = spark.createDataFrame(rows, "chat_id bigint, request_id bigint, s bigint, text string").select(
+        "chat_id", "request_id", F.timestamp_seconds("s").alias("ts"), "text"
+    )
+    arrivals = [F.col("request_id") - 2**60 < 150, F.col("request_id") - 2**60 >= 150]
+    query, found = _streamed(spark, tmp_path, requests, arrivals, buckets=4)
+    want = sorted((tuple(r) for r in routing.route(requests).collect()), key=str)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == want
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # not one for each chat
+
+
+def test_a_chat_of_a_bucket_is_forgotten_alone(spark, tmp_path):
+    day = 86_400
+    rows = [(1, 1, 60, C.BY_CHANNEL), (2, 2, 3 * day, C.BY_DESCRIPTION), (3, 3, 6 * day, "x"), (4, 4, 6 * day + 60, "x"),
+            (1, 5, 6 * day + 120, "about"), (2, 6, 6 * day + 120, "about")]
+    requests = spark.createDataFrame(rows, "chat_id bigint, request_id bigint, s bigint, text string").select(
+        "chat_id", "request_id", F.timestamp_seconds("s").alias("ts"), "text"
+    )
+    arrivals = [F.col("request_id").isin(x) for x in ([1, 2], [3], [4], [5, 6])]
+    _, found = _streamed(spark, tmp_path, requests, arrivals, watermark="1 minute", idle=timedelta(days=5), buckets=1)
+    got = {r.request_id: r.action for r in found.collect()}
+    assert got[5] == "not_understood" and got[6] == "description_lookup" and len(got) == 6
