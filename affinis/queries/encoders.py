@@ -196,9 +196,7 @@ _WORDS = f"""
 
 def word_vectors(spark, sf, tokens):
     """``(token, vector)`` for the fixture's words; shorter words stay out of vocabulary."""
-    slots = I.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("slot"), F.col("embedding").cast("array<double>").alias("vector")
-    )
+    slots = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("vector"))
     n = slots.count()  # the ids of this table are 0 .. n-1
     words = tokens.select(F.explode("tokens").alias("token")).where(F.length("token") > 3).distinct()
     return words.withColumn("slot", V.hash_bucket(F.col("token"), n)).join(slots, "slot").select("token", "vector")
@@ -221,9 +219,10 @@ def word_vectors(spark, sf, tokens):
         FROM parts GROUP BY channel_id, dim""",
 )
 def wordvec_channel_mean(spark, sf):
-    tokens = materialise(wordvec.message_tokens(I.document_messages(spark, sf)), "message-tokens")
-    words = materialise(word_vectors(spark, sf, tokens), "words")
-    return _long(wordvec.channel_means(tokens, words), "channel_id")
+    tokens = wordvec.message_tokens(I.document_messages(spark, sf))
+    blocks = wordvec.word_blocks(tokens)
+    words = materialise(word_vectors(spark, sf, wordvec.block_tokens(blocks)), "words")
+    return _long(wordvec.channel_means(tokens, words, blocks), "channel_id")
 
 
 _TFIDF = f"""
